@@ -46,7 +46,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate (file sizes for scans); sizes partition counts without a pass over the data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def remainder(key: Column | str, modulus: int) -> Column:
