@@ -119,6 +119,19 @@ def components(edges: DataFrame, work: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def local_components(links, q, m):
+    """The smallest node of each query's and member's component in a block's link matrix."""
+    import numpy as np
+
+    big = np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(m, np.where(links, q[:, None], big).min(0, initial=big))
+        new = np.minimum(q, np.where(links, low[None], big).min(1, initial=big))
+        if (low == m).all() and (new == q).all():
+            return q, m
+        q, m = new, low
+
+
 def pieces(total: float, each: float, least: int = 1, most: int = 1 << 20) -> int:
     """How many partitions of `each` the total makes."""
     return int(min(most, max(least, math.ceil(total / max(each, 1)))))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm._common import components, shared_dir, written
+from boscage.llm._common import components, local_components, shared_dir, written
 from boscage.llm._vectors import distances, kmeans, sample, stacked, valid
 
 #: Vectors of a list on average, most lists, codes of a subspace, subspace width, rows of a block.
@@ -62,17 +62,6 @@ class Index:
         return np.sqrt(total)
 
 
-def _local(links: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest node of each query's and member's component in a block's link matrix."""
-    big = np.iinfo(np.int64).max
-    while True:
-        low = np.minimum(m, np.where(links, q[:, None], big).min(0, initial=big))
-        new = np.minimum(q, np.where(links, low[None], big).min(1, initial=big))
-        if (low == m).all() and (new == q).all():
-            return q, m
-        q, m = new, low
-
-
 def link_groups(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -130,7 +119,7 @@ def link_groups(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             a, b, links = a[links.any(1)], b[links.any(0)], links[np.ix_(links.any(1), links.any(0))]
             if not len(a):
                 continue
-            ql, ml = _local(links, qn[a], mn[b])
+            ql, ml = local_components(links, qn[a], mn[b])
             out["node"] += [qn[a], mn[b]]
             out["links"] += [links @ mt[b], qt[a] @ links]
             out["local"] += [ql, ml]

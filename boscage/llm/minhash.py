@@ -12,7 +12,8 @@ not coordinates times elements, and coordinates agree with probability equal to
 Joining: bands of coordinates are hashed to buckets.  For a few rounds every bucket names a leader, another each time, and
 its members of other components are checked against it exactly, on the shingle sets; so a large group of copies costs
 pairs in proportion to its size.  At last whatever stands outside the largest component of a bucket is checked against
-everything of other components in the bucket, so no link between components is lost to the choice of leaders.
+everything of other components in the bucket, so no link between components is lost to the choice of leaders; for wide
+buckets that is done in blocks, as _families() tells.
 
 Edge cases: texts without words (null, empty, white space) are like nothing, each on its own; repeated rows are copies of
 each other, and exactly one row of a group is kept, the smallest by (doc_id, row); null ids count as largest; texts of
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boscage.llm._bytes import U, mix, ragged, words
-from boscage.llm._common import components, drop, shared_dir, text_slices, utf8, written
+from boscage.llm._common import components, drop, local_components, shared_dir, text_slices, utf8, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Rounds of one leader a bucket before what is left meets everything that it may be like.
 TURNS = 3
+#: Members of a bucket beyond which the last comparison is made in blocks, and members of a block.
+WIDE, BLOCK = 64, 256
 SIMILARITY = 0.8
 
 
@@ -155,6 +158,52 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, j double")
 
 
+def _families(wide: DataFrame, sets: DataFrame, similarity: float, work: str) -> DataFrame:
+    """Links (a, b) of members of wide buckets, compared in blocks: tasks tell components, never pairs.
+
+    A family is what wide buckets hold together.  Its members outside its largest component meet all of its members,
+    BLOCK by BLOCK, so that no row is made for a pair and sets travel once a block.
+    """
+    leaders = wide.groupBy("bucket").agg(F.min("node").alias("b"))
+    families = components(wide.join(leaders, "bucket").select(F.col("node").alias("a"), "b"), f"{work}/families").withColumnRenamed("component", "family")
+    nodes = written(wide.select("node", "component").distinct().join(families, "node"), f"{work}/wide")
+    most = nodes.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k")).select("family", F.col("most.component").alias("most"), F.ceil(F.col("k") / BLOCK).alias("nb"), F.ceil((F.col("k") - F.col("most.k")) / BLOCK).alias("ob")).where("ob > 0")
+    full = nodes.join(most, "family").join(sets, "node")
+    salt = F.xxhash64("node", F.lit(2))
+    every = full.withColumn("j", F.pmod(salt, F.col("nb"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1))).withColumn("asks", F.lit(False))
+    asked = full.where("component <> most").withColumn("i", F.pmod(salt, F.col("ob"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("asks", F.lit(True))
+    columns = ["family", "i", "j", "asks", "node", "shingles"]
+
+    def compare(key, table):
+        asks = np.asarray(table["asks"])
+        sides = []
+        for mask in (asks, ~asks):
+            part = table.filter(pa.array(mask))
+            own = [np.frombuffer(x, U) for x in part["shingles"].to_pylist()]
+            size = np.array([len(x) for x in own], np.int64)
+            sides.append((np.asarray(part["node"]), size, np.concatenate(own) if own else np.zeros(0, U), np.repeat(np.arange(len(own)), size)))
+        (an, asz, ah, ar), (bn, bsz, bh, br) = sides
+        both = np.intersect1d(ah, bh)
+        shared = np.zeros((len(an), len(bn)), np.float32)
+        for c in range(0, len(both), 4096):
+            part = both[c : c + 4096]
+            m = []
+            for h, r, n in ((ah, ar, len(an)), (bh, br, len(bn))):
+                at = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                hit = part[at] == h
+                x = np.zeros((n, len(part)), np.float32)
+                x[r[hit], at[hit]] = 1
+                m.append(x)
+            shared += m[0] @ m[1].T
+        shared = shared.astype(np.float64)
+        links = shared >= similarity * (asz[:, None] + bsz[None] - shared)
+        links &= an[:, None] != bn[None]
+        al, bl = local_components(links, an, bn)
+        return pa.table({"a": pa.array(np.concatenate([an, bn])), "b": pa.array(np.concatenate([al, bl]))})
+
+    return written(every.select(*columns).unionByName(asked.select(*columns)).groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b"), f"{work}/families_linked")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """rid, doc_id, class_id, component_id, kept for every row of (doc_id, text).
 
@@ -183,17 +232,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             near = now.join(heads, "bucket").where("component <> of")
         else:  # what is left outside a bucket's largest component meets everything of other components in the bucket
             now = written(now, f"{work}/parted")
-            most = now.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("most"))
-            rest = now.join(most, "bucket").where("component <> most").select("bucket", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("size").alias("n"))
+            most = now.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k")).where("parts > 1").select("bucket", F.col("most.component").alias("most"), "k")
+            rest = now.join(most.where(F.col("k") <= WIDE), "bucket").where("component <> most").select("bucket", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("size").alias("n"))
             near = now.join(rest, "bucket").where("component <> of")
+            wide = now.join(most.where(F.col("k") > WIDE).select("bucket"), "bucket").select("bucket", "node", "component")
         near = near.where(F.least("size", "n") >= similarity * F.greatest("size", "n")).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
         if seen is not None:
             near = near.join(seen, ["a", "b"], "left_anti")
         checked = written(_checked(near, sets), f"{work}/checked{turn}")
         fresh = not checked.where(F.col("j") >= similarity).isEmpty()
         seen = checked.select("a", "b", "j") if seen is None else seen.unionByName(checked)
-        if fresh or linked is None:
-            linked = components(seen.where(F.col("j") >= similarity).select("a", "b"), f"{work}/linked{turn}")
+        links = seen.where(F.col("j") >= similarity).select("a", "b")
+        if turn == TURNS:
+            links = links.unionByName(_families(wide, sets, similarity, work))
+        if fresh or linked is None or turn == TURNS:
+            linked = components(links, f"{work}/linked{turn}")
     nodes = classes.select("h1", "h2", "m", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = nodes.groupBy("component").agg(F.min("m").alias("head"))
     nodes = nodes.join(heads, "component").select("h1", "h2", F.col("m.doc_id").alias("class_id"), "head")
