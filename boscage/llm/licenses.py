@@ -3,7 +3,8 @@
 A text is cut into sentences at line breaks and at sentence signs before white space; sentences are normalised
 (A-Z lowered, all but letters, digits, dots and pluses to single spaces) and looked up among known licence sentences;
 what is found is a sequence of identifiers, and ordered rules match runs of it whose sentences lie at most GAP apart.
-A match inside a longer one of the same text is dropped.  Rows are worked on one by one: no shuffle, no Python.
+A match inside a longer one of the same text is dropped.  Rows are worked on one by one, without a shuffle or Python; the few texts' sequences
+are written to the shared folder between lookup and rules.
 
 Edge cases: null and empty texts match nothing; texts of any length are scanned whole; a sentence that repeats matches
 each time; repeated rows give repeated matches; an empty table gives an empty result; extra columns are not read.
@@ -16,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boscage.llm._common import shared_dir, written
+
 #: Between two sentences of a rule at most so many others may stand.
 GAP = 3
 #: Licence sentences, normalised, as the licences' authors published them.
@@ -89,14 +92,18 @@ def known_sentences(text: Column) -> Column:
     numbers = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, _CODES[name])])
     looked = F.transform(cut, lambda s, i: F.struct(i.cast("int").alias("pos"), F.element_at(numbers, F.trim(F.regexp_replace(s, OTHER, " "))).alias("code")))
     found = F.filter(looked, lambda x: x["code"].isNotNull())
-    # [version ] in the longest anchor may be parted by other signs: its single words are looked for
-    anchored = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(a.split(" ")[0])) for a in ANCHORS))
-    return F.when(anchored, found).otherwise(F.array().cast("array<struct<pos:int,code:int>>"))
+    return found
+
+
+def anchored(text: Column) -> Column:
+    """Whether a text holds the first word of an anchor, without which it holds no known sentence."""
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(a.split(" ")[0])) for a in ANCHORS))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license, first_sentence, last_sentence: a row for each match."""
-    seen = docs.select("doc_id", known_sentences(F.col("text")).alias("seen"))
+    # written, so that the many references to `seen` below read a column and don't cut the text again
+    seen = written(docs.where(anchored(F.col("text"))).select("doc_id", known_sentences(F.col("text")).alias("seen")), f"{shared_dir(docs.sparkSession)}/seen")
 
     def matches(license: str, names: tuple[str, ...]) -> Column:
         n, at = len(names), lambda i: F.get("seen", i)
