@@ -37,6 +37,7 @@ TURNS = 3
 #: Members of a bucket beyond which the last comparison is made in blocks, and members of a block.
 WIDE, BLOCK = 64, 256
 SIMILARITY = 0.8
+ROW = "boscage_row"
 
 
 def shingles(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,9 +211,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class_id: the smallest doc_id with the same shingles; component_id: the smallest doc_id reachable by links of
     `similarity` or more; kept: exactly one row of each component.  rid numbers the rows of the pass over docs.
     """
-    spark = docs.sparkSession
-    work = shared_dir(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    return _found(*_numbered(docs.select("doc_id", "text")), similarity)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row number, written, so that a row keeps its number whatever becomes of executors; its folder."""
+    work = shared_dir(docs.sparkSession)
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{work}/numbered"), work
+
+
+def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
+    spark = numbered.sparkSession
+    rows = numbered.select(F.col(ROW).alias("rid"), "doc_id", "text")
     sketch = written(rows.mapInArrow(_sketch, "rid long, doc_id long, h1 long, h2 long, size long, bands array<long>"), f"{work}/sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("m")
     # classes of equal sets: one row each, numbered by its first row's rid
@@ -221,8 +231,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     many = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(bucket.join(many, "bucket"), f"{work}/members")
     drop(spark, f"{work}/buckets")
-    again = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    sets = written(again.join(members.select("node").distinct(), "node").mapInArrow(_sets, "node long, shingles binary"), f"{work}/sets")
+    sets = written(rows.select(F.col("rid").alias("node"), "text").join(members.select("node").distinct(), "node").mapInArrow(_sets, "node long, shingles binary"), f"{work}/sets")
     linked = seen = None
     for turn in range(TURNS + 1):
         now = members.withColumn("component", F.col("node")) if linked is None else members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -256,5 +265,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, of which one of each group of near-duplicates stays."""
-    kept = near_duplicates(docs, similarity).where("kept").select(F.col("rid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").select(*docs.columns)
+    numbered, work = _numbered(docs)
+    kept = _found(numbered, work, similarity).where("kept").select(F.col("rid").alias(ROW))
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
