@@ -24,6 +24,7 @@ the empty text in the fold; extra columns are not read.
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import tempfile
 import uuid
@@ -131,7 +132,12 @@ def mapped(folder: str, name: str, kind, n: int) -> np.ndarray:
             with store.open_input_stream(f"{path}/{name}") as f, open(f"{local}/{name}", "wb") as g:
                 while part := f.read(1 << 24):
                     g.write(part)
-        _maps[key] = np.memmap(f"{local}/{name}", kind, "r", shape=(n,))
+        with open(f"{local}/{name}", "rb") as f:
+            try:  # without a descriptor of its own for each of many shards
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            except TypeError:
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        _maps[key] = np.frombuffer(held, kind, n)
     return _maps[key]
 
 
