@@ -29,7 +29,7 @@ PER_LIST, LISTS, DEGREE, BLOCK = 250, 4096, 24, 1024
 #: A boundary vector is replicated to lists within this ratio of its nearest, COPIES lists at most in all.
 BOUNDARY, COPIES = 1.08, 4
 #: Lists within this ratio of the distance to a query's nearest centroid are read.
-RATIO = 1.16
+RATIO = 1.4
 
 
 class Index:
