@@ -164,8 +164,8 @@ def dilate(points: DataFrame, wood: Column, k: int, distance: float) -> DataFram
     return near.select("point_id").union(own.select("point_id")).distinct()
 
 
-#: Forward neighbours of a voxel that share a face, an edge or a corner with it.
 def _offsets(connectivity: int) -> list[tuple[int, int, int]]:
+    """Forward neighbours of a voxel that share a face, an edge or a corner with it."""
     most = {6: 1, 18: 2, 26: 3}
     if connectivity not in most:
         raise ValueError("connectivity is 6, 18 or 26")
@@ -178,6 +178,7 @@ def voxel_components(points: DataFrame, res: float, connectivity: int = 26, by:
 
     Voxels are counted from the least coordinate rounded down to the grid.
     """
+    around = _offsets(connectivity)
     base = points.agg(*[(F.floor(F.min(F.col(a) * (stretch if a == "Z" else 1)) / res) * res).alias(f"least{a}") for a in "XYZ"])
     v = points.crossJoin(F.broadcast(base)).select("point_id", *by, *[voxel(F.col(a) * (stretch if a == "Z" else 1), F.col(f"least{a}"), res).alias(n) for n, a in zip(VOXEL, "XYZ", strict=True)])
     key = [*by, *VOXEL]
@@ -185,7 +186,7 @@ def voxel_components(points: DataFrame, res: float, connectivity: int = 26, by:
     cells = v.select(*key).distinct()
     # a dense number for every voxel in key order; the number of voxels, not of points, decides its cost
     cells = cut(cells.withColumn("node", F.row_number().over(order).cast("long")))
-    moved = cells.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("abc", o, strict=True)]) for o in _offsets(connectivity)])))
+    moved = cells.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("abc", o, strict=True)]) for o in around])))
     moved = moved.select(F.col("node").alias("a"), *by, *[(F.col(n) + F.col("o")[x]).alias(n) for n, x in zip(VOXEL, "abc", strict=True)])
     edges = moved.join(cells, key).select("a", F.col("node").alias("b"))
     found = components(cells, edges).join(cells, "node")
