@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boscage.llm._bytes import U, mix
-from boscage.llm._common import text_slices
+from boscage.llm._common import release, text_slices
 
 #: Rows of a language to learn from, at most (documented bound).
 SAMPLE = 600
@@ -166,7 +166,10 @@ def train(docs: DataFrame, allowed: Column, bound: int = SAMPLE) -> Model:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (bound - 4 * bound**0.5) / n))])
     rows = own.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).limit(bound * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    model = fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    del rows
+    release()
+    return model
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:

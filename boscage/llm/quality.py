@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boscage.llm._bytes import BYTE, LOWER, U, mix, prefix, span_hash
-from boscage.llm._common import text_slices, utf8
+from boscage.llm._common import release, text_slices, utf8
 
 #: Labelled rows to learn from, at most (documented bound).
 SAMPLE = 8_000
@@ -92,12 +92,13 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 3, alpha: float = 0.1
         buf, rows = utf8(texts[i : i + 1])
         bucket, _, tokens = features(buf, rows)
         index, count = np.unique(bucket, return_counts=True)
-        examples.append((index.astype(np.int32), (count * (SCALE / max(1, int(tokens[0])))).astype(np.float32)))
+        examples.append((index.astype(np.int32), np.minimum(count, 65535).astype(np.uint16), SCALE / max(1, int(tokens[0]))))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb, nb = 0.0, 0.0
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(labels)).tolist():
-            index, value = examples[i]
+            index, count, scale = examples[i]
+            value = count * scale
             root = np.sqrt(n[index])
             w = np.where(np.abs(z[index]) <= l1, 0.0, -(z[index] - np.sign(z[index]) * l1) / ((beta + root) / alpha + l2))
             bias = -zb / ((beta + np.sqrt(nb)) / alpha)
@@ -123,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = SAMP
     picked = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * 1_000_000).limit(bound)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, bound)
     model = fit(rows["text"].combine_chunks(), np.asarray(rows["y"], np.float64))
-    y = np.asarray(rows["y"])
+    y = np.array(rows["y"])
+    del rows
+    release()
     if 0 < y.sum() < len(y):  # classes were drawn at different rates: back to their true odds
         model.bias += float(np.log(counts.get(1, 1) / counts.get(0, 1)) - np.log(y.sum() / (len(y) - y.sum())))
     return model
