@@ -38,6 +38,8 @@ TURNS = 3
 WIDE, BLOCK = 64, 256
 SIMILARITY = 0.8
 ROW = "boscage_row"
+#: Row numbers that may be broadcast, 16 MB of them; more are joined by a shuffle.
+BROADCAST = 2_000_000
 
 
 def shingles(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +233,10 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
     many = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(bucket.join(many, "bucket"), f"{work}/members")
     drop(spark, f"{work}/buckets")
-    sets = written(rows.select(F.col("rid").alias("node"), "text").join(members.select("node").distinct(), "node").mapInArrow(_sets, "node long, shingles binary"), f"{work}/sets")
+    needed = written(members.select("node").distinct(), f"{work}/needed")
+    if needed.count() <= BROADCAST:  # then the texts stay where they are
+        needed = F.broadcast(needed)
+    sets = written(rows.select(F.col("rid").alias("node"), "text").join(needed, "node").mapInArrow(_sets, "node long, shingles binary"), f"{work}/sets")
     linked = seen = None
     for turn in range(TURNS + 1):
         now = members.withColumn("component", F.col("node")) if linked is None else members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
