@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,29 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: it does so once the driver's objects for them are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def scanned(df: DataFrame) -> bool:
+    """Whether df is rows of one file scan, each at most once and alike in every pass, so that (file, row index) names a row."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or "_metadata" in (c.lower() for c in df.columns):
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        return "row_index" in df.select("_metadata").schema[0].dataType.names
+    except AnalysisException:
+        return False
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate (file sizes for scans); sizes partition counts without a pass over the data."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

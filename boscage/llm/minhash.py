@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boscage.llm._bytes import U, mix, ragged, words
-from boscage.llm._common import components, drop, local_components, shared_dir, text_slices, utf8, written
+from boscage.llm._common import components, drop, forget_shuffles, local_components, scanned, shared_dir, text_slices, utf8, written
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -38,8 +38,10 @@ TURNS = 3
 WIDE, BLOCK = 64, 256
 SIMILARITY = 0.8
 ROW = "boscage_row"
-#: Row numbers that may be broadcast, 16 MB of them; more are joined by a shuffle.
-BROADCAST = 2_000_000
+#: Row numbers that may be broadcast, 16 MB of them, and pairs of them; more are joined by a shuffle.
+BROADCAST, BROADCAST_PAIRS = 2_000_000, 500_000
+#: Files whose names may be numbered on the driver, and bits of a row's number that tell its place in the file.
+FILES, FILE_BITS = 20_000, 40
 
 
 def shingles(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,11 +156,20 @@ def _jaccard(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "j"])
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, j): the exact Jaccard similarity of the pairs (a, b) of nodes."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, j double")
+def _checked(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(a, b, j): the exact Jaccard similarity of the pairs (a, b) of nodes, written.
+
+    Few pairs are brought to the sets, so that only the sets of pairs move; many are joined by shuffles.
+    """
+    pairs = written(pairs, f"{path}_pairs")
+    few = pairs.count() <= BROADCAST_PAIRS
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    if few:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b")
+    checked = written(both.select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, j double"), path)
+    drop(pairs.sparkSession, f"{path}_pairs")
+    return checked
 
 
 def _families(wide: DataFrame, sets: DataFrame, similarity: float, work: str) -> DataFrame:
@@ -217,8 +228,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a row number, written, so that a row keeps its number whatever becomes of executors; its folder."""
-    work = shared_dir(docs.sparkSession)
+    """docs with a row number that a row keeps whatever becomes of executors, and a work folder.
+
+    Rows of a file scan are numbered by file and place; others are written with a number first.
+    """
+    spark, work = docs.sparkSession, shared_dir(docs.sparkSession)
+    if scanned(docs):
+        paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().limit(FILES + 1).collect())
+        if len(paths) <= FILES:
+            files = spark.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], f"{ROW}_file string, {ROW}_base long")
+            placed = docs.select("*", F.col("_metadata.file_path").alias(f"{ROW}_file"), F.col("_metadata.row_index").alias(f"{ROW}_place"))
+            return placed.join(F.broadcast(files), f"{ROW}_file").select(*docs.columns, (F.col(f"{ROW}_base") + F.col(f"{ROW}_place")).alias(ROW)), work
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{work}/numbered"), work
 
 
@@ -229,10 +249,10 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("m")
     # classes of equal sets: one row each, numbered by its first row's rid
     classes = written(sketch.where("size > 0").groupBy("h1", "h2").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).select("h1", "h2", F.col("m.rid").alias("node"), "m", "size", "bands"), f"{work}/classes")
-    bucket = written(classes.select("node", "size", F.explode("bands").alias("bucket")), f"{work}/buckets")
+    bucket = classes.select("node", "size", F.explode("bands").alias("bucket"))
     many = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(bucket.join(many, "bucket"), f"{work}/members")
-    drop(spark, f"{work}/buckets")
+    forget_shuffles(spark)
     needed = written(members.select("node").distinct(), f"{work}/needed")
     if needed.count() <= BROADCAST:  # then the texts stay where they are
         needed = F.broadcast(needed)
@@ -253,7 +273,8 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
         near = near.where(F.least("size", "n") >= similarity * F.greatest("size", "n")).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
         if seen is not None:
             near = near.join(seen, ["a", "b"], "left_anti")
-        checked = written(_checked(near, sets), f"{work}/checked{turn}")
+        checked = _checked(near, sets, f"{work}/checked{turn}")
+        forget_shuffles(spark)
         fresh = not checked.where(F.col("j") >= similarity).isEmpty()
         seen = checked.select("a", "b", "j") if seen is None else seen.unionByName(checked)
         links = seen.where(F.col("j") >= similarity).select("a", "b")
@@ -261,6 +282,9 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
             links = links.unionByName(_families(wide, sets, similarity, work))
         if fresh or linked is None or turn == TURNS:
             linked = components(links, f"{work}/linked{turn}")
+    for name in ("members", "needed", "sets", "parted", "wide", "families_linked", *(f"checked{turn}" for turn in range(TURNS + 1))):
+        drop(spark, f"{work}/{name}")
+    forget_shuffles(spark)
     nodes = classes.select("h1", "h2", "m", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = nodes.groupBy("component").agg(F.min("m").alias("head"))
     nodes = nodes.join(heads, "component").select("h1", "h2", F.col("m.doc_id").alias("class_id"), "head")
@@ -271,5 +295,8 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
 def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, of which one of each group of near-duplicates stays."""
     numbered, work = _numbered(docs)
-    kept = _found(numbered, work, similarity).where("kept").select(F.col("rid").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
+    gone = written(_found(numbered, work, similarity).where("not kept").select(F.col("rid").alias(ROW)), f"{work}/gone")
+    if gone.count() <= BROADCAST:
+        gone = F.broadcast(gone)
+    forget_shuffles(docs.sparkSession)
+    return numbered.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boscage.llm import ann, bpe, chat, embdedup, langid, licenses, lm, minhash, packing, quality
-from boscage.llm._common import components, remainder
+from boscage.llm._common import components, remainder, scanned
 from boscage.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.test_queries import same
 
@@ -129,6 +129,20 @@ def test_near_duplicates_against_brute_force(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
+    rows = [(k // 2, f"one two three four five six {k // 4}", k) for k in range(40)] + [(None, None, 40), (None, "", 41)]
+    spark.createDataFrame(rows, "doc_id long, text string, more int").repartition(5).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert scanned(read) and scanned(read.where("more >= 0").select("doc_id", "text"))
+    assert not scanned(read.union(read)) and not scanned(read.where("rand() < 2")) and not scanned(read.withColumn("_metadata", read.more))
+    numbered, _ = minhash._numbered(read)
+    assert numbered.select(minhash.ROW).distinct().count() == len(rows) and numbered.drop(minhash.ROW).columns == read.columns
+    kept = minhash.keep(read).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(0, 20, 2)) and sum(r["doc_id"] is None for r in kept) == 2
+    twice = minhash.keep(read.union(read))
+    assert twice.count() == 14 and twice.columns == read.columns
+
+
 def test_wide_buckets_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(minhash, "WIDE", 2)
     monkeypatch.setattr(minhash, "BLOCK", 8)
