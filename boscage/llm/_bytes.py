@@ -20,7 +20,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept for later calls."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, x, U)])) for x in (BASE, INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer single text is handled alone.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+#: Rows that Spark hands to a Python worker at once while a table is written.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -35,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends in files that outlive executors."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))  # bounds the memory of both sides
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
