@@ -5,7 +5,8 @@ ones in an in-memory graph.  Index (all vectors): a vector goes to its nearest c
 (distance within a ratio of the nearest), to further centroids, but not behind one that is closer to it than to
 the vector.  Search: the graph is walked best-first from a fixed entry; lists whose centroid is within a distance ratio of the
 query's nearest are selected and read.  Lists are dealt in blocks of members and of queries, so a long list is many tasks, each
-giving its ten best by exact distance in double precision; the ten best of those are the result.
+giving its ten best by exact distance in double precision; the ten best of those are the result.  A query whose lists hold
+fewer than k candidates is compared with every vector, in blocks.
 
 Edge cases: vectors that are null, zero, of another length, or hold null or non-finite components take no part; a query
 never finds its own row, but finds repeated rows of itself; ties go to the smaller vec_id (null last); with fewer candidates
@@ -28,8 +29,11 @@ from boscage.llm._vectors import distances, kmeans, sample, stacked, valid
 PER_LIST, LISTS, DEGREE, BLOCK = 250, 4096, 24, 1024
 #: A boundary vector is replicated to lists within this ratio of its nearest, COPIES lists at most in all.
 BOUNDARY, COPIES = 1.08, 4
-#: Lists within this ratio of the distance to a query's nearest centroid are read.
-RATIO = 1.4
+#: Lists within this ratio of the distance to a query's nearest centroid are read, and the FLOOR nearest ones always (a query
+#: that equals a centroid has distance 0, of which no ratio selects a second list).
+RATIO, FLOOR = 1.4, 4
+#: Vectors of a block where a query is compared with all.
+ALL_BLOCK = 8 * BLOCK
 
 
 class Index:
@@ -74,7 +78,8 @@ class Index:
                     seen[i] = v
                     best = min(best, v)
                     heapq.heappush(todo, (v, i))
-        return np.array([i for i, v in seen.items() if v <= best * RATIO], np.int32)
+        reach = sorted(seen.values())[min(FLOOR, len(seen)) - 1]
+        return np.array([i for i, v in seen.items() if v <= max(best * RATIO, reach)], np.int32)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -129,7 +134,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         a, b = pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))
         return pa.table({"q": pa.array(queries).take(a), "query_id": own.take(a), "m": pa.array(rid).take(b), "vec_id": names.take(b), "score": pa.array(d, pa.float64())})
 
-    best = side_m.unionByName(side_q).groupBy("list", "mb", "qb").applyInArrow(compare, "q long, query_id long, m long, vec_id long, score double")
-    once = best.groupBy("q", "m").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.min("score").alias("score"))
-    order = Window.partitionBy("q").orderBy("score", F.col("vec_id").asc_nulls_last(), "m")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(dealt: DataFrame, *key: str) -> DataFrame:
+        best = dealt.groupBy(*key).applyInArrow(compare, "q long, query_id long, m long, vec_id long, score double")
+        once = best.groupBy("q", "m").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.min("score").alias("score"))
+        order = Window.partitionBy("q").orderBy("score", F.col("vec_id").asc_nulls_last(), "m")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "query_id", "rank", "vec_id", "score")
+
+    found = written(ranked(side_m.unionByName(side_q), "list", "mb", "qb"), f"{work}/found")
+    shape = ("query_id", "rank", "vec_id", "score")
+    full = found.groupBy("q").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("q").alias("rid"))
+    short = written(rows.where(is_query).join(full, "rid", "left_anti"), f"{work}/short")
+    left = short.count() if n > 1 else 0
+    if not left:
+        return found.select(*shape)
+    mb, qb = -(-n // ALL_BLOCK), -(-left // BLOCK)
+    every = rows.withColumn("mb", F.pmod(salt, F.lit(mb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("asks", F.lit(False))
+    asking = short.withColumn("qb", F.pmod(salt, F.lit(qb)).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(mb - 1)))).withColumn("asks", F.lit(True))
+    exact = ranked(every.unionByName(asking), "mb", "qb")
+    return found.join(short.select(F.col("rid").alias("q")), "q", "left_anti").unionByName(exact).select(*shape)

@@ -183,6 +183,23 @@ def test_vectors(spark):
     assert ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0, 10).count() == 2 and ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_beyond_its_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 3)
+    monkeypatch.setattr(ann, "RATIO", 1.0)
+    monkeypatch.setattr(ann, "FLOOR", 1)
+    monkeypatch.setattr(ann, "ALL_BLOCK", 50)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 8)) * 100, 3, axis=0) + rng.normal(size=(120, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 40 == 0, 119).collect()
+    assert len(got) == 3 * 119
+    for q in range(0, 120, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(120), d))[:119].tolist()
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
 def test_search_recall(spark):
     x = np.random.default_rng(2).normal(size=(3000, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
