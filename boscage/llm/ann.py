@@ -4,8 +4,9 @@ Fit (driver, bounded sample): balanced k-means gives the lists' centroids; each
 ones in an in-memory graph.  Index (all vectors): a vector goes to its nearest centroid and, if it lies near a boundary
 (distance within a ratio of the nearest), to further centroids, but not behind one that is closer to it than to
 the vector.  Search: the graph is walked best-first from a fixed entry; lists whose centroid is within a distance ratio of the
-query's nearest are selected and read.  Lists are dealt in blocks of members and of queries, so a long list is many tasks, each
-giving its ten best by exact distance in double precision; the ten best of those are the result.  A query whose lists hold
+query's nearest are selected and read.  Short lists that lie together share a group, a long list is many groups, and queries
+of a group are dealt in blocks; so a task is bounded, and gives each of its queries' ten best over all lists of the group by
+exact distance in double precision; the ten best of those are the result.  A query whose lists hold
 fewer than k candidates is compared with every vector, in blocks.
 
 Edge cases: vectors that are null, zero, of another length, or hold null or non-finite components take no part; a query
@@ -19,6 +20,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,24 @@ BOUNDARY, COPIES = 1.08, 4
 #: Lists within this ratio of the distance to a query's nearest centroid are read, and the FLOOR nearest ones always (a query
 #: that equals a centroid has distance 0, of which no ratio selects a second list).
 RATIO, FLOOR = 1.4, 4
-#: Vectors of a block where a query is compared with all.
-ALL_BLOCK = 8 * BLOCK
+#: Vectors of a group of lists, and of a block where a query is compared with all.
+GROUP = 4 * BLOCK
+
+
+def grouped(sizes: dict[int, int], centroids: np.ndarray) -> dict[int, tuple[int, int]]:
+    """The (first group, number of groups) of each list: neighbours along the main axis share one of GROUP vectors."""
+    if not sizes:
+        return {}
+    centred = centroids - centroids.mean(0)
+    axis = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    out, at, room = {}, -1, 0
+    for c in sorted(sizes, key=lambda c: (axis[c], c)):
+        if sizes[c] > room:
+            at, room = at + 1, max(GROUP, sizes[c])
+        blocks = -(-sizes[c] // GROUP)
+        out[c] = (at, blocks)
+        at, room = at + blocks - 1, 0 if blocks > 1 else room - sizes[c]
+    return out
 
 
 class Index:
@@ -96,31 +114,53 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             at, lists = held.value.assign(stacked(b.column(2), width))
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(i).take(pa.array(at)) for i in range(3))], ["list", "rid", "vec_id", "vec"])
 
-    def probe(batches):
-        for b in batches:
-            found = [held.value.search(q) for q in stacked(b.column(2), width)]
-            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)), *(b.column(i).take(pa.array(at)) for i in range(3))], ["list", "rid", "vec_id", "vec"])
-
     shape = "list int, rid long, vec_id long, vec binary"
     posted = written(rows.mapInArrow(post, shape), f"{work}/posted")
-    asked = written(rows.where(is_query).mapInArrow(probe, shape), f"{work}/asked")
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("q")), "list").collect()  # LISTS rows at most
-    blocks = F.create_map(*[F.lit(v) for x in sizes for v in (x["list"], -(-x["n"] // BLOCK) * (1 << 20) + -(-x["q"] // BLOCK))]) if sizes else F.create_map(F.lit(-1), F.lit(0))
-    mb, qb = F.shiftright(blocks[F.col("list")], 20), blocks[F.col("list")].bitwiseAND((1 << 20) - 1)
+    sizes = {x["list"]: x["n"] for x in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
+    groups = grouped(sizes, held.value.centroids)
+
+    def probe(batches):
+        for b in batches:
+            out = [], [], []
+            for i, q in enumerate(stacked(b.column(2), width)):
+                reads: dict[int, list[int]] = {}
+                for c in held.value.search(q).tolist():
+                    first, blocks = groups.get(c, (0, 0))
+                    for g in range(first, first + blocks):
+                        reads.setdefault(g, []).append(c)
+                for g, lists in reads.items():
+                    for col, v in zip(out, (i, g, lists), strict=True):
+                        col.append(v)
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int32())), *(b.column(i).take(at) for i in range(3))], ["group", "lists", "rid", "vec_id", "vec"])
+
+    asked = written(rows.where(is_query).mapInArrow(probe, "group int, lists array<int>, rid long, vec_id long, vec binary"), f"{work}/asked")
+    asks = {x["group"]: -(-x["q"] // BLOCK) for x in asked.groupBy("group").agg(F.count("*").alias("q")).collect()}  # a row per group
+    lookup = lambda d: F.create_map(*[F.lit(v) for x in d.items() for v in x]) if d else F.create_map(F.lit(-1), F.lit(0))
     salt = F.xxhash64("rid", F.lit(3))
-    side_m = posted.where(blocks[F.col("list")].isNotNull()).withColumn("mb", F.pmod(salt, mb).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1))).withColumn("asks", F.lit(False))
-    side_q = asked.where(blocks[F.col("list")].isNotNull()).withColumn("qb", F.pmod(salt, qb).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), mb - 1))).withColumn("asks", F.lit(True))
+    place, blocks = lookup({c: g for c, (g, _) in groups.items()}), lookup({c: n for c, (_, n) in groups.items()})
+    of_group, none = lookup(asks), F.lit(None).cast("array<int>")
+    side_m = posted.withColumn("group", (place[F.col("list")] + F.pmod(salt, blocks[F.col("list")])).cast("int")).where(of_group[F.col("group")].isNotNull())
+    side_m = side_m.withColumn("qb", F.explode(F.sequence(F.lit(0), of_group[F.col("group")] - 1))).withColumns({"lists": none, "asks": F.lit(False)})
+    side_q = asked.withColumns({"list": F.lit(None).cast("int"), "qb": F.pmod(salt, of_group[F.col("group")]).cast("int"), "asks": F.lit(True)})
 
     def compare(key, table):
         asks = np.asarray(table["asks"])
         q, m = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
         x, y = stacked(q["vec"], width), stacked(m["vec"], width)
-        names = m["vec_id"].combine_chunks()
-        ids, rid = np.asarray(names.fill_null(np.iinfo(np.int64).max)), np.asarray(m["rid"])
+        rid, first, same = np.unique(np.asarray(m["rid"]), return_index=True, return_inverse=True)  # a replicated vector counts once
+        y, names = y[first], m["vec_id"].combine_chunks().take(pa.array(first))
+        ids = np.asarray(names.fill_null(np.iinfo(np.int64).max))
         queries, own = np.asarray(q["rid"]), q["vec_id"].combine_chunks()
         rough = distances(x, y)
         rough[queries[:, None] == rid[None]] = np.inf
+        if "lists" in table.column_names:
+            reads = q["lists"].combine_chunks()
+            asked_of = np.repeat(np.arange(len(x)), np.asarray(pc.list_value_length(reads)))
+            held_by, to_read, read = np.asarray(m["list"]), np.asarray(reads.flatten()), np.zeros(rough.shape, bool)
+            for c in np.unique(held_by):
+                read[np.ix_(asked_of[to_read == c], same[held_by == c])] = True
+            rough[~read] = np.inf
         out_q, out_m, out_d = [], [], []
         for i in range(len(x)):
             edge = np.partition(rough[i], k - 1)[k - 1] if len(y) > k else np.inf
@@ -140,14 +180,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         order = Window.partitionBy("q").orderBy("score", F.col("vec_id").asc_nulls_last(), "m")
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "query_id", "rank", "vec_id", "score")
 
-    found = written(ranked(side_m.unionByName(side_q), "list", "mb", "qb"), f"{work}/found")
+    found = written(ranked(side_m.unionByName(side_q), "group", "qb"), f"{work}/found")
     shape = ("query_id", "rank", "vec_id", "score")
     full = found.groupBy("q").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("q").alias("rid"))
     short = written(rows.where(is_query).join(full, "rid", "left_anti"), f"{work}/short")
     left = short.count() if n > 1 else 0
     if not left:
         return found.select(*shape)
-    mb, qb = -(-n // ALL_BLOCK), -(-left // BLOCK)
+    mb, qb = -(-n // GROUP), -(-left // BLOCK)
     every = rows.withColumn("mb", F.pmod(salt, F.lit(mb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("asks", F.lit(False))
     asking = short.withColumn("qb", F.pmod(salt, F.lit(qb)).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(mb - 1)))).withColumn("asks", F.lit(True))
     exact = ranked(every.unionByName(asking), "mb", "qb")

@@ -187,7 +187,7 @@ def test_nearest_beyond_its_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "PER_LIST", 3)
     monkeypatch.setattr(ann, "RATIO", 1.0)
     monkeypatch.setattr(ann, "FLOOR", 1)
-    monkeypatch.setattr(ann, "ALL_BLOCK", 50)
+    monkeypatch.setattr(ann, "GROUP", 50)
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(40, 8)) * 100, 3, axis=0) + rng.normal(size=(120, 8)) * 0.1
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
