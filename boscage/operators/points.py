@@ -304,3 +304,59 @@ def range_asof(points: DataFrame, trajectory: DataFrame) -> DataFrame:
 
 def rename_xyz(points: DataFrame) -> DataFrame:
     return points.withColumnsRenamed({"X": "X_", "Y": "Y_", "Z": "Z_"})
+
+
+def one_tree(points: DataFrame) -> DataFrame:
+    """the wood of a cloud that holds one tree; more than one is an error."""
+    if len(points.where("treeID is not null").select("treeID").distinct().limit(2).collect()) > 1:
+        raise ValueError("the cloud holds more than one tree")
+    return points.where("foliage = 0")
+
+
+def of_tree(points: DataFrame, tree: int) -> DataFrame:
+    """the points of one tree."""
+    return points.where(F.col("treeID") == tree)
+
+
+def gather(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """a row for each (point_id) of ids, repeats included."""
+    return ids.select("point_id").join(points, "point_id")
+
+
+def connected(points: DataFrame) -> DataFrame:
+    """points whose distance to the root is known; -1 stands for unreachable."""
+    return points.where("dist2root >= 0")
+
+
+def highest_lowest(points: DataFrame) -> DataFrame:
+    """(treeID, low, high): a tree's lowest and highest point, ties to the smaller point_id."""
+    return points.groupBy("treeID").agg(F.min(F.struct("Z", "point_id"))["point_id"].alias("low"), (-F.max(F.struct("Z", (-F.col("point_id")).alias("m")))["m"]).alias("high"))
+
+
+def wood_subset(points: DataFrame, trim: float = 0.01) -> DataFrame:
+    """F8: wood above the lowest hundredth of its tree, and the tree's highest point."""
+    span = points.groupBy("treeID").agg(F.min("Z").alias("_lo"), F.max("Z").alias("_hi")).join(highest_lowest(points).select("treeID", "high"), "treeID")
+    wood = (F.col("foliage") == 0) & (F.col("Z") >= F.col("_lo") + (F.col("_hi") - F.col("_lo")) * trim)
+    return points.join(span, "treeID").where(wood | (F.col("point_id") == F.col("high"))).drop("_lo", "_hi", "high")
+
+
+def ground_seed(points: DataFrame, step: float = 0.05) -> DataFrame:
+    """points of a tree below the first multiple of `step` that lies above its lowest point, which is `step` at least."""
+    lo = points.groupBy("treeID").agg(F.min("Z").alias("_lo"))
+    level = F.when(F.col("_lo") >= step, step * (F.floor(F.col("_lo") / step) + 1)).otherwise(step)
+    return points.join(lo, "treeID").where(F.col("Z") < level).drop("_lo")
+
+
+def bins(points: DataFrame, value: str, by: float) -> DataFrame:
+    """P25: the points with `bin`: steps of `by` from a tree's least value rounded down, within its range."""
+    span = points.groupBy("treeID").agg(F.floor(F.min(value)).alias("_lo"), F.ceil(F.max(value)).alias("_hi"))
+    last = F.round((F.col("_hi") - F.col("_lo")) / by).cast("long") - 1
+    raw = F.floor((F.col(value) - F.col("_lo") + 1e-9) / by)
+    return points.join(span, "treeID").withColumn("bin", F.greatest(F.lit(0).cast("long"), F.least(raw, last))).drop("_lo", "_hi")
+
+
+def merge_chunks(points: DataFrame) -> DataFrame:
+    """Tree numbers of (chunk, treeID) raised by the largest numbers of the chunks before; the window holds a row a chunk."""
+    top = points.groupBy("chunk").agg(F.coalesce(F.max("treeID"), F.lit(0)).alias("m"))
+    before = top.select("chunk", F.coalesce(F.sum("m").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    return points.join(before, "chunk").withColumn("treeID", F.when(F.col("treeID") > 0, F.col("treeID") + F.col("_o")).otherwise(F.col("treeID"))).drop("_o")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscage.functions import geometry as G
-from boscage.operators import graph, points, spatial, trees
+from boscage.operators import graph, points, skeleton, spatial, trees
 from boscage.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,3 +643,72 @@ def line_profile(s, d):
 def mesh_rings(s, d):
     """OBJ lines of every cylinder."""
     return sinks.obj_lines(heap(s, d))
+
+
+@query("WITH b AS (SELECT treeID, min(Z) AS lo, max(Z) AS hi, arg_max(point_id, {'z': Z, 'm': -point_id}) AS top FROM evt GROUP BY 1) SELECT e.treeID, count(*) AS n, CAST(sum(e.point_id) AS BIGINT) AS ids FROM evt e JOIN b USING (treeID) WHERE (foliage=0 AND Z>=lo+(hi-lo)*0.01) OR point_id=top GROUP BY 1")
+def wood_subset(s, d):
+    """F8."""
+    return points.wood_subset(evt(s, d)).groupBy("treeID").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))
+
+
+@query("SELECT treeID, arg_min(point_id, {'z': Z, 'm': point_id}) AS low, arg_max(point_id, {'z': Z, 'm': -point_id}) AS high FROM evt GROUP BY 1")
+def highest_lowest(s, d):
+    """W8."""
+    return points.highest_lowest(evt(s, d))
+
+
+@query("WITH b AS (SELECT treeID, min(Z) AS lo FROM evt GROUP BY 1) SELECT point_id, treeID FROM evt JOIN b USING (treeID) WHERE Z < CASE WHEN lo>=0.05 THEN 0.05*(floor(lo/0.05)+1) ELSE 0.05 END")
+def ground_seed(s, d):
+    """F9."""
+    return points.ground_seed(evt(s, d)).select("point_id", "treeID")
+
+
+@query("WITH b AS (SELECT treeID, floor(min(hag)) AS lo, ceil(max(hag)) AS hi FROM evt GROUP BY 1) SELECT point_id, CAST(greatest(0, least(floor((hag-lo+1e-9)/0.5), round((hi-lo)/0.5)-1)) AS BIGINT) AS bin FROM evt JOIN b USING (treeID)")
+def distance_bins(s, d):
+    """P25."""
+    return points.bins(evt(s, d), "hag", 0.5).select("point_id", "bin")
+
+
+@query("WITH c AS (SELECT point_id, passage AS chunk, treeID FROM evt), m AS (SELECT chunk, max(treeID) AS m FROM c GROUP BY 1), o AS (SELECT chunk, coalesce(sum(m) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS o FROM m) SELECT point_id, CAST(CASE WHEN treeID>0 THEN treeID+o ELSE treeID END AS BIGINT) AS treeID FROM c JOIN o USING (chunk)")
+def merge_chunks(s, d):
+    """U6."""
+    return points.merge_chunks(evt(s, d).withColumn("chunk", F.col("passage"))).select("point_id", "treeID")
+
+
+@query("SELECT c.tree_id, c.cyl_ID, round(CASE WHEN cyl_ID%5=1 THEN radius ELSE greatest(0.0025, 0.0025+(first_value(radius) OVER w-0.0025)*subtree_length/first_value(subtree_length) OVER w) END,6) AS radius FROM chain2 c WINDOW w AS (PARTITION BY tree_id, (cyl_ID-1)//5 ORDER BY cyl_ID)")
+def pipe_model(s, d):
+    """R7."""
+    c = chain(s, d).withColumns({"radius": F.when(F.col("cyl_ID") % 5 == 1, F.col("radius")), "quality": F.lit(0)})
+    return skeleton.pipe_model(c).select("tree_id", "cyl_ID", "radius")
+
+
+def _one_axis(s, d):
+    return chain(s, d).withColumns({"axis_ID": F.lit(1), "quality": F.lit(0)})
+
+
+@query()
+def smooth_skeleton(s, d):
+    """W5."""
+    return skeleton.smooth_skeleton(_one_axis(s, d))
+
+
+@query()
+def smooth_radii(s, d):
+    """W6."""
+    return skeleton.smooth_radii(_one_axis(s, d)).select("tree_id", "cyl_ID", "radius")
+
+
+@query()
+def prolongate(s, d):
+    """R11."""
+    c = _one_axis(s, d)
+    return skeleton.prolongate(c, c.groupBy("tree_id").agg(F.max("endY").alias("prolong")))
+
+
+@query()
+def skeleton_chains(s, d):
+    """G22, A29."""
+    p = evt(s, d).withColumns({"layer": F.floor(F.col("hag") * 2), "cluster": F.col("point_id") % 3})
+    return skeleton.skeleton(skeleton.layer_centres(p), 3.0)
+
+
