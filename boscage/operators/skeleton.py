@@ -154,17 +154,16 @@ def prolongate(cylinders: DataFrame, lengths: DataFrame, step: float = 0.1) -> D
         i = np.arange(n, 0, -1)
         low, high = (a[0] - way * (far * (j / n))[:, None] for j in (i, i - 1))
         root = trunk.iloc[0]
-        new = pd.DataFrame({c: [None] * n for c in t.columns})
-        new["tree_id"], new["cyl_ID"] = root["tree_id"], -i
+        new = pd.DataFrame({"tree_id": [root["tree_id"]] * n, "cyl_ID": -i})
         new["parent_ID"] = np.where(i == n, -n - 1, -i - 1)
         for c, v in (("axis_ID", 1), ("branch_order", 1), ("quality", 0)):
-            if c in new:
+            if c in t:
                 new[c] = v
         new["subtree_length"], new["radius"] = root["subtree_length"] + far / n * i, root["radius"] * 1.01 ** (i - 1.0)
         for j, x in enumerate("XYZ"):
             new[f"start{x}"], new[f"end{x}"] = low[:, j], high[:, j]
         t.loc[t["cyl_ID"] == root["cyl_ID"], "parent_ID"] = -1
-        return pd.concat([new.astype({c: k for c, k in t.dtypes.items() if c in ("cyl_ID", "parent_ID", "axis_ID", "branch_order", "quality")}), t], ignore_index=True)
+        return pd.concat([new, t], ignore_index=True)[t.columns]
 
     return _per_tree(joined, run, T.StructType([T.StructField(f.name, f.dataType) for f in cylinders.schema]))  # other columns are null in new rows
 
