@@ -58,7 +58,14 @@ class Index:
     def __init__(self, x: np.ndarray, lists: int):
         self.centroids = kmeans(x, lists, 10, balance=0.02)
         d = distances(self.centroids, self.centroids)
-        self.near = np.argsort(d, axis=1)[:, 1 : DEGREE + 1]
+        # links hold both ways, and a ring holds the graph together: else centroids that are nobody's neighbour are never found
+        n = len(d)
+        links = np.zeros((n, n), bool)
+        np.put_along_axis(links, np.argsort(d, axis=1)[:, 1 : DEGREE + 1], True, axis=1)
+        links[np.arange(n), (np.arange(n) + 1) % n] = True
+        links |= links.T
+        np.fill_diagonal(links, False)
+        self.near = [np.flatnonzero(row) for row in links]
         self.entry = int(distances(self.centroids, self.centroids.mean(0, keepdims=True)).argmin())
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
