@@ -401,15 +401,15 @@ DIST = "pc AS (SELECT e.point_id, h.*, ((e.X-startX)*(endX-startX)+(e.Y-startY)*
 
 @query(f"WITH {DIST} SELECT point_id, cyl_ID, round(dist,6) AS dist FROM dist")
 def point_cyl_distance(s, d):
-    """An equi-join on the tree."""
-    j = evt(s, d).join(heap(s, d).where((F.col("cyl_ID") <= 3) & (G.length() > 1e-9)), F.col("treeID") == F.col("tree_id"))
+    """An equi-join on the tree; every cylinder of it, where the SQL has the first three."""
+    j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
     return j.select("point_id", "cyl_ID", G.surface_distance(F.col("X"), F.col("Y"), F.col("Z")).alias("dist"))
 
 
 @query(f"WITH {DIST} SELECT point_id, CAST(CASE WHEN min(dist - 1.3*radius) < 0.02 THEN 0 ELSE 1 END AS INTEGER) AS foliage FROM dist GROUP BY point_id")
 def segment_by_model(s, d):
-    """Wood within 1.3 radii and two centimetres of a cylinder of its tree."""
-    j = evt(s, d).join(heap(s, d).where((F.col("cyl_ID") <= 3) & (G.length() > 1e-9)), F.col("treeID") == F.col("tree_id"))
+    """Wood within 1.3 radii and two centimetres of any cylinder of its tree, where the SQL has the first three."""
+    j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
     off = G.surface_distance(F.col("X"), F.col("Y"), F.col("Z")) - 1.3 * F.col("radius")
     return j.groupBy("point_id").agg(F.when(F.min(off) < 0.02, 0).otherwise(1).alias("foliage"))
 
