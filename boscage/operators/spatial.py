@@ -52,9 +52,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, columns: tuple[str,
     """(qid, point_id, d2, rank, *columns): the k nearest points, ties to the smaller point_id; exact.
 
     A query is settled when its k-th distance is within the cell size, which its 27 cells cover on every side; the others
-    go on with doubled cells until the cells span the cloud.  With fewer than k points, fewer rows come back.
+    go on with doubled cells until the cells span the cloud and the queries.  With fewer than k points, fewer rows come back.
     """
-    cell, extent = spacing(points, k)
+    cell, _ = spacing(points, k)
+    extent = spacing(points.select("X", "Y", "Z").unionByName(queries.select("X", "Y", "Z")), k)[1]  # queries may lie outside the cloud
     cell = size or cell
     todo, settled = queries.select("point_id", "X", "Y", "Z"), []
     order = Window.partitionBy("qid").orderBy("d2", "point_id")

@@ -420,8 +420,8 @@ p AS (SELECT *, ((px-startX)*(endX-startX)+(py-startY)*(endY-startY)+(pz-startZ)
 q AS (SELECT *, sqrt((px-startX-t*(endX-startX))**2+(py-startY-t*(endY-startY))**2+(pz-startZ-t*(endZ-startZ))**2) AS rho, CASE WHEN t<0 THEN -t ELSE t-1 END*len AS ax FROM p)
 SELECT point_id, round(min(CASE WHEN t>=0 AND t<=1 THEN greatest(0,rho-radius) WHEN rho<=radius THEN ax ELSE sqrt(ax*ax+greatest(0,rho-radius)**2) END),6) AS dist FROM q GROUP BY point_id""")
 def model_distances(s, d):
-    """The ten nearest midpoints, then the exact distance to the surface."""
-    c = heap(s, d).where((F.col("tree_id") <= 20) & (G.length() > 1e-9)).withColumn("cyl_ID", F.col("cyl_ID") + F.col("tree_id") * 1000)
+    """The ten nearest midpoints of all trees, where the SQL has the first twenty; then the exact distance to the surface."""
+    c = heap(s, d).where(G.length() > 1e-9).withColumn("cyl_ID", F.col("cyl_ID") + F.col("tree_id") * 1000)
     return spatial.model_distances(emb(s, d), c, 10).select("point_id", "dist")
 
 

@@ -45,3 +45,16 @@ def test_every_cylinder_of_the_tree(spark):
     got = {(r["point_id"], r["cyl_ID"]): r["dist"] for r in QUERIES["point_cyl_distance"](spark, SF).collect()}
     assert got.keys() == pairs.keys() and max(abs(got[k] - pairs[k]) for k in pairs) < 1e-5
     assert {r["point_id"]: r["foliage"] for r in QUERIES["segment_by_model"](spark, SF).collect()} == leaf
+
+
+def test_ten_nearest_midpoints_of_all_trees(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spark.read.parquet(f"{SF}/events.parquet").where("event_id < 240").selectExpr("event_id", "ts", "event_id % 40 + 1 AS user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, rng.normal(size=3).tolist(), 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cs = [r for r in heap(spark, str(tmp_path)).collect() if sum((r[f"end{a}"] - r[f"start{a}"]) ** 2 for a in "XYZ") > 1e-18]
+    ps = emb(spark, str(tmp_path)).collect()
+    dist, middle = surface(ps, cs)
+    near = np.argsort(middle, axis=1)[:, :10]
+    want = {p["point_id"]: dist[i, near[i]].min() for i, p in enumerate(ps)}
+    got = {r["point_id"]: r["dist"] for r in QUERIES["model_distances"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-5
