@@ -1,7 +1,8 @@
 """Licence scans (operator 9): sentence-rule recognition with DataFrame functions only.
 
-A text is cut into sentences at line breaks and at sentence signs before white space; sentences are normalised
-(A-Z lowered, all but letters, digits, dots and pluses to single spaces) and looked up among known licence sentences;
+A text is cut into pieces at line breaks and at sentence signs before white space, which number what is found; it is
+normalised (A-Z lowered, all but letters, digits, dots and pluses to single spaces) and known licence sentences are looked
+up in it as runs of words, over cuts as well, so that 'Identifier: MIT', 'v. 2.0' and wrapped lines are found;
 what is found is a sequence of identifiers, and ordered rules match runs of it whose sentences lie at most GAP apart.
 A match inside a longer one of the same text is dropped.  Rows are worked on one by one, without a shuffle or Python; the few texts' sequences
 are written to the shared folder between lookup and rules.
@@ -86,13 +87,34 @@ _CODES = {name: i for i, name in enumerate(SENTENCES, 1)}
 CUT, OTHER = r"[.;:!?]+(?:[ \t\n\r\f]|\z)|[\n\r\f]", r"[^a-z0-9.+]+"
 
 
+def _words(sentence: str) -> list[str]:
+    return [w.rstrip(".") for w in sentence.split(" ")]
+
+
+#: A known sentence wherever it stands, over any cuts; of those that begin at a word the longest. MIT-0 and its like are other licences.
+OTHER_MIT = r"(?!\.*[ |]+(?:0|advertising|cmu|enna|feh|festival|khronos|modern|open|stk|testregex|wu)[ |])"
+KNOWN = r"(?<=[ |])(?:" + "|".join(r"\.*[ |]+".join(w.replace(".", r"\.").replace("+", r"\+") for w in _words(s)) + (OTHER_MIT if n == "spdx-mit" else "") for n, s in sorted(SENTENCES.items(), key=lambda x: -len(x[1]))) + r")(?=\.*[ |])"
+
+
 def known_sentences(text: Column) -> Column:
-    """array<struct<pos, code>>: position and identifier of the text's known sentences, in order."""
-    cut = F.split(F.regexp_replace(F.lower(text), CUT, "\n"), "\n")
-    numbers = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, _CODES[name])])
-    looked = F.transform(cut, lambda s, i: F.struct(i.cast("int").alias("pos"), F.element_at(numbers, F.trim(F.regexp_replace(s, OTHER, " "))).alias("code")))
-    found = F.filter(looked, lambda x: x["code"].isNotNull())
-    return found
+    """array<struct<pos, last, at, to, code>>: pieces and words where the text's known sentences begin and end, in order."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), CUT, "\n"), r"[^a-z0-9.+\n]+", " ")
+    marked = F.concat(F.lit(" "), F.regexp_replace(plain, "\n", " | "), F.lit(" "))
+    numbers = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (" ".join(_words(s)), _CODES[name])])
+    bars, words = lambda x: F.regexp_count(x, F.lit(r"\|")), lambda x: F.regexp_count(x, F.lit("[^ |]+"))
+    size = lambda x: F.struct(bars(x).alias("bars"), words(x).alias("words"))
+    hit = lambda g, m: F.struct(size(g).alias("gap"), size(m).alias("own"), F.element_at(numbers, F.regexp_replace(m, r"\.*[ |]+", " ")).alias("code"))
+    hits = F.zip_with(F.split(marked, KNOWN), F.regexp_extract_all(marked, F.lit(KNOWN), F.lit(0)), lambda g, m: F.when(m.isNotNull(), hit(g, m)))
+    none = F.array().cast("array<struct<pos:int,last:int,at:int,to:int,code:int>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        pos, at = acc["bars"] + x["gap"]["bars"], acc["words"] + x["gap"]["words"]
+        last, to = pos + x["own"]["bars"], at + x["own"]["words"]
+        found = F.struct(pos.alias("pos"), last.alias("last"), at.alias("at"), to.alias("to"), x["code"].alias("code"))
+        return F.struct(last.alias("bars"), to.alias("words"), F.concat(acc["seen"], F.array(found)).alias("seen"))
+
+    start = F.struct(F.lit(0).alias("bars"), F.lit(0).alias("words"), none.alias("seen"))
+    return F.aggregate(F.filter(hits, lambda x: x.isNotNull()), start, add, lambda acc: acc["seen"])
 
 
 def anchored(text: Column) -> Column:
@@ -107,9 +129,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def matches(license: str, names: tuple[str, ...]) -> Column:
         n, at = len(names), lambda i: F.get("seen", i)
-        fits = lambda i: reduce(lambda a, b: a & b, [at(i + k)["code"] == _CODES[x] for k, x in enumerate(names)] + [at(i + k)["pos"] - at(i + k - 1)["pos"] <= GAP + 1 for k in range(1, n)])
+        fits = lambda i: reduce(lambda a, b: a & b, [at(i + k)["code"] == _CODES[x] for k, x in enumerate(names)] + [at(i + k)["pos"] - at(i + k - 1)["last"] <= GAP + 1 for k in range(1, n)])
         runs = F.filter(F.transform("seen", lambda _, i: i), fits)
-        return F.transform(runs, lambda i: F.struct(F.lit(license).alias("license"), at(i)["pos"].alias("first_sentence"), at(i + n - 1)["pos"].alias("last_sentence")))
+        return F.transform(runs, lambda i: F.struct(F.lit(license).alias("license"), at(i)["pos"].alias("first_sentence"), at(i + n - 1)["last"].alias("last_sentence")))
 
     every = seen.select("doc_id", F.concat(*[matches(*r) for r in RULES]).alias("m"))
     inside = lambda x, y: (y["first_sentence"] <= x["first_sentence"]) & (y["last_sentence"] >= x["last_sentence"]) & (y["last_sentence"] - y["first_sentence"] > x["last_sentence"] - x["first_sentence"])

@@ -274,6 +274,18 @@ def test_licence_rules(spark, docs):
     assert licenses.scan(docs).count() == 0
 
 
+def test_licences_as_published(spark):
+    texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "SPDX-License-Identifier: MIT-0", "This project is licensed under the MIT License - see LICENSE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r[0], r[1]) for r in licenses.scan(df).collect()} == {(0, "MIT"), (1, "Apache-2.0"), (2, "GPL-3.0"), (3, "MPL-2.0"), (5, "MIT")}
+    every = [(i, s) for i, s in enumerate(licenses.SENTENCES.values())]
+    seen = spark.createDataFrame(every, "doc_id long, text string").where(licenses.anchored(F.col("text"))).select("doc_id", licenses.known_sentences(F.col("text"))["code"]).collect()
+    assert {r[0]: r[1] for r in seen} == {i: [i + 1] for i, _ in every}
+    stated = [(i, ". ".join(licenses.SENTENCES[n] for n in names)) for i, (_, names) in enumerate(licenses.RULES)]
+    found = {(r[0], r[1]) for r in licenses.scan(spark.createDataFrame(stated, "doc_id long, text string")).collect()}
+    assert {(i, x) for i, (x, _) in enumerate(licenses.RULES)} <= found
+
+
 def test_components(spark, tmp_path):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path))
