@@ -3,7 +3,8 @@
 A text is cut into pieces at line breaks and at sentence signs before white space, which number what is found; it is
 normalised (A-Z lowered, all but letters, digits, dots and pluses to single spaces) and known licence sentences are looked
 up in it as runs of words, over cuts as well, so that 'Identifier: MIT', 'v. 2.0' and wrapped lines are found;
-what is found is a sequence of identifiers, and ordered rules match runs of it whose sentences lie at most GAP apart.
+what is found is a sequence of identifiers, and ordered rules match runs of it whose sentences lie at most GAP_WORDS words apart.
+The SQL knows whole pieces and GAP only, so it finds less than the scan in published texts.
 A match inside a longer one of the same text is dropped.  Rows are worked on one by one, without a shuffle or Python; the few texts' sequences
 are written to the shared folder between lookup and rules.
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from boscage.llm._common import shared_dir, written
 
-#: Between two sentences of a rule at most so many others may stand.
+#: Between two sentences of a rule at most so many others may stand: in the SQL, which knows pieces only.
 GAP = 3
+#: Between two sentences of a rule at most so many words may stand, however they are wrapped; the MIT text has 54, titles stand before names of holders.
+GAP_WORDS = 200
 #: Licence sentences, normalised, as the licences' authors published them.
 SENTENCES = {
     "apache-2.0-short": "licensed under the apache license version 2.0",
@@ -128,10 +131,16 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = written(docs.where(anchored(F.col("text"))).select("doc_id", known_sentences(F.col("text")).alias("seen")), f"{shared_dir(docs.sparkSession)}/seen")
 
     def matches(license: str, names: tuple[str, ...]) -> Column:
-        n, at = len(names), lambda i: F.get("seen", i)
-        fits = lambda i: reduce(lambda a, b: a & b, [at(i + k)["code"] == _CODES[x] for k, x in enumerate(names)] + [at(i + k)["pos"] - at(i + k - 1)["last"] <= GAP + 1 for k in range(1, n)])
-        runs = F.filter(F.transform("seen", lambda _, i: i), fits)
-        return F.transform(runs, lambda i: F.struct(F.lit(license).alias("license"), at(i)["pos"].alias("first_sentence"), at(i + n - 1)["last"].alias("last_sentence")))
+        n, codes = len(names), [_CODES[x] for x in names]
+
+        def runs(own: Column) -> Column:
+            at = lambda i: F.get(own, i)
+            fits = lambda i: reduce(lambda a, b: a & b, [at(i + k)["code"] == c for k, c in enumerate(codes)] + [at(i + k)["at"] - at(i + k - 1)["to"] <= GAP_WORDS for k in range(1, n)])
+            found = F.filter(F.transform(own, lambda _, i: i), fits)
+            return F.transform(found, lambda i: F.struct(F.lit(license).alias("license"), at(i)["pos"].alias("first_sentence"), at(i + n - 1)["last"].alias("last_sentence")))
+
+        # other licences' sentences may stand between those of a rule
+        return runs(F.filter("seen", lambda x: x["code"].isin(codes)))
 
     every = seen.select("doc_id", F.concat(*[matches(*r) for r in RULES]).alias("m"))
     inside = lambda x, y: (y["first_sentence"] <= x["first_sentence"]) & (y["last_sentence"] >= x["last_sentence"]) & (y["last_sentence"] - y["first_sentence"] > x["last_sentence"] - x["first_sentence"])

@@ -286,6 +286,47 @@ def test_licences_as_published(spark):
     assert {(i, x) for i, (x, _) in enumerate(licenses.RULES)} <= found
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_licences_in_any_wrapping(spark):
+    import textwrap
+
+    texts, want = [], []
+    for name, whole, begins, ends in (("MIT", MIT, "mit license", "the software is"), ("BSD", BSD, "redistribution and", "redistributions of"), ("Apache-2.0", APACHE, "licensed under", "you may obtain")):
+        for width in (0, 40, 72, 100):
+            for lead in ("", " * ", "# "):
+                lines = [w for part in whole.split("\n") for w in ((textwrap.wrap(part, width) if width else [part]) or [""])]
+                texts.append((len(texts), "\n".join(lead + x for x in lines)))
+                want.append((name, begins, ends))
+    got = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r[0]].add(tuple(r)[1:])
+    for (i, text), (name, begins, ends) in zip(texts, want, strict=True):
+        cut = [re.sub(licenses.OTHER, " ", x).strip() for x in re.sub(licenses.CUT.replace(r"\z", r"\Z"), "\n", text.lower()).split("\n")]
+        found = [x for x in got[i] if x[0] == name]
+        assert len(found) == 1 and begins.split()[0] in cut[found[0][1]], (i, text)
+        assert ends in " ".join(cut[found[0][2] - 3 : found[0][2] + 1]) and found[0][2] > found[0][1], (i, text)
+
+
 def test_components(spark, tmp_path):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path))
