@@ -150,7 +150,7 @@ def ring(cylinders: DataFrame, bh: float = 1.3) -> DataFrame:
 
 
 def weird_butt(cylinders: DataFrame, degrees: float = 50, run: int = 4) -> DataFrame:
-    """(tree_id, first): the first trunk cylinder that starts `run` in a row all tilted less than `degrees`."""
+    """W7's index: (tree_id, first): the first trunk cylinder that starts `run` in a row all tilted less than `degrees`."""
     from boscage.functions.geometry import inclination
 
     order = Window.partitionBy("tree_id").orderBy("dist_to_root", "cyl_ID")
@@ -158,6 +158,19 @@ def weird_butt(cylinders: DataFrame, degrees: float = 50, run: int = 4) -> DataF
     return t.where((F.col("left") == run) & (F.col("most") < degrees)).groupBy("tree_id").agg(F.min_by("cyl_ID", "rn").alias("first"))
 
 
+def drop_butt(cylinders: DataFrame, degrees: float = 50, run: int = 4) -> DataFrame:
+    """Trees without the trunk before weird_butt's first cylinder and without what does not grow from that cylinder, their new root.
+
+    A tree with fewer than five trunk cylinders, without such a run or with it at its root stays as it is.
+    """
+    enough = cylinders.where("branch_order = 1").groupBy("tree_id").agg(F.count("*").alias("trunk"), F.min_by("cyl_ID", F.struct("dist_to_root", "cyl_ID")).alias("head")).where("trunk >= 5")
+    first = weird_butt(cylinders, degrees, run).join(enough, "tree_id").where("first <> head").select("tree_id", "first")
+    t = cylinders.join(first, "tree_id", "left")
+    mark = F.when(F.col("first").isNull() & F.col("parent").isNull(), 1).when(F.col("first") == F.col("cyl_ID"), 1).otherwise(0)
+    grown = ancestors(_forest(t), KEY, {"grown": mark}, False).where("grown > 0").drop("grown")
+    return _with(t, grown).withColumn("parent_ID", F.when(F.col("first") == F.col("cyl_ID"), 0).otherwise(F.col("parent_ID"))).select(*cylinders.columns)
+
+
 def conic(cylinders: DataFrame, r0: float, tip: float = 0.0025) -> DataFrame:
     """Every radius from conic allometry against the root's subtree length; a tree of one cylinder gets r0."""
     w = Window.partitionBy("tree_id")
@@ -165,7 +178,7 @@ def conic(cylinders: DataFrame, r0: float, tip: float = 0.0025) -> DataFrame:
 
 
 def taper_sums(cylinders: DataFrame, tip: float = 0.0025) -> DataFrame:
-    """Per axis the (a, b) of r(x) = tip + a x + b x^2 whose slope vanishes at the largest x."""
+    """Per branch order, over all its measured cylinders, the (a, b) of r(x) = tip + a x + b x^2 whose slope vanishes at the largest x."""
     x = F.col("subtree_length")
     t = cylinders.where("radius is not null").withColumn("xm", F.max("subtree_length").over(Window.partitionBy("tree_id", "branch_order")))
     z = x * x - 2 * F.col("xm") * x

@@ -539,7 +539,7 @@ def ring(s, d):
 
 @query("WITH i AS (SELECT *, CASE WHEN len<1e-6 THEN 0 ELSE degrees(acos(greatest(-1,least(1,(endZ-startZ)/len)))) END AS inc FROM chain2), w AS (SELECT *, max(inc) OVER (PARTITION BY tree_id ORDER BY cyl_ID ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS most, count(*) OVER (PARTITION BY tree_id ORDER BY cyl_ID ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM i) SELECT tree_id, min(cyl_ID) AS first FROM w WHERE n=4 AND most<50 GROUP BY tree_id")
 def weird_butt(s, d):
-    """W7."""
+    """W7's index; trees.drop_butt removes."""
     return trees.weird_butt(chain(s, d))
 
 
@@ -551,7 +551,7 @@ def conic(s, d):
 
 @query("WITH t AS (SELECT *, max(subtree_length) OVER (PARTITION BY tree_id) AS xm FROM chain2), u AS (SELECT tree_id, count(*) AS n, max(xm) AS xm, sum((subtree_length**2-2*xm*subtree_length)**2) AS zz, sum((subtree_length**2-2*xm*subtree_length)*(radius-0.0025)) AS zy FROM t GROUP BY tree_id) SELECT tree_id, 1 AS branch_order, round(-2*zy/zz*xm,6) AS a, round(zy/zz,6) AS b, n FROM u WHERE n>6 AND zz>=1e-12")
 def poly_taper(s, d):
-    """R4, R6, A30."""
+    """R6, A30; R4's filter, axes and replacement are not built."""
     return trees.taper_sums(chain(s, d))
 
 

@@ -185,3 +185,23 @@ def test_passages_count_paths(spark):
 
     got = passages(spark, "/root/testdata/sf0.001").agg(F.max("passage"), F.count("*")).first()
     assert got[0] == got[1]  # every path starts at the source
+
+
+def test_drop_butt_removes_orphans(spark):
+    rows = []
+    for tree, bent in ((1, 2), (2, 0), (3, 9)):  # 3: no straight run
+        x = z = 0.0
+        for i in range(1, 10):
+            a, b = (x, z), (x + (1.0 if i <= bent else 0.0), z + (0.1 if i <= bent else 1.0))
+            rows.append((tree, i, i - 1, a[0], 0.0, a[1], b[0], 0.0, b[1], 0.1, 1, float(i)))
+            x, z = b
+        for i, parent in ((11, 1), (12, 11), (13, 2), (14, 5), (15, 14)):
+            rows.append((tree, i, parent, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.1, 2, 20.0))
+    rows.append((2, 20, 99, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.1, 2, 20.0))  # another root
+    t = spark.createDataFrame(rows, "tree_id long, cyl_ID long, parent_ID long, startX double, startY double, startZ double, endX double, endY double, endZ double, radius double, branch_order int, dist_to_root double")
+    got = trees.drop_butt(t)
+    assert got.columns == t.columns
+    kept = {(r["tree_id"], r["cyl_ID"]): r["parent_ID"] for r in got.collect()}
+    want = {(r[0], r[1]): r[2] for r in rows if r[0] != 1 or r[1] in (3, 4, 5, 6, 7, 8, 9, 14, 15)}
+    want[1, 3] = 0
+    assert kept == want
