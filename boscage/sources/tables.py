@@ -33,7 +33,7 @@ def points_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """traj: the events of user 1 in time."""
+    """traj: the events of user 1 in time, as one sensor's path; other users are no part of it."""
     return points_of_events(spark, sf_dir).where("treeID = 1").select("gpstime", F.col("X").alias("x"), F.col("Y").alias("y"), F.col("Z").alias("z"))
 
 
