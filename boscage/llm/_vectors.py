@@ -47,12 +47,12 @@ def valid(table: DataFrame, path: str) -> tuple[DataFrame, int]:
     return written(numbered.mapInArrow(run, "rid long, vec_id long, vec binary"), path), width
 
 
-def stacked(col: pa.Array, width: int) -> np.ndarray:
-    """The matrix of a binary column of doubles."""
+def stacked(col: pa.Array, width: int, kind: np.dtype | type = np.float64) -> np.ndarray:
+    """The matrix, in double precision, of a binary column of doubles (or of another kind of number)."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     if not len(col):
         return np.zeros((0, width))
-    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, width)
+    return np.frombuffer(b"".join(col.to_pylist()), kind).astype(np.float64, copy=False).reshape(-1, width)
 
 
 def sample(vectors: DataFrame, n: int, width: int, bound: int = SAMPLE) -> np.ndarray:

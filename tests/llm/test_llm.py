@@ -183,6 +183,34 @@ def test_vectors(spark):
     assert ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0, 10).count() == 2 and ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("flat", "exact", "block"), [(1024, False, 1024), (8, False, 4), (1024, True, 1024)])
+def test_links_against_brute_force(spark, monkeypatch, flat, exact, block):
+    """Partners made at cosines from 0.90 to 0.92, copies, and a crowd in one list; one or two levels, short blocks, exact rule."""
+    for name, value in (("FLAT", flat), ("PER_LIST", 20), ("BLOCK", block), ("BROADCAST", 0 if block == 4 else 200_000)):
+        monkeypatch.setattr(embdedup, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(500, 24))
+    z -= (z * x[:500]).sum(1, keepdims=True) * x[:500]
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.90001, 0.92, (500, 1))
+    crowd = x[600] + 0.03 * rng.normal(size=(60, 24))
+    x = np.concatenate([x, c * x[:500] + np.sqrt(1 - c * c) * z, crowd, x[:20]]) * rng.uniform(0.5, 2, (1280, 1))
+    x[1260:] = x[:20]
+    df = spark.createDataFrame([(i, v.tolist(), "clash", i) for i, v in enumerate(x)], "vec_id long, embedding array<double>, list string, node int")
+    got = {r["vec_id"]: r for r in embdedup.link_groups(df, 0.9, exact).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= link.sum(1)).all()
+    if exact:
+        assert (found == link.sum(1)).all()
+    assert found.sum() >= 0.99 * link.sum()
+    assert (found[1200:1260] == link[1200:1260].sum(1)).all() and all(got[1260 + i]["component_id"] == got[i]["component_id"] for i in range(20))
+
+
 def test_nearest_beyond_its_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "PER_LIST", 3)
     monkeypatch.setattr(ann, "RATIO", 1.0)
