@@ -1,4 +1,4 @@
-"""Vectorised text handling on flat byte arrays: token spans and 64-bit polynomial hashes, no loop over words."""
+"""Vectorised text handling on flat byte arrays: token spans and 64-bit hashes of them, no loop over words."""
 
 from __future__ import annotations
 
@@ -6,43 +6,41 @@ import numpy as np
 
 U = np.uint64
 _SEED = np.random.default_rng(0x5EED)
-#: A random 64-bit value for each byte value, and an odd base with its inverse modulo 2**64.
+#: A random 64-bit value for each byte value, and the odd step between places in a word.
 BYTE = _SEED.integers(0, 1 << 64, 256, dtype=U)
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
+STEP = U(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept for later calls."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, x, U)])) for x in (BASE, INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = np.asarray(h, U)
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[i] * BASE**i, one longer than values."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end) of what prefix() summed."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U))
+    h = h ^ (h >> U(30))
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the non-empty spans [start, end) of 64-bit values.
+
+    Each value is mixed with its place in the span before the sum is taken, so that no two places share a factor: a sum of
+    powers modulo 2**64 gives words such as Thue and Morse's and their complements the same hash, whatever its base.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, U)
+    place = ragged(size)
+    v = place.astype(U)
+    v *= STEP
+    place += np.repeat(start, size)
+    v += values[place]
+    return mix(np.add.reduceat(mix(v), np.cumsum(size) - size) + size.astype(U))
 
 
 def spans(inside: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +64,7 @@ def words(buf: np.ndarray, rows: np.ndarray, lower: bool = True) -> tuple[np.nda
     """(hash, row) of the white-space separated words of a flat UTF-8 buffer; A-Z are lowered if asked."""
     buf = LOWER[buf] if lower else buf
     start, end, row = spans(~SPACE[buf], rows)
-    return span_hash(prefix(BYTE[buf]), start, end), row
+    return span_hash(BYTE[buf], start, end), row
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:

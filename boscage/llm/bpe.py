@@ -2,7 +2,8 @@
 
 Method: numpy merge rounds over batches.  The symbols of many words lie in one flat array; each round looks all adjacent
 pairs up by binary search over the sorted pair keys, takes the lowest rank of each word, and merges all its occurrences.
-Words are encoded once: a worker keeps the ids of words it has met, found by 64-bit hash in sorted arrays.
+Words are encoded once: a worker keeps the letters and ids of words it has met, found by 64-bit hash in sorted arrays; every
+word's letters are compared with those kept before the ids are used, and a word whose hash belongs to another is encoded anew.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole; the
 vocabulary's own special strings in a text become their special ids, as the tokenizers library makes them by default;
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from boscage.llm._bytes import U, mix, powers, ragged, span_hash
+from boscage.llm._bytes import U, mix, ragged, span_hash
 from boscage.llm._common import text_slices
 
 #: Words that a worker remembers; beyond it the memory starts anew.  It bounds memory and never changes results.
@@ -68,8 +69,8 @@ class Codec:
 
     def forget(self) -> None:
         self.known = np.zeros(0, U)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at, self.size, self.begin, self.width = (np.zeros(0, np.int64) for _ in range(4))
+        self.letters = np.zeros(0, np.uint32)
         self.ids = np.zeros(0, np.uint16 if len(self.names) <= 1 << 16 else np.int32)
 
     def classify(self, points: np.ndarray) -> np.ndarray:
@@ -153,23 +154,39 @@ class Codec:
         order = np.argsort(of, kind="stable")
         return ids[order], np.bincount(of, minlength=len(counts))
 
-    def learn(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        """Encode new words, given as spans of code points, and remember them."""
-        size = end - start
-        flat = points[np.repeat(start, size) + ragged(size)]
+    def fresh(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids) of words given by their code points end to end."""
         raw = flat.astype("<u4").tobytes().decode("utf-32-le").encode()
         data = np.frombuffer(raw, np.uint8)
-        width = np.where(flat < 0x80, 1, np.where(flat < 0x800, 2, np.where(flat < 0x10000, 3, 4)))
-        counts = np.add.reduceat(width, np.cumsum(size) - size)
+        bytes_of = np.where(flat < 0x80, 1, np.where(flat < 0x800, 2, np.where(flat < 0x10000, 3, 4)))
+        counts = np.add.reduceat(bytes_of, np.cumsum(size) - size)
         symbols = self.first[data]
         tail = np.cumsum(counts) - 1
         symbols[tail] = self.last[data[tail]]
-        ids, sizes = self.merge(symbols, counts)
-        at = np.append(self.at, len(self.ids) + np.cumsum(sizes) - sizes)
-        known, size = np.append(self.known, hashes), np.append(self.size, sizes)
+        return self.merge(symbols, counts)
+
+    def learn(self, flat: np.ndarray, width: np.ndarray, hashes: np.ndarray) -> None:
+        """Encode new words and remember them."""
+        ids, sizes = self.fresh(flat, width)
+        known = np.append(self.known, hashes)
         order = np.argsort(known, kind="stable")
-        self.known, self.at, self.size = known[order], at[order], size[order]
+        self.known = known[order]
+        for name, new in (("at", len(self.ids) + np.cumsum(sizes) - sizes), ("size", sizes), ("begin", len(self.letters) + np.cumsum(width) - width), ("width", width)):
+            setattr(self, name, np.append(getattr(self, name), new)[order])
         self.ids = np.append(self.ids, ids.astype(self.ids.dtype))
+        self.letters = np.append(self.letters, flat.astype(np.uint32))
+
+    def strangers(self, points: np.ndarray, start: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places of the words whose letters are not those remembered at `at`."""
+        off = self.width[at] != width
+        same = np.flatnonzero(~off)
+        if len(same):
+            size = width[same]
+            place = ragged(size)
+            differ = points[place + np.repeat(start[same], size)] != self.letters[place + np.repeat(self.begin[at[same]], size)]
+            if differ.any():
+                off[same] = np.logical_or.reduceat(differ, np.cumsum(size) - size)
+        return np.flatnonzero(off)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text)."""
@@ -188,22 +205,25 @@ class Codec:
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         rows = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
         start, end = self.split(points, rows)
-        value = mix(points.astype(U))
-        sums = np.zeros(len(points) + 1, U)
-        np.cumsum(value * powers(len(points))[0], out=sums[1:])
-        hashes, index, back = np.unique(span_hash(sums, start, end), return_index=True, return_inverse=True)
+        width = end - start
+        hashes, index, back = np.unique(span_hash(mix(points.astype(U)), start, end), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBER:
             self.forget()
         at = np.searchsorted(self.known, hashes)
         new = np.ones(len(hashes), bool)
         near = at < len(self.known)
         new[near] = self.known[at[near]] != hashes[near]
+        pick = lambda i: points[np.repeat(start[i], width[i]) + ragged(width[i])]
         if new.any():
-            self.learn(points, start[index[new]], end[index[new]], hashes[new])
+            self.learn(pick(index[new]), width[index[new]], hashes[new])
             at = np.searchsorted(self.known, hashes)
         at = at[back]
-        size = self.size[at]
-        ids = self.ids[np.repeat(self.at[at], size) + ragged(size)].astype(np.int64)
+        size, begin, held = self.size[at], self.at[at], self.ids
+        if len(odd := self.strangers(points, start, width, at)):
+            ids, sizes = self.fresh(pick(odd), width[odd])
+            size[odd], begin[odd] = sizes, len(held) + np.cumsum(sizes) - sizes
+            held = np.append(held, ids.astype(held.dtype))
+        ids = held[np.repeat(begin, size) + ragged(size)].astype(np.int64)
         of = np.array(own, np.int64)[np.searchsorted(rows, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
         counts = np.bincount(of, weights=size, minlength=len(texts)).astype(np.int64)
         if inserted:

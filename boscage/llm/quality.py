@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm._bytes import BYTE, LOWER, U, mix, prefix, span_hash
+from boscage.llm._bytes import BYTE, LOWER, U, mix, span_hash
 from boscage.llm._common import release, text_slices, utf8
 
 #: Labelled rows to learn from, at most (documented bound).
@@ -48,8 +48,8 @@ def features(buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     tokens = np.bincount(row, minlength=n)
     if not len(begin):
         return np.zeros(0, np.int64), row, tokens
-    word = span_hash(prefix(BYTE[buf]), begin, end)
-    low = span_hash(prefix(BYTE[LOWER[buf]]), begin, end)
+    word = span_hash(BYTE[buf], begin, end)
+    low = span_hash(BYTE[LOWER[buf]], begin, end)
     upper = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
     lower = np.concatenate([[0], np.cumsum((buf >= 97) & (buf <= 122))])
     ups, lows = upper[end] - upper[begin], lower[end] - lower[begin]

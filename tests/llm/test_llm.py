@@ -66,6 +66,32 @@ def test_bpe_equals_the_library(spark, docs, empty):
     assert texts[8] == t.decode(t.encode(AWKWARD[8][1], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def _thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_whose_power_sums_agree(spark, n):
+    """Such a word and its complement have equal sums of powers modulo 2**64: tokens, counts and shingle sets keep them apart."""
+    one, two = _thue_morse(n)
+    t, c = hf(), bpe.Codec(tokenizer_path())
+    ids, counts = c.encode([one, two, f"x {two} {one}"])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in (one, two, f"x {two} {one}")]
+    df = spark.createDataFrame([(0, one), (1, two), (2, two)], "doc_id long, text string")
+    m = lm.train(df.where("doc_id = 0"), F.lit(True))
+    assert {r["doc_id"]: r["n_known"] for r in lm.scores(df, m).collect()} == {0: 2, 1: 1, 2: 1}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_bpe_compares_letters_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hash", lambda values, start, end: (end - start).astype("u8") % np.uint64(3))
+    t, c = hf(), bpe.Codec(tokenizer_path())
+    texts = [x or "" for _, x in AWKWARD] + ["to be or not to be", "a b c", "tea bee sea"]
+    for _ in range(2):
+        ids, counts = c.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def _check_packed(rows, texts, capacity):
     t = hf()
     want = Counter()
