@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,8 +76,11 @@ def scanned(df: DataFrame) -> bool:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes for scans); sizes partition counts without a pass over the data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate (file sizes for scans); where it knows none, or multiplies, the bytes of the texts are added up."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 50:
+        return known
+    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def remainder(key: Column | str, modulus: int) -> Column:
@@ -176,8 +178,3 @@ def local_components(links, q, m):
         if (low == m).all() and (new == q).all():
             return q, m
         q, m = new, low
-
-
-def pieces(total: float, each: float, least: int = 1, most: int = 1 << 20) -> int:
-    """How many partitions of `each` the total makes."""
-    return int(min(most, max(least, math.ceil(total / max(each, 1)))))

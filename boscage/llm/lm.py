@@ -1,20 +1,25 @@
-"""Language-model scoring (operator 8): an interpolated modified Kneser-Ney bigram model of a whole corpus.
+"""Language-model scoring (operator 8): an interpolated modified Kneser-Ney n-gram model of a whole corpus.
 
 Counted in Spark, stored as sorted hash arrays in the shared folder, memory-mapped by the workers that score.
 
 1. words    every slice of texts is tokenised on its flat bytes and pre-aggregated to (word hash, count); shards by hash
             range merge them.  A word's rank in hash order is its number from then on.
-2. pairs    (previous word, word) as one 64-bit key of ranks, pre-aggregated per task and merged by shards of rank
-            range.  A word so frequent that its pairs would outgrow a shard is split over several by the second word.
-            Each shard also gives the number of words before each word that it has seen.
-3. before   sums these numbers per word: the continuation counts of the lower order.
-4. score    workers map the arrays and look up a slice's distinct words and pairs by binary search.
-
-Only a row of totals per shard, and the few split words, reach the driver.  Blobs are sorted keys stored as deltas in byte
-planes, compressed.  All jobs are plain stages over files, and a repeated task writes the same bytes under the same name.
-
-P(w|v) = max(c(vw)-D_c(vw),0)/c(v) + g(v) Q(w);  Q(w) = max(n(w)-E_n(w),0)/n + h/(V+1), where n(w) counts the distinct words
-before w and the last term leaves one share for unknown words.  Discounts are Chen and Goodman's, from counts of counts.
+2. n-grams  (words before, word) as tuples of ranks, pre-aggregated per task; shards merge them and store the sorted 64-bit
+            hashes of the tuples with their counts.  Each shard also tells, of every tuple without its last word, how much
+            follows it, and of every tuple without its first, before how many distinct words it stands.
+3. lower    these tell the counts of the next shorter n-grams, merged in the same way down to single words.
+4. score    workers map the arrays and look up a slice's distinct n-grams by binary search.
+
+A shard holds the tuples whose words before have a hash in its range.  Where these words are all so frequent that what
+follows them could outgrow a shard, tuples are dealt by their own hash, so no shard grows with one tuple or word.  Shards
+take a bounded share of the input, so their number grows with it and the work of a task doesn't.  Only a row of totals
+per shard reaches the driver.  Blobs are sorted ranks stored as deltas in byte planes, compressed.  A repeated task writes
+the same bytes under the same name.
+
+P(w|u) = max(c(uw)-D_c(uw),0)/c(u) + g(u) P'(w|u'), u' being u without its first word, P' counting distinct words before
+instead of occurrences; the words' own level leaves one share for unknown words.  Where u was never seen, P(w|u) is
+P'(w|u').  Discounts are Chen and Goodman's, from each level's counts of counts.  Texts begin after order - 1 begin signs.
+Counts are exact up to 2**63; tuples are told apart by 64-bit hashes of their ranks.
 
 Edge cases: null and empty texts are one end token; texts of any length are counted and scored whole; an empty training
 set gives the uniform distribution over one unknown word; repeated rows count as often as they stand; null ids count as
@@ -26,9 +31,9 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import tempfile
 import uuid
 import zlib
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -37,55 +42,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boscage.llm._bytes import U, words
-from boscage.llm._common import drop, input_bytes, pieces, shared_dir, text_slices, utf8, written
+from boscage.llm._bytes import U, mix, ragged, words
+from boscage.llm._common import forget_shuffles, input_bytes, shared_dir, text_slices, utf8
 
-#: The hash that stands for the end of a text, and the rank of its beginning as a previous word.
+#: The words of an n-gram unless the caller says otherwise.
+ORDER = 3
+#: The hash that stands for the end of a text.
 END = U(0)
-BEGIN = np.int64(0xFFFFFFFF)
-#: Stored bytes of input for each shard, and tokens that a task holds before it hands its counts on.
-SHARD_BYTES = 8 << 20
-HOLD = 3_000_000
-
-
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as deltas and counts, in compressed byte planes."""
-    delta = np.diff(keys.astype(U), prepend=U(0))
-    planes = np.concatenate([delta.view(np.uint8).reshape(-1, 8), np.minimum(counts, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
-    out = [len(keys).to_bytes(8, "little")]
-    for i in range(12):
-        plane = np.ascontiguousarray(planes[:, i]).tobytes()
-        small = zlib.compress(plane, 1) if i > 2 else plane
-        out += [len(small).to_bytes(4, "little"), small] if len(small) < len(plane) else [(1 << 31 | len(plane)).to_bytes(4, "little"), plane]
+#: Stored bytes of input for each shard, at least and at most (between them 4,096 shards), and tokens that a task holds.
+SHARD_BYTES, SHARD_MOST, HOLD = 8 << 20, 48 << 20, 3_000_000
+#: Bytes that a worker keeps of a store that can't be mapped; beyond it what was used longest ago goes.
+FETCHED = 256 << 20
+#: What is stored of a tuple: its own count, then the sum and the numbers of ones, twos and larger counts that follow it.
+FIELDS = ("c", "total", "n1", "n2", "n3")
+
+
+def pack(*columns: np.ndarray, raw: int = 3) -> bytes:
+    """Columns of 64-bit whole numbers, the first sorted and kept as deltas, in byte planes; planes of zeros take no room.
+
+    The low `raw` planes of a column are not compressed: in keys they are noise.
+    """
+    out = [len(columns[0]).to_bytes(8, "little"), len(columns).to_bytes(8, "little")]
+    for i, column in enumerate(columns):
+        column = np.asarray(column).astype(U, copy=False)
+        planes = (np.diff(column, prepend=U(0)) if i == 0 else np.ascontiguousarray(column)).view(np.uint8).reshape(-1, 8)
+        for j in range(8):
+            plane = np.ascontiguousarray(planes[:, j])
+            if not plane.any():
+                out.append(bytes(4))
+                continue
+            plane = plane.tobytes()
+            small = zlib.compress(plane, 1) if j >= raw else plane
+            out += [len(small).to_bytes(4, "little"), small] if len(small) < len(plane) else [(1 << 31 | len(plane)).to_bytes(4, "little"), plane]
     return b"".join(out)
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, at = int.from_bytes(blob[:8], "little"), 8
-    planes = np.zeros((n, 12), np.uint8)
-    for i in range(12):
-        size = int.from_bytes(blob[at : at + 4], "little")
-        raw = size >> 31
-        size &= (1 << 31) - 1
-        part = blob[at + 4 : at + 4 + size]
-        planes[:, i] = np.frombuffer(part if raw else zlib.decompress(part), np.uint8)
-        at += 4 + size
-    return np.cumsum(np.ascontiguousarray(planes[:, :8]).view(U).ravel(), dtype=U), np.ascontiguousarray(planes[:, 8:]).view("<u4").ravel().astype(np.int64)
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n, k, at = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), 16
+    out = []
+    for i in range(k):
+        planes = np.zeros((n, 8), np.uint8)
+        for j in range(8):
+            size = int.from_bytes(blob[at : at + 4], "little")
+            at += 4
+            if size:
+                bare, size = size >> 31, size & ((1 << 31) - 1)
+                part = blob[at : at + size]
+                planes[:, j] = np.frombuffer(part if bare else zlib.decompress(part), np.uint8)
+                at += size
+        column = planes.view(U).ravel()
+        out.append(np.cumsum(column, dtype=U) if i == 0 else column)
+    return out
+
+
+def _pieces(blobs: list) -> list[np.ndarray]:
+    parts = [unpack(b) for b in blobs]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their summed counts."""
+def grouped(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct sorted keys, the place of one of each, their summed columns)."""
     if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+        return keys, np.zeros(0, np.int64), sums
+    order = np.argsort(keys)
+    keys = keys[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[head], np.add.reduceat(counts, head)
+    return keys[head], order[head], [np.add.reduceat(s[order], head) for s in sums]
 
 
-def merged(blobs: list) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    return totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+def chained(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of each tuple of ranks; that of its first words is a step on the way."""
+    h = mix(columns[0].astype(U) + U(1))
+    for c in columns[1:]:
+        h = mix(h * U(0x100000001B3) + c.astype(U) + U(1))
+    return h
 
 
 def _files(folder: str):
@@ -99,78 +129,103 @@ def _files(folder: str):
     return None, store, path
 
 
-def save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Write arrays to the shared folder under their final names at once, so that a repeated task does no harm."""
+def save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+    """Write arrays, each in its narrowest type, end to end under a final name at once; returns the types' letters.
+
+    A repeated task or a second attempt writes drafts of its own and then the same bytes.
+    """
     local, store, path = _files(folder)
-    for k, a in arrays.items():
-        if local:
-            os.makedirs(local, exist_ok=True)
-            draft = f"{local}/.{uuid.uuid4().hex}"
-            a.tofile(draft)
-            os.replace(draft, f"{local}/{name}.{k}")
-        else:
-            store.create_dir(path, recursive=True)
-            with store.open_output_stream(f"{path}/.{name}.{k}") as f:
-                f.write(np.ascontiguousarray(a).tobytes())
-            store.move(f"{path}/.{name}.{k}", f"{path}/{name}.{k}")
+    arrays = [a if a.dtype == U else a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
+    data = b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+    draft = f"{local or path}/.{name}.{uuid.uuid4().hex}"
+    if local:
+        os.makedirs(local, exist_ok=True)
+        with open(draft, "wb") as f:
+            f.write(data)
+        os.replace(draft, f"{local}/{name}")
+    else:
+        from pyarrow import fs
+
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(draft) as f:
+            f.write(data)
+        try:
+            store.move(draft, f"{path}/{name}")
+        except OSError:  # a store that doesn't overwrite: another attempt was first
+            if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+                raise
+            store.delete_file(draft)
+    return "".join(a.dtype.char for a in arrays)
 
 
-_maps: dict[str, np.ndarray] = {}
+_maps: OrderedDict[str, object] = OrderedDict()
 
 
-def mapped(folder: str, name: str, kind, n: int) -> np.ndarray:
-    """An array of the shared folder, memory-mapped; from a remote store it is fetched once to the worker's own folder."""
+def mapped(folder: str, name: str, kinds: str, n: int) -> list[np.ndarray]:
+    """Arrays of the shared folder, memory-mapped; of a store that can't be mapped a bounded number is held in memory."""
     key = f"{folder}/{name}"
-    if key not in _maps:
-        if len(_maps) > 20_000:
-            _maps.clear()
+    held = _maps.get(key)
+    if held is None:
         local, store, path = _files(folder)
-        if not n:
-            return np.zeros(0, kind)
-        if not local:
-            local = tempfile.mkdtemp()
-            with store.open_input_stream(f"{path}/{name}") as f, open(f"{local}/{name}", "wb") as g:
-                while part := f.read(1 << 24):
-                    g.write(part)
-        with open(f"{local}/{name}", "rb") as f:
-            try:  # without a descriptor of its own for each of many shards
-                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-            except TypeError:
-                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _maps[key] = np.frombuffer(held, kind, n)
-    return _maps[key]
+        if local:
+            if len(_maps) > 20_000:
+                _maps.clear()
+            with open(f"{local}/{name}", "rb") as f:
+                try:  # without a descriptor of its own for each of many shards
+                    held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+                except TypeError:
+                    held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            with store.open_input_stream(f"{path}/{name}") as f:
+                held = f.read()
+            while _maps and sum(len(x) for x in _maps.values()) + len(held) > FETCHED:
+                _maps.popitem(last=False)
+        _maps[key] = held
+    else:
+        _maps.move_to_end(key)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(held, kind, n, at))
+        at += out[-1].nbytes + -out[-1].nbytes % 8
+    return out
 
 
 @dataclass
 class Words:
-    """The sorted word hashes in shards of hash range; bits: shards as a power of two."""
+    """The sorted word hashes and their counts in shards of hash range; bits: shards as a power of two."""
 
     folder: str
     bits: int
-    sizes: list[int]
+    sizes: np.ndarray
+    kinds: list[str]
 
     def __post_init__(self):
         self.base = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
-    def rank(self, hashes: np.ndarray) -> np.ndarray:
-        """Ranks of sorted distinct hashes, -1 where unknown."""
-        out = np.full(len(hashes), -1, np.int64)
-        shard = (hashes >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        edge = np.searchsorted(shard, np.arange(len(self.sizes) + 1))
-        for s in np.flatnonzero(np.diff(edge)).tolist():
-            if self.sizes[s]:
-                own, need = mapped(self.folder, f"w{s}.hash", U, self.sizes[s]), hashes[edge[s] : edge[s + 1]]
-                at = np.minimum(np.searchsorted(own, need), len(own) - 1)
-                out[edge[s] : edge[s + 1]] = np.where(own[at] == need, at + self.base[s], -1)
-        return out
-
-    def value(self, ranks: np.ndarray, name: str, kind) -> np.ndarray:
-        """Per-word numbers of sorted known ranks."""
-        out = np.zeros(len(ranks), np.int64)
-        edge = np.searchsorted(ranks, self.base)
-        for s in np.flatnonzero(np.diff(edge)).tolist():
-            out[edge[s] : edge[s + 1]] = mapped(self.folder, f"w{s}.{name}", kind, self.sizes[s])[ranks[edge[s] : edge[s + 1]] - self.base[s]]
-        return out
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks, counts) of sorted distinct hashes; -1 and 0 where unknown."""
+        rank, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        shard = _range(hashes, self.bits)
+        for s, a, b in _runs(shard):
+            if n := int(self.sizes[s]):
+                own, times = mapped(self.folder, f"w{s}", self.kinds[s], n)
+                at = np.minimum(np.searchsorted(own, hashes[a:b]), n - 1)
+                hit = own[at] == hashes[a:b]
+                rank[a:b] = np.where(hit, at + self.base[s], -1)
+                count[a:b] = np.where(hit, times[at], 0)
+        return rank, count
+
+
+def _range(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _runs(sorted_shards: np.ndarray):
+    """(shard, begin, end) of the runs of a sorted array."""
+    if not len(sorted_shards):
+        return
+    head = np.flatnonzero(np.append(True, sorted_shards[1:] != sorted_shards[:-1]))
+    yield from zip(sorted_shards[head].tolist(), head.tolist(), np.append(head[1:], len(sorted_shards)).tolist(), strict=True)
 
 
 def _tokens(batch: pa.RecordBatch, at: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -181,20 +236,75 @@ def _tokens(batch: pa.RecordBatch, at: int = 1) -> tuple[np.ndarray, np.ndarray]
     return np.insert(word, stop, END), np.insert(row, stop, np.arange(batch.num_rows))
 
 
+def _windows(rank: np.ndarray, row: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+    """The columns of each token's n-gram: order - 1 words before it, `begin` before the text's first, and itself."""
+    place = ragged(np.bincount(row))
+    return [np.where(place >= k, np.concatenate([np.full(min(k, len(rank)), begin), rank[: max(0, len(rank) - k)]]), begin) for k in range(order - 1, 0, -1)] + [rank]
+
+
+def _shard(columns: list[np.ndarray], often: list[np.ndarray], bits: int) -> np.ndarray:
+    """The shard of each tuple: by its first words, or by all where the first are all frequent."""
+    before = chained(columns[:-1])
+    hot = np.logical_and.reduce(often)
+    return _range(np.where(hot, mix(before * U(0x100000001B3) + columns[-1].astype(U) + U(1)), before), bits)
+
+
+def _blobs(shard: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], top: int) -> pa.RecordBatch:
+    """A row (shard, blob) for each shard, its tuples sorted by their first word; `top`: the largest rank."""
+    wide, most = int(top).bit_length(), int(shard.max(initial=0)).bit_length()
+    first = columns[0].astype(U)
+    if len(columns) > 1 and 2 * wide + most <= 64:  # the second word's order only makes blobs smaller
+        order = np.argsort((shard.astype(U) << U(2 * wide)) | (first << U(wide)) | columns[1].astype(U))
+    elif wide + most <= 64:
+        order = np.argsort((shard.astype(U) << U(wide)) | first if wide < 64 else first)
+    else:
+        order = np.lexsort((first, shard))
+    shard, columns, values = shard[order], [c[order] for c in columns], [v[order] for v in values]
+    runs = list(_runs(shard))
+    blobs = [pack(*(c[a:b] for c in columns), *(v[a:b] for v in values)) for _, a, b in runs]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(runs), pa.string())], schema=ROWS)
+
+
+ROWS = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("note", pa.string())])
+SQL_ROWS = "shard int, blob binary, note string"
+
+
+def _counted(batches, columns_of, flush):
+    """Hold columns over slices of texts and hand them on, time and again."""
+    held, size = [], 0
+    for batch in text_slices(batches):
+        held.append(columns_of(batch))
+        size += len(held[-1][0])
+        if size >= HOLD:
+            yield flush([np.concatenate(c) for c in zip(*held, strict=True)])
+            held, size = [], 0
+    if held:
+        yield flush([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+@dataclass
+class Level:
+    """The stored tuples of one length: shards' sizes and types, discounts, and for single words their sums."""
+
+    sizes: np.ndarray
+    kinds: list[str]
+    discounts: tuple = (0.0, 0.5, 0.5, 0.5)
+    total: int = 0
+    ones: tuple = (0, 0, 0)
+
+
 @dataclass
 class Model:
     words: Words
-    pair_edges: np.ndarray
-    pair_sizes: list[int]
-    split: dict[int, tuple[int, int, int]]
-    block: np.ndarray
+    order: int
+    share: int
+    levels: dict[int, Level] = field(default_factory=dict)
     tokens: int = 0
-    vocabulary: int = 0
     texts: int = 0
-    before: int = 0
-    discounts: tuple = (0.0, 0.0, 0.0, 0.0)
-    lower: tuple = (0.0, 0.0, 0.0, 0.0)
-    lower_counts: tuple = field(default=(0, 0, 0))
+
+    @property
+    def vocabulary(self) -> int:
+        return int(self.words.base[-1])
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float, float]:
@@ -207,202 +317,222 @@ def _discounts(n: list[int]) -> tuple[float, float, float, float]:
     return (0.0, *(float(min(max(x, 0.05), i + 0.95)) for i, x in enumerate(d)))
 
 
-def _shards(model_split: dict, block: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Shard of each sorted pair key: by the block of its first word; a split word's pairs by the second word as well."""
-    first = (keys >> U(32)).astype(np.int64)
-    out = np.searchsorted(block, first, "right") - 1
-    for v, (at, n, size) in model_split.items():
-        lo, hi = np.searchsorted(first, [v, v + 1])
-        second = (keys[lo:hi] & U(0xFFFFFFFF)).astype(np.int64)
-        out[lo:hi] = at + np.minimum(second * n // max(1, size), n - 1)
-    return out
-
-
-def _emit(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    head = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(shard))
-    return pa.RecordBatch.from_arrays([pa.array(shard[head].astype(np.int32)), pa.array([pack(keys[a:b], counts[a:b]) for a, b in zip(head, tail, strict=True)], pa.binary())], ["shard", "blob"])
+def _counts_of(count: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(count, 5).astype(np.int64), minlength=6)[1:5].tolist()
 
 
-def _counted(batches, tokens_of, shard_of):
-    """Pre-aggregate 64-bit tokens over slices of texts and emit a blob for each shard, time and again."""
-    keys, counts, held = [], [], 0
+def _bits(total: int) -> int:
+    """Shards, as a power of two, for so many bytes of input."""
+    each = min(SHARD_MOST, max(SHARD_BYTES, total >> 12))
+    return (max(4, -(-total // each)) - 1).bit_length()
 
-    def flush():
-        k, c = totals(np.concatenate(keys), np.concatenate(counts))
-        return _emit(shard_of(k), k, c)
 
-    for batch in text_slices(batches):
-        k, c = np.unique(tokens_of(batch), return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        held += len(k)
-        if held >= HOLD:
-            yield flush()
-            keys, counts, held = [], [], 0
-    if keys:
-        yield flush()
-
-
-def train(docs: DataFrame, allowed: Column) -> Model:
+def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
     """Count the texts of the rows that fulfil `allowed` and store the model's arrays in the shared folder."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     folder = shared_dir(spark)
     spark.range(1).write.parquet(f"{folder}/made")
     texts = docs.where(allowed).select("doc_id", "text")
-    bits = (pieces(input_bytes(docs), SHARD_BYTES, 4, 1 << 14) - 1).bit_length()
+    bits = _bits(input_bytes(docs))
+    shards = 1 << bits
+    tasks = max(min(shards, 64), shards // 8)
+    dealt = lambda rows: rows.repartition(tasks, "shard").groupBy("shard")
 
     def to_words(batches):
-        return _counted(batches, lambda b: _tokens(b)[0], lambda k: (k >> U(64 - bits)).astype(np.int64))
+        def flush(columns):
+            keys, _, (count,) = grouped(columns[0], [np.ones(len(columns[0]), np.int64)])
+            return _blobs(_range(keys, bits), [keys], [count], (1 << 64) - 1)
+
+        return _counted(batches, lambda b: [_tokens(b)[0]], flush)
 
     def store_words(key, table):
         s = key[0].as_py()
-        hashes, counts = merged(table["blob"].to_pylist())
-        save(folder, f"w{s}", hash=hashes, count=counts.astype(np.uint32))
-        often = np.argsort(-counts, kind="stable")[:64]
-        stops = int(counts[hashes == END].sum())
-        return pa.table({"shard": [s], "n": [len(hashes)], "tokens": [int(counts.sum())], "stops": [stops], "often": [often.tolist()], "times": [counts[often].tolist()]}, schema=pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("tokens", pa.int64()), ("stops", pa.int64()), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
-
-    made = texts.mapInArrow(to_words, "shard int, blob binary").groupBy("shard").applyInArrow(store_words, "shard int, n long, tokens long, stops long, often array<long>, times array<long>").collect()
-    sizes, tokens, stops = [0] * (1 << bits), 0, 0
-    for r in made:
-        sizes[r["shard"]] = r["n"]
-        tokens, stops = tokens + r["tokens"], stops + r["stops"]
-    known = Words(folder, bits, sizes)
-    vocabulary = int(known.base[-1])
-    # blocks of first words: one per word shard, and a word with over a shard's share of the tokens has shards of its own
-    block = known.base[:-1].copy()
-    share, split, at = max(1, tokens >> bits), {}, len(block)
-    often = [(int(known.base[r["shard"]] + i), c) for r in made for i, c in zip(r["often"], r["times"], strict=True) if c > share]
-    for v, c in [*sorted(often), (int(BEGIN), stops)]:
-        n = max(1, -(-c // share))
-        split[v] = (at, n, vocabulary)
-        at += n
-
-    def to_pairs(batches):
-        def pairs(batch):
+        keys, counts = _pieces(table["blob"].to_pylist())
+        keys, _, (counts,) = grouped(keys, [counts])
+        kinds = save(folder, f"w{s}", [keys, counts])
+        note = {"n": len(keys), "kinds": kinds, "tokens": int(counts.sum()), "stops": int(counts[keys == END].sum())}
+        return pa.Table.from_arrays([pa.array([s], pa.int32()), pa.nulls(1, pa.binary()), pa.array([json.dumps(note)])], schema=ROWS)
+
+    sizes, kinds, tokens, stops = np.zeros(shards, np.int64), ["LB"] * shards, 0, 0
+    for r in dealt(texts.mapInArrow(to_words, SQL_ROWS)).applyInArrow(store_words, SQL_ROWS).select("shard", "note").collect():
+        note = json.loads(r["note"])
+        sizes[r["shard"]], kinds[r["shard"]] = note["n"], note["kinds"]
+        tokens, stops = tokens + note["tokens"], stops + note["stops"]
+    forget_shuffles(spark)
+    model = Model(Words(folder, bits, sizes, kinds), order, max(1, tokens >> bits), {}, tokens, stops)
+    begin = model.vocabulary
+    narrow = np.int32 if begin < 1 << 31 else np.int64
+    held = spark.sparkContext.broadcast(model)
+
+    def to_tuples(batches):
+        own = held.value
+
+        def columns_of(batch):
             hashes, row = _tokens(batch)
             word, index = np.unique(hashes, return_inverse=True)
-            rank = known.rank(word)[index]
-            first = np.append(BEGIN, rank[:-1])
-            first[np.append(True, row[1:] != row[:-1])] = BEGIN
-            return (first.astype(U) << U(32)) | rank.astype(U)
-
-        return _counted(batches, pairs, lambda k: _shards(split, block, k))
-
-    def store_pairs(key, table):
-        s = key[0].as_py()
-        keys, counts = merged(table["blob"].to_pylist())
-        save(folder, f"p{s}", key=keys, count=np.minimum(counts, 2**32 - 1).astype(np.uint32))
-        first = (keys >> U(32)).astype(np.int64)
-        few = np.minimum(counts, 3)
-        owner = None
-        parts = []
-        if s < len(block):
-            lo, n = int(block[s]), sizes[s]
-            for i in (1, 2, 3):
-                parts.append(np.bincount((first - lo)[few == i], minlength=n).astype(np.uint32))
-            save(folder, f"f{s}", n1=parts[0], n2=parts[1], n3=parts[2])
-        else:
-            owner = [int((few == i).sum()) for i in (1, 2, 3)]
-        after, times = np.unique(keys & U(0xFFFFFFFF), return_counts=True)
-        to = np.searchsorted(known.base, after.astype(np.int64), "right") - 1
-        out = _emit(to, after, times)
-        n = out.num_rows
-        seen = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.Table.from_arrays([pa.array([-1] + out.column(0).to_pylist(), pa.int32()), pa.array([None] + out.column(1).to_pylist(), pa.binary()), pa.array([json.dumps({"shard": s, "n": len(keys), "seen": seen, "owner": owner, "first": int(first[0]) if owner else None})] + [None] * n, pa.string())], names=["shard", "blob", "note"])
-
-    done = written(texts.mapInArrow(to_pairs, "shard int, blob binary").groupBy("shard").applyInArrow(store_pairs, "shard int, blob binary, note string"), f"{folder}/before")
-    notes = [json.loads(r[0]) for r in done.where("shard < 0").select("note").collect()]
-    pair_sizes, seen, owners = [0] * at, np.zeros(4, np.int64), {}
-    for x in notes:
-        pair_sizes[x["shard"]] = x["n"]
-        seen += x["seen"]
-        if x["owner"]:
-            owners[x["first"]] = [a + b for a, b in zip(owners.get(x["first"], [0, 0, 0]), x["owner"], strict=True)]
-
-    def store_before(key, table):
-        s = key[0].as_py()
-        ranks, counts = merged(table["blob"].to_pylist())
-        full = np.zeros(sizes[s], np.uint32)
-        full[ranks.astype(np.int64) - known.base[s]] = counts
-        save(folder, f"w{s}", before=full)
-        return pa.table({"total": [int(counts.sum())], "seen": [[int((counts == i).sum()) for i in (1, 2, 3, 4)] + [len(counts)]]}, schema=pa.schema([("total", pa.int64()), ("seen", pa.list_(pa.int64()))]))
-
-    sums = done.where("shard >= 0").select("shard", "blob").groupBy("shard").applyInArrow(store_before, "total long, seen array<long>").collect()
-    drop(spark, f"{folder}/before")
-    ones = np.sum([r["seen"] for r in sums], axis=0) if sums else np.zeros(5, np.int64)
-    model = Model(known, np.zeros(0), pair_sizes, split, block, tokens, vocabulary, stops, sum(r["total"] for r in sums), _discounts(seen.tolist()), _discounts(ones[:4].tolist()))
-    model.lower_counts = (int(ones[0]), int(ones[1]), int(ones[4] - ones[0] - ones[1]))
-    model.owners = owners
+            rank, count = own.words.find(word)
+            hot = np.append(count > own.share, own.texts > own.share)
+            columns = _windows(rank[index].astype(narrow), row, order, begin)
+            place = _windows(index, row, order, len(word))
+            return [*columns, np.logical_and.reduce([hot[p] for p in place[:-1]])]
+
+        def flush(columns):
+            *columns, hot = columns
+            _, at, (count,) = grouped(chained(columns), [np.ones(len(hot), np.int64)])
+            columns = [c[at] for c in columns]
+            return _blobs(_shard(columns, [hot[at]], bits), columns, [count], begin)
+
+        return _counted(batches, columns_of, flush)
+
+    def store(level):
+        """Merge a shard's tuples of `level` words, store them, and tell the shorter ones."""
+
+        def run(key, table):
+            own, s = held.value, key[0].as_py()
+            notes = [x for x in table["note"].to_pylist() if x is not None]
+            blobs = [x for x in table["blob"].to_pylist() if x is not None]
+            out = [pa.RecordBatch.from_arrays([pa.array([s] * len(notes), pa.int32()), pa.nulls(len(notes), pa.binary()), pa.array(notes, pa.string())], schema=ROWS)]
+            if not blobs:
+                return pa.Table.from_batches(out, schema=ROWS)
+            parts = _pieces(blobs)
+            columns, values = parts[:level], [v.astype(np.int64) for v in parts[level:]]
+            keys, at, values = grouped(chained(columns), values)
+            columns = [c[at].astype(np.int64) for c in columns]
+            if level > 1:
+                kinds, n = save(folder, f"g{level}_{s}", [keys, *values]), len(keys)
+            else:  # a place for every word of the shard, and in the last for the begin sign
+                n = int(own.words.sizes[s]) + (s == shards - 1)
+                full = [np.zeros(n, np.int64) for _ in values]
+                for f, v in zip(full, values, strict=True):
+                    f[columns[0] - own.words.base[s]] = v
+                kinds = save(folder, f"g1_{s}", full)
+            count = values[0]
+            note = {"level": level, "shard": s, "n": n, "kinds": kinds, "seen": _counts_of(count), "total": int(count.sum()), "more": int((count > 2).sum())}
+            out.append(pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.nulls(1, pa.binary()), pa.array([json.dumps(note)], pa.string())], schema=ROWS))
+            real = count > 0
+            if level > 1 and real.any():
+                columns, count = [c[real] for c in columns], count[real]
+                none, one = np.zeros(len(count), np.int64), np.ones(len(count), np.int64)
+                few = np.minimum(count, 3)
+                follow = [none, count, *((few == i).astype(np.int64) for i in (1, 2, 3))]
+                shorter = [np.concatenate(x) for x in zip(columns[:-1], columns[1:], strict=True)]
+                _, at, sums = grouped(chained(shorter), [np.concatenate(x) for x in zip(follow, [one, none, none, none, none], strict=True)])
+                shorter = [c[at] for c in shorter]
+                if level > 2:
+                    hot = [frequent(own, c) for c in shorter[:-1]]
+                    shard = _shard(shorter, hot, bits)
+                else:
+                    shard = np.minimum(np.searchsorted(own.words.base, shorter[0], "right") - 1, shards - 1)
+                out.append(_blobs(shard, shorter, sums, begin))
+            return pa.Table.from_batches(out, schema=ROWS)
+
+        return run
+
+    rows = texts.mapInArrow(to_tuples, SQL_ROWS)
+    for level in range(order, 0, -1):
+        rows = dealt(rows).applyInArrow(store(level), SQL_ROWS)
+    notes: dict[int, list] = {k: [] for k in range(1, order + 1)}
+    for r in rows.where("note is not null").select("note").collect():
+        note = json.loads(r["note"])
+        notes[note["level"]].append(note)
+    for level, own in notes.items():
+        sizes, kinds, seen = np.zeros(shards, np.int64), [""] * shards, np.zeros(4, np.int64)
+        for x in own:
+            sizes[x["shard"]], kinds[x["shard"]] = x["n"], x["kinds"]
+            seen += x["seen"]
+        model.levels[level] = Level(sizes, kinds, _discounts(seen.tolist()), sum(x["total"] for x in own), (int(seen[0]), int(seen[1]), sum(x["more"] for x in own)))
+    held.unpersist()
+    forget_shuffles(spark)
     return model
 
 
-def _spread(model: Model, ranks: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """g(v): the probability that the discounts of each (sorted, distinct) first word leave to the lower order."""
-    d = model.discounts
-    out = np.ones(len(ranks))
-    known, folder = model.words, model.words.folder
-    edge = np.searchsorted(ranks, np.append(model.block, model.vocabulary))
-    for s in np.flatnonzero(np.diff(edge)).tolist():
-        if not model.pair_sizes[s]:
-            continue
-        at = ranks[edge[s] : edge[s + 1]] - model.block[s]
-        n = known.sizes[s]
-        left = sum(d[i] * mapped(folder, f"f{s}.n{i}", np.uint32, n)[at].astype(np.float64) for i in (1, 2, 3))
-        out[edge[s] : edge[s + 1]] = left / np.maximum(count[edge[s] : edge[s + 1]], 1)
-    for v, n in model.owners.items():
-        i = np.searchsorted(ranks, v)
-        if i < len(ranks) and ranks[i] == v:
-            out[i] = sum(d[j + 1] * n[j] for j in range(3)) / max(1, count[i])
+def frequent(model: Model, ranks: np.ndarray) -> np.ndarray:
+    """Whether each word, or the begin sign, occurs more often than a shard's share of the tokens."""
+    some, index = np.unique(ranks, return_inverse=True)
+    out = np.zeros(len(some), bool)
+    known = model.words
+    shard = np.searchsorted(known.base, some, "right") - 1
+    for s, a, b in _runs(shard):
+        if s >= len(known.sizes):
+            out[a:b] = model.texts > model.share
+        else:
+            out[a:b] = mapped(known.folder, f"w{s}", known.kinds[s], int(known.sizes[s]))[1][some[a:b] - known.base[s]] > model.share
+    return out[index]
+
+
+def _found(model: Model, level: int, keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+    """The stored numbers of each tuple (zeros where unknown), looked up once for each distinct one."""
+    own = model.levels[level]
+    width = 1 if level == model.order else len(FIELDS)
+    order = np.lexsort((keys, shard))
+    head = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    some, of = keys[order][head], shard[order][head]
+    out = [np.zeros(len(some), np.int64) for _ in range(width)]
+    for s, a, b in _runs(of):
+        if n := int(own.sizes[s]):
+            stored, *values = mapped(model.words.folder, f"g{level}_{s}", own.kinds[s], n)
+            at = np.minimum(np.searchsorted(stored, some[a:b]), n - 1)
+            hit = stored[at] == some[a:b]
+            for o, v in zip(out, values, strict=True):
+                o[a:b] = np.where(hit, v[at], 0)
+    back = np.zeros(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+    return [o[back] for o in out]
+
+
+def _single(model: Model, ranks: np.ndarray) -> list[np.ndarray]:
+    """The stored numbers of sorted distinct words by rank, the begin sign included."""
+    own, known = model.levels[1], model.words
+    out = [np.zeros(len(ranks), np.int64) for _ in FIELDS]
+    shard = np.minimum(np.searchsorted(known.base, ranks, "right") - 1, len(known.sizes) - 1)
+    for s, a, b in _runs(shard):
+        if n := int(own.sizes[s]):
+            for o, v in zip(out, mapped(known.folder, f"g1_{s}", own.kinds[s], n), strict=True):
+                o[a:b] = v[ranks[a:b] - known.base[s]]
     return out
 
 
 def _score(model: Model, batch: pa.RecordBatch) -> list[pa.Array]:
     hashes, row = _tokens(batch)
-    n = batch.num_rows
+    n, begin, order = batch.num_rows, model.vocabulary, model.order
     word, index = np.unique(hashes, return_inverse=True)
-    rank = model.words.rank(word)
-    ok = rank >= 0
-    ranks = rank[ok]
-    count, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-    count[ok] = model.words.value(ranks, "count", np.uint32)
-    if model.before:
-        before[ok] = model.words.value(ranks, "before", np.uint32)
-    base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
-    e = np.array(model.lower)
-    if model.before:
-        left = sum(x * y for x, y in zip(model.lower[1:], model.lower_counts, strict=True)) / model.before
-        low = np.maximum(before - e[np.minimum(before, 3)], 0) / model.before + left / (model.vocabulary + 1)
+    rank, count = model.words.find(word)
+    base = np.log10((count + 0.5) / (model.tokens + 0.5 * (begin + 1)))
+    numbers = [np.zeros(len(word) + 1, np.int64) for _ in FIELDS]  # of each word, and of the begin sign
+    know = np.append(rank >= 0, True)
+    for o, v in zip(numbers, _single(model, np.append(rank[rank >= 0], begin)), strict=True):
+        o[know] = v
+    low = model.levels[1]
+    if low.total:
+        e = np.array(low.discounts)
+        before = numbers[0][:-1]
+        left = sum(x * y for x, y in zip(low.discounts[1:], low.ones, strict=True)) / low.total
+        p = (np.maximum(before - e[np.minimum(before, 3)], 0) / low.total + left / (begin + 1))[index]
     else:
-        low = np.full(len(word), 1 / (model.vocabulary + 1))
-    # g(v) of each word as a first word: the end token is never one, the beginning is one of its own
-    spread = np.ones(len(word) + 1)
-    spread[:-1][ok] = _spread(model, ranks, count[ok])
-    spread[-1] = _spread(model, np.array([BEGIN]), np.array([model.texts]))[0] if model.texts else 1.0
-    as_first = np.append(np.where(ok, count, 0), model.texts)
-    first = np.append(len(word), index[:-1])
-    first[np.append(True, row[1:] != row[:-1])] = len(word)
-    known = np.append(rank, BEGIN)[first]
-    second = rank[index]
-    both = (known >= 0) & (second >= 0)
-    key, at = np.unique((known[both].astype(U) << U(32)) | second[both].astype(U), return_inverse=True)
-    times = np.zeros(len(key), np.int64)
-    shard = _shards(model.split, model.block, key)
-    order = np.argsort(shard, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(len(model.pair_sizes) + 1))
-    for s in np.flatnonzero(np.diff(edge)).tolist():
-        if m := model.pair_sizes[s]:
-            pick = order[edge[s] : edge[s + 1]]
-            own = mapped(model.words.folder, f"p{s}.key", U, m)
-            where = np.minimum(np.searchsorted(own, key[pick]), m - 1)
-            times[pick] = np.where(own[where] == key[pick], mapped(model.words.folder, f"p{s}.count", np.uint32, m)[where], 0)
-    seen = np.zeros(len(index), np.int64)
-    seen[both] = times[at]
-    d = np.array(model.discounts)
-    p = np.maximum(seen - d[np.minimum(seen, 3)], 0) / np.maximum(as_first[first], 1) + spread[first] * low[index]
+        p = np.full(len(index), 1 / (begin + 1))
+    place = ragged(np.bincount(row, minlength=n))
+    spot = _windows(index, row, order, len(word))
+    columns = [np.append(rank, begin)[x] for x in spot]
+    hot = np.append(count > model.share, model.texts > model.share)
+    # what follows each token's last words; the entry behind the last is that of begin signs alone
+    after = [np.append(v[index], v[-1]) for v in numbers]
+    for level in range(2, order + 1):
+        own = [np.append(c, begin) for c in columns[order - level :]]
+        warm = np.logical_and.reduce([np.append(hot[x], hot[-1]) for x in spot[order - level : -1]])
+        ok = np.logical_and.reduce([c >= 0 for c in own])
+        picked = [c[ok] for c in own]
+        found = [np.zeros(len(ok), np.int64) for _ in range(1 if level == order else len(FIELDS))]
+        for o, v in zip(found, _found(model, level, chained(picked), _shard(picked, [warm[ok]], model.words.bits)), strict=True):
+            o[ok] = v
+        d = np.array(model.levels[level].discounts)
+        from_here = np.where(place > 0, np.arange(len(index)) - 1, len(index))
+        total, few = after[1][from_here], [after[i][from_here] for i in (2, 3, 4)]
+        seen = found[0][:-1]
+        spread = sum(d[i + 1] * f for i, f in enumerate(few))
+        p = np.where(total > 0, (np.maximum(seen - d[np.minimum(seen, 3)], 0) + spread * p) / np.maximum(total, 1), p)
+        after = found
     add = lambda x: pa.array(np.bincount(row, weights=x, minlength=n))
     whole = lambda x: pa.array(np.bincount(row, weights=x, minlength=n).astype(np.int64))
     return [whole(np.ones(len(row))), whole((count > 0)[index]), pa.array(np.full(n, model.tokens)), add(base[index]), add(np.log10(p))]
@@ -411,9 +541,10 @@ def _score(model: Model, batch: pa.RecordBatch) -> list[pa.Array]:
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): logarithms of probabilities to the base ten."""
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a shard
 
     def run(batches):
         for b in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), *_score(model, b)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *_score(held.value, b)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

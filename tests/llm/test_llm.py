@@ -286,41 +286,63 @@ def test_classifiers(spark, docs, empty):
     assert quality.scores(docs, none).first()["score"] == 0.5 and langid.predictions(docs, langid.train(empty, F.lit(True))).first()["lang_pred"] == "und"
 
 
-def test_language_model_against_brute_force(spark, docs, empty):
+@pytest.mark.parametrize(("order", "shard", "hold"), [(2, 8 << 20, 3_000_000), (3, 2_000, 3_000), (4, 8 << 20, 3_000_000)])
+def test_language_model_against_brute_force(spark, docs, empty, monkeypatch, order, shard, hold):
+    """All levels from plain counts; small shards, so that frequent words' tuples are dealt by their own hash."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", shard)
+    monkeypatch.setattr(lm, "HOLD", hold)
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id is not null"))
-    m = lm.train(d, remainder("doc_id", 5) != 1)
+    m = lm.train(d, remainder("doc_id", 5) != 1, order)
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     tok = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(lower)), b"\0end"]
-    one, two = Counter(), Counter()
+    one, grams = Counter(), {order: Counter()}
     rows = d.collect()
     for r in rows:
         if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
-            w = tok(r["text"])
-            one.update(w)
-            two.update(zip([b"\0begin", *w], w, strict=False))
+            w = [b"\0begin"] * (order - 1) + tok(r["text"])
+            one.update(w[order - 1 :])
+            grams[order].update(zip(*[w[i:] for i in range(order)], strict=False))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
     n, v = sum(one.values()), len(one)
-    before, total, few = Counter(b for _, b in two), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in two.items():
-        total[a] += c
-        few[a][min(c, 3) - 1] += 1
-    high = lm._discounts([sum(c == i for c in two.values()) for i in (1, 2, 3, 4)])
-    low = lm._discounts([sum(c == i for c in before.values()) for i in (1, 2, 3, 4)])
-    left = sum(low[min(c, 3)] for c in before.values()) / len(two)
-    q = lambda w: max(before[w] - low[min(before[w], 3)], 0) / len(two) + left / (v + 1)
+    discount = {k: lm._discounts([sum(c == i for c in g.values()) for i in (1, 2, 3, 4)]) for k, g in grams.items()}
+    total, few = Counter(), defaultdict(lambda: [0, 0, 0])
+    for g in grams.values():
+        for t, c in g.items():
+            total[t[:-1]] += c
+            few[t[:-1]][min(c, 3) - 1] += 1
+
+    def p(before, x):
+        k = len(before) + 1
+        c, e = grams[k].get((*before, x), 0), discount[k]
+        if not before:
+            return max(c - e[min(c, 3)], 0) / total[()] + sum(e[i + 1] * few[()][i] for i in range(3)) / total[()] / (v + 1)
+        lower = p(before[1:], x)
+        return (max(c - e[min(c, 3)], 0) + sum(e[i + 1] * few[before][i] for i in range(3)) * lower) / total[before] if total[before] else lower
+
     got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in lm.scores(d, m).collect())
     want = Counter()
     for r in rows:
-        w, p, s = tok(r["text"]), b"\0begin", 0.0
-        for x in w:
-            c = two.get((p, x), 0)
-            s += np.log10((max(c - high[min(c, 3)], 0) / total[p] + sum(high[i + 1] * few[p][i] for i in range(3)) / total[p] * q(x)) if total[p] else q(x))
-            p = x
-        want[(r["doc_id"], len(w), sum(one[x] > 0 for x in w), n, round(sum(np.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4), round(s, 4))] += 1
+        w = [b"\0begin"] * (order - 1) + tok(r["text"])
+        s = sum(np.log10(p(tuple(w[i - order + 1 : i]), w[i])) for i in range(order - 1, len(w)))
+        own = w[order - 1 :]
+        want[(r["doc_id"], len(own), sum(one[x] > 0 for x in own), n, round(sum(np.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in own), 4), round(s, 4))] += 1
     assert sum((got - want).values()) <= 2  # rounding at the fourth digit
-    bare = lm.train(empty, F.lit(True))
+    bare = lm.train(empty, F.lit(True), order)
     assert lm.scores(docs, bare).count() == len(AWKWARD) and lm.scores(empty, bare).count() == 0
 
 
+def test_language_model_counts_are_64_bit(spark):
+    keys, count = np.array([3, 9, 1 << 62], "u8"), np.array([1, 1 << 40, 7], "u8")
+    assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(keys, count)), (keys, count), strict=True))
+    huge = [np.array([5, 5, 1 << 33]), np.array([1 << 34, 1 << 34, 2])]
+    assert len(np.unique(lm.chained(huge))) == 2
+    folder = "file:" + lm.shared_dir(spark)
+    kinds = lm.save(folder, "x", [keys, count.astype("i8"), np.array([1, 2, 3])])
+    again = lm.save(folder, "x", [keys, count.astype("i8"), np.array([1, 2, 3])])
+    assert kinds == again and all((x == y).all() for x, y in zip(lm.mapped(folder, "x", kinds, 3), (keys, count, [1, 2, 3]), strict=True))
+
+
 def test_licence_rules(spark, docs):
     text = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this\nThe above copyright notice and this permission notice shall be included in all\ncopies\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\n'
     df = spark.createDataFrame([(1, text), (2, "All rights reserved. All rights reserved!"), (3, None), (4, "")], "doc_id long, text string")
