@@ -3,7 +3,8 @@
 Counted in Spark, stored as sorted hash arrays in the shared folder, memory-mapped by the workers that score.
 
 1. words    every slice of texts is tokenised on its flat bytes and pre-aggregated to (word hash, count); shards by hash
-            range merge them.  A word's rank in hash order is its number from then on.
+            range merge them.  A word's rank, first by the magnitude of its count and then by hash, is its number from then
+            on: so frequent words have small numbers, which blobs keep in few bytes.
 2. n-grams  (words before, word) as tuples of ranks, pre-aggregated per task; shards merge them and store the sorted 64-bit
             hashes of the tuples with their counts.  Each shard also tells, of every tuple without its last word, how much
             follows it, and of every tuple without its first, before how many distinct words it stands.
@@ -19,7 +20,8 @@ the same bytes under the same name.
 P(w|u) = max(c(uw)-D_c(uw),0)/c(u) + g(u) P'(w|u'), u' being u without its first word, P' counting distinct words before
 instead of occurrences; the words' own level leaves one share for unknown words.  Where u was never seen, P(w|u) is
 P'(w|u').  Discounts are Chen and Goodman's, from each level's counts of counts.  Texts begin after order - 1 begin signs.
-Counts are exact up to 2**63; tuples are told apart by 64-bit hashes of their ranks.
+Counts are exact up to 2**63; tuples are counted by 64-bit hashes of their ranks.  Stored hashes are sorted, in buckets by
+their first bits with 40 more of each kept; the numbers of a tuple are an entry in its shard's list of distinct ones.
 
 Edge cases: null and empty texts are one end token; texts of any length are counted and scored whole; an empty training
 set gives the uniform distribution over one unknown word; repeated rows count as often as they stand; null ids count as
@@ -43,24 +45,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boscage.llm._bytes import U, mix, ragged, words
-from boscage.llm._common import forget_shuffles, input_bytes, shared_dir, text_slices, utf8
+from boscage.llm._common import forget_shuffles, release, input_bytes, shared_dir, text_slices, utf8
 
 #: The words of an n-gram unless the caller says otherwise.
 ORDER = 3
 #: The hash that stands for the end of a text.
 END = U(0)
 #: Stored bytes of input for each shard, at least and at most (between them 4,096 shards), and tokens that a task holds.
-SHARD_BYTES, SHARD_MOST, HOLD = 8 << 20, 48 << 20, 3_000_000
+SHARD_BYTES, SHARD_MOST, HOLD = 4 << 20, 16 << 20, 2_000_000
+#: Tuples of a bucket on average.
+BUCKET = 16
 #: Bytes that a worker keeps of a store that can't be mapped; beyond it what was used longest ago goes.
 FETCHED = 256 << 20
 #: What is stored of a tuple: its own count, then the sum and the numbers of ones, twos and larger counts that follow it.
 FIELDS = ("c", "total", "n1", "n2", "n3")
 
 
-def pack(*columns: np.ndarray, raw: int = 3) -> bytes:
-    """Columns of 64-bit whole numbers, the first sorted and kept as deltas, in byte planes; planes of zeros take no room.
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit whole numbers, the first sorted and kept as deltas, in byte planes.
 
-    The low `raw` planes of a column are not compressed: in keys they are noise.
+    Planes of zeros take no room, and planes whose first bytes don't shrink are kept as they are.
     """
     out = [len(columns[0]).to_bytes(8, "little"), len(columns).to_bytes(8, "little")]
     for i, column in enumerate(columns):
@@ -72,26 +76,36 @@ def pack(*columns: np.ndarray, raw: int = 3) -> bytes:
                 out.append(bytes(4))
                 continue
             plane = plane.tobytes()
-            small = zlib.compress(plane, 1) if j >= raw else plane
+            tried = plane[:4096]
+            small = zlib.compress(plane, 1) if len(zlib.compress(tried, 1)) < 0.95 * len(tried) else plane
             out += [len(small).to_bytes(4, "little"), small] if len(small) < len(plane) else [(1 << 31 | len(plane)).to_bytes(4, "little"), plane]
     return b"".join(out)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    """The columns, each in the narrowest unsigned type."""
     n, k, at = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), 16
     out = []
     for i in range(k):
-        planes = np.zeros((n, 8), np.uint8)
-        for j in range(8):
+        planes = []
+        for _ in range(8):
             size = int.from_bytes(blob[at : at + 4], "little")
             at += 4
-            if size:
-                bare, size = size >> 31, size & ((1 << 31) - 1)
-                part = blob[at : at + size]
-                planes[:, j] = np.frombuffer(part if bare else zlib.decompress(part), np.uint8)
-                at += size
-        column = planes.view(U).ravel()
-        out.append(np.cumsum(column, dtype=U) if i == 0 else column)
+            bare, size = size >> 31, size & ((1 << 31) - 1)
+            part = blob[at : at + size]
+            planes.append(np.frombuffer(part if bare or not size else zlib.decompress(part), np.uint8) if size else None)
+            at += size
+        last = max((j for j, x in enumerate(planes) if x is not None), default=0)
+        width = next(w for w in (1, 2, 4, 8) if last < w)
+        full = np.zeros((n, width), np.uint8)
+        for j, x in enumerate(planes[:width]):
+            if x is not None:
+                full[:, j] = x
+        column = full.view(f"<u{width}").ravel()
+        if i == 0:
+            column = np.cumsum(column, dtype=U)
+            column = column.astype(np.min_scalar_type(int(column[-1]) if n else 0), copy=False)
+        out.append(column)
     return out
 
 
@@ -107,7 +121,7 @@ def grouped(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     order = np.argsort(keys)
     keys = keys[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[head], order[head], [np.add.reduceat(s[order], head) for s in sums]
+    return keys[head], order[head], [np.add.reduceat(s[order], head, dtype=np.int64) for s in sums]
 
 
 def chained(columns: list[np.ndarray]) -> np.ndarray:
@@ -129,92 +143,145 @@ def _files(folder: str):
     return None, store, path
 
 
-def save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """Write arrays, each in its narrowest type, end to end under a final name at once; returns the types' letters.
+def save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Write arrays, each in its narrowest type, end to end under a final name at once.
 
-    A repeated task or a second attempt writes drafts of its own and then the same bytes.
+    A repeated task or a second attempt writes a draft of its own and then the same bytes.
     """
     local, store, path = _files(folder)
-    arrays = [a if a.dtype == U else a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
-    data = b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+    arrays = [a.astype(np.min_scalar_type(int(a.max(initial=0))), copy=False) for a in arrays]
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], "<i8")
+    data = b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in (head, *arrays))
     draft = f"{local or path}/.{name}.{uuid.uuid4().hex}"
     if local:
         os.makedirs(local, exist_ok=True)
         with open(draft, "wb") as f:
             f.write(data)
         os.replace(draft, f"{local}/{name}")
-    else:
-        from pyarrow import fs
+        return
+    from pyarrow import fs
 
-        store.create_dir(path, recursive=True)
-        with store.open_output_stream(draft) as f:
-            f.write(data)
-        try:
-            store.move(draft, f"{path}/{name}")
-        except OSError:  # a store that doesn't overwrite: another attempt was first
-            if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-                raise
-            store.delete_file(draft)
-    return "".join(a.dtype.char for a in arrays)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(draft) as f:
+        f.write(data)
+    try:
+        store.move(draft, f"{path}/{name}")
+    except OSError:  # a store that doesn't overwrite: another attempt was first
+        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            raise
+        store.delete_file(draft)
 
 
-_maps: OrderedDict[str, object] = OrderedDict()
+_maps: OrderedDict[str, tuple[int, list[np.ndarray]]] = OrderedDict()
 
 
-def mapped(folder: str, name: str, kinds: str, n: int) -> list[np.ndarray]:
+def mapped(folder: str, name: str) -> list[np.ndarray]:
     """Arrays of the shared folder, memory-mapped; of a store that can't be mapped a bounded number is held in memory."""
     key = f"{folder}/{name}"
-    held = _maps.get(key)
-    if held is None:
-        local, store, path = _files(folder)
-        if local:
-            if len(_maps) > 20_000:
-                _maps.clear()
-            with open(f"{local}/{name}", "rb") as f:
-                try:  # without a descriptor of its own for each of many shards
-                    held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-                except TypeError:
-                    held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        else:
-            with store.open_input_stream(f"{path}/{name}") as f:
-                held = f.read()
-            while _maps and sum(len(x) for x in _maps.values()) + len(held) > FETCHED:
-                _maps.popitem(last=False)
-        _maps[key] = held
-    else:
+    if key in _maps:
         _maps.move_to_end(key)
-    out, at = [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(held, kind, n, at))
-        at += out[-1].nbytes + -out[-1].nbytes % 8
+        return _maps[key][1]
+    local, store, path = _files(folder)
+    if local:
+        with open(f"{local}/{name}", "rb") as f:
+            try:  # without a descriptor of its own for each of many shards
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            except TypeError:
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with store.open_input_stream(f"{path}/{name}") as f:
+            held = f.read()
+    out, at = [], 8
+    for size, n in np.frombuffer(held, "<i8", 2 * int(np.frombuffer(held, "<i8", 1)[0]), 8).reshape(-1, 2).tolist():
+        at = at if out else 8 + 16 * int(np.frombuffer(held, "<i8", 1)[0])
+        out.append(np.frombuffer(held, f"<u{size}", n, at))
+        at += n * size + -(n * size) % 8
+    weight = 0 if local else len(held)
+    while _maps and (len(_maps) >= 20_000 or weight + sum(x for x, _ in _maps.values()) > FETCHED):
+        _maps.popitem(last=False)
+    _maps[key] = (weight, out)
     return out
 
 
+def _turned(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The hashes with the bits that may have chosen the shard moved to the end."""
+    return (keys << U(bits)) | (keys >> U(64 - bits)) if bits else keys
+
+
+def stored(keys: np.ndarray, values: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Arrays to save of distinct tuples: buckets' ends, 32 and 8 bits of each sorted hash, entry, and the entries."""
+    keys = _turned(keys, bits)
+    order = np.argsort(keys)
+    keys = keys[order]
+    m = max(1, (len(keys) // BUCKET).bit_length())
+    ends = np.searchsorted(keys >> U(64 - m), np.arange(1 << m), "right")
+    values = [v[order] for v in values]
+    _, first, code = np.unique(chained(values), return_index=True, return_inverse=True)
+    return [ends, ((keys >> U(32 - m)) & U(0xFFFFFFFF)).astype(np.uint32), ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8), code, *(v[first] for v in values)]
+
+
+def looked_up(arrays: list[np.ndarray], keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The numbers of each key among what `stored` made of a shard, zeros where it isn't there."""
+    ends, high, low, code, *entries = arrays
+    keys = _turned(keys, bits)
+    m = (len(ends) - 1).bit_length()
+    bucket = (keys >> U(64 - m)).astype(np.int64)
+    want = ((keys >> U(32 - m)) & U(0xFFFFFFFF)).astype(np.uint32)
+    to = ends[bucket].astype(np.int64)
+    at = np.where(bucket > 0, ends[bucket - 1], 0).astype(np.int64)
+    for _ in range(int((to - at).max(initial=0)).bit_length()):  # binary search in all buckets at once
+        mid = np.minimum((at + to) // 2, len(high) - 1)
+        right = (high[mid] < want) & (at < to)
+        at, to = np.where(right, mid + 1, at), np.where(right | (at >= to), to, mid)
+    spot = np.minimum(at, len(high) - 1)
+    hit = (at < ends[bucket]) & (high[spot] == want) & (low[spot] == ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8))
+    of = code[spot]
+    return [np.where(hit, e[of], 0).astype(np.int64) for e in entries]
+
+
 @dataclass
 class Words:
-    """The sorted word hashes and their counts in shards of hash range; bits: shards as a power of two."""
+    """The sorted word hashes, counts and places in shards of hash range; bits: shards as a power of two.
+
+    sizes: words of each magnitude of count (largest first) and shard, in which order they are ranked.
+    """
 
     folder: str
     bits: int
     sizes: np.ndarray
-    kinds: list[str]
 
     def __post_init__(self):
-        self.base = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.sizes.ravel())]).astype(np.int64)
+        self.full = self.sizes.sum(0)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ranks, counts) of sorted distinct hashes; -1 and 0 where unknown."""
         rank, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = _range(hashes, self.bits)
-        for s, a, b in _runs(shard):
-            if n := int(self.sizes[s]):
-                own, times = mapped(self.folder, f"w{s}", self.kinds[s], n)
-                at = np.minimum(np.searchsorted(own, hashes[a:b]), n - 1)
+        for s, a, b in _runs(_range(hashes, self.bits)):
+            if n := int(self.full[s]):
+                own, times, place = mapped(self.folder, f"w{s}")
+                at = np.minimum(np.searchsorted(own, hashes[a:b].astype(own.dtype)), n - 1)
                 hit = own[at] == hashes[a:b]
-                rank[a:b] = np.where(hit, at + self.base[s], -1)
                 count[a:b] = np.where(hit, times[at], 0)
+                rank[a:b] = np.where(hit, self.base[_magnitude(times[at]) * len(self.full) + s] + place[at], -1)
         return rank, count
 
+    def owner(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, place among the shard's words by rank) of ranks; the begin sign is the last shard's last."""
+        n = len(self.full)
+        box = np.minimum(np.searchsorted(self.base, ranks, "right") - 1, self.sizes.size - 1)
+        shard = np.where(ranks >= self.base[-1], n - 1, box % n)
+        before = (np.cumsum(self.sizes, 0) - self.sizes).ravel()
+        return shard, np.where(ranks >= self.base[-1], self.full[n - 1], before[box] + ranks - self.base[box])
+
+
+#: Magnitudes of counts, the largest first.
+MAGNITUDES = 64
+
+
+def _magnitude(count: np.ndarray) -> np.ndarray:
+    return (MAGNITUDES - 1 - np.floor(np.log2(np.maximum(count.astype(np.float64), 1)))).astype(np.int64)
+
 
 def _range(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
@@ -284,10 +351,9 @@ def _counted(batches, columns_of, flush):
 
 @dataclass
 class Level:
-    """The stored tuples of one length: shards' sizes and types, discounts, and for single words their sums."""
+    """The stored tuples of one length: shards' sizes, discounts, and for single words their sums."""
 
     sizes: np.ndarray
-    kinds: list[str]
     discounts: tuple = (0.0, 0.5, 0.5, 0.5)
     total: int = 0
     ones: tuple = (0, 0, 0)
@@ -350,18 +416,23 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
     def store_words(key, table):
         s = key[0].as_py()
         keys, counts = _pieces(table["blob"].to_pylist())
-        keys, _, (counts,) = grouped(keys, [counts])
-        kinds = save(folder, f"w{s}", [keys, counts])
-        note = {"n": len(keys), "kinds": kinds, "tokens": int(counts.sum()), "stops": int(counts[keys == END].sum())}
+        keys, _, (counts,) = grouped(keys.astype(U, copy=False), [counts])
+        magnitude = _magnitude(counts)
+        order = np.argsort(magnitude, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[order] = ragged(np.bincount(magnitude))
+        save(folder, f"w{s}", [keys, counts, place])
+        release()
+        note = {"n": np.bincount(magnitude, minlength=MAGNITUDES).tolist(), "tokens": int(counts.sum()), "stops": int(counts[keys == END].sum())}
         return pa.Table.from_arrays([pa.array([s], pa.int32()), pa.nulls(1, pa.binary()), pa.array([json.dumps(note)])], schema=ROWS)
 
-    sizes, kinds, tokens, stops = np.zeros(shards, np.int64), ["LB"] * shards, 0, 0
+    sizes, tokens, stops = np.zeros((MAGNITUDES, shards), np.int64), 0, 0
     for r in dealt(texts.mapInArrow(to_words, SQL_ROWS)).applyInArrow(store_words, SQL_ROWS).select("shard", "note").collect():
         note = json.loads(r["note"])
-        sizes[r["shard"]], kinds[r["shard"]] = note["n"], note["kinds"]
+        sizes[:, r["shard"]] = note["n"]
         tokens, stops = tokens + note["tokens"], stops + note["stops"]
     forget_shuffles(spark)
-    model = Model(Words(folder, bits, sizes, kinds), order, max(1, tokens >> bits), {}, tokens, stops)
+    model = Model(Words(folder, bits, sizes), order, max(1, tokens >> bits), {}, tokens, stops)
     begin = model.vocabulary
     narrow = np.int32 if begin < 1 << 31 else np.int64
     held = spark.sparkContext.broadcast(model)
@@ -372,9 +443,9 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
         def columns_of(batch):
             hashes, row = _tokens(batch)
             word, index = np.unique(hashes, return_inverse=True)
-            rank, count = own.words.find(word)
-            hot = np.append(count > own.share, own.texts > own.share)
-            columns = _windows(rank[index].astype(narrow), row, order, begin)
+            rank, _ = own.words.find(word)
+            hot = frequent(own, np.append(rank, begin))
+            columns = _windows(rank.astype(narrow)[index], row, order, narrow(begin))
             place = _windows(index, row, order, len(word))
             return [*columns, np.logical_and.reduce([hot[p] for p in place[:-1]])]
 
@@ -397,19 +468,20 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
             if not blobs:
                 return pa.Table.from_batches(out, schema=ROWS)
             parts = _pieces(blobs)
-            columns, values = parts[:level], [v.astype(np.int64) for v in parts[level:]]
-            keys, at, values = grouped(chained(columns), values)
-            columns = [c[at].astype(np.int64) for c in columns]
+            keys, at, values = grouped(chained(parts[:level]), parts[level:])
+            columns = [c[at] for c in parts[:level]]
+            del parts, blobs
+            n = len(keys)
             if level > 1:
-                kinds, n = save(folder, f"g{level}_{s}", [keys, *values]), len(keys)
+                save(folder, f"g{level}_{s}", stored(keys, values, bits))
             else:  # a place for every word of the shard, and in the last for the begin sign
-                n = int(own.words.sizes[s]) + (s == shards - 1)
+                n = int(own.words.full[s]) + (s == shards - 1)
                 full = [np.zeros(n, np.int64) for _ in values]
                 for f, v in zip(full, values, strict=True):
-                    f[columns[0] - own.words.base[s]] = v
-                kinds = save(folder, f"g1_{s}", full)
+                    f[own.words.owner(columns[0].astype(np.int64))[1]] = v
+                save(folder, f"g1_{s}", full)
             count = values[0]
-            note = {"level": level, "shard": s, "n": n, "kinds": kinds, "seen": _counts_of(count), "total": int(count.sum()), "more": int((count > 2).sum())}
+            note = {"level": level, "shard": s, "n": n, "seen": _counts_of(count), "total": int(count.sum()), "more": int((count > 2).sum())}
             out.append(pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.nulls(1, pa.binary()), pa.array([json.dumps(note)], pa.string())], schema=ROWS))
             real = count > 0
             if level > 1 and real.any():
@@ -424,8 +496,10 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
                     hot = [frequent(own, c) for c in shorter[:-1]]
                     shard = _shard(shorter, hot, bits)
                 else:
-                    shard = np.minimum(np.searchsorted(own.words.base, shorter[0], "right") - 1, shards - 1)
+                    shard = own.words.owner(shorter[0].astype(np.int64))[0]
                 out.append(_blobs(shard, shorter, sums, begin))
+                del columns, values, sums, shorter, follow
+            release()
             return pa.Table.from_batches(out, schema=ROWS)
 
         return run
@@ -438,59 +512,44 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
         note = json.loads(r["note"])
         notes[note["level"]].append(note)
     for level, own in notes.items():
-        sizes, kinds, seen = np.zeros(shards, np.int64), [""] * shards, np.zeros(4, np.int64)
+        sizes, seen = np.zeros(shards, np.int64), np.zeros(4, np.int64)
         for x in own:
-            sizes[x["shard"]], kinds[x["shard"]] = x["n"], x["kinds"]
+            sizes[x["shard"]] = x["n"]
             seen += x["seen"]
-        model.levels[level] = Level(sizes, kinds, _discounts(seen.tolist()), sum(x["total"] for x in own), (int(seen[0]), int(seen[1]), sum(x["more"] for x in own)))
+        model.levels[level] = Level(sizes, _discounts(seen.tolist()), sum(x["total"] for x in own), (int(seen[0]), int(seen[1]), sum(x["more"] for x in own)))
     held.unpersist()
     forget_shuffles(spark)
     return model
 
 
 def frequent(model: Model, ranks: np.ndarray) -> np.ndarray:
-    """Whether each word, or the begin sign, occurs more often than a shard's share of the tokens."""
-    some, index = np.unique(ranks, return_inverse=True)
-    out = np.zeros(len(some), bool)
-    known = model.words
-    shard = np.searchsorted(known.base, some, "right") - 1
-    for s, a, b in _runs(shard):
-        if s >= len(known.sizes):
-            out[a:b] = model.texts > model.share
-        else:
-            out[a:b] = mapped(known.folder, f"w{s}", known.kinds[s], int(known.sizes[s]))[1][some[a:b] - known.base[s]] > model.share
-    return out[index]
+    """Whether each word, or the begin sign, is of a magnitude that may exceed a shard's share of the tokens."""
+    least = model.words.base[(int(_magnitude(np.array([model.share]))[0]) + 1) * len(model.words.full)]
+    return np.where(ranks == model.vocabulary, model.texts > model.share, ranks < least)
 
 
 def _found(model: Model, level: int, keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-    """The stored numbers of each tuple (zeros where unknown), looked up once for each distinct one."""
-    own = model.levels[level]
-    width = 1 if level == model.order else len(FIELDS)
-    order = np.lexsort((keys, shard))
-    head = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
-    some, of = keys[order][head], shard[order][head]
-    out = [np.zeros(len(some), np.int64) for _ in range(width)]
-    for s, a, b in _runs(of):
-        if n := int(own.sizes[s]):
-            stored, *values = mapped(model.words.folder, f"g{level}_{s}", own.kinds[s], n)
-            at = np.minimum(np.searchsorted(stored, some[a:b]), n - 1)
-            hit = stored[at] == some[a:b]
-            for o, v in zip(out, values, strict=True):
-                o[a:b] = np.where(hit, v[at], 0)
-    back = np.zeros(len(keys), np.int64)
-    back[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
-    return [o[back] for o in out]
+    """The stored numbers of each tuple, zeros where unknown."""
+    own, bits = model.levels[level], model.words.bits
+    order = np.argsort((shard.astype(U) << U(64 - bits)) | (_turned(keys, bits) >> U(bits)) if bits else keys)
+    keys, shard = keys[order], shard[order]
+    out = [np.zeros(len(keys), np.int64) for _ in range(1 if level == model.order else len(FIELDS))]
+    for s, a, b in _runs(shard):
+        if own.sizes[s]:
+            for o, v in zip(out, looked_up(mapped(model.words.folder, f"g{level}_{s}"), keys[a:b], bits), strict=True):
+                o[order[a:b]] = v
+    return out
 
 
 def _single(model: Model, ranks: np.ndarray) -> list[np.ndarray]:
-    """The stored numbers of sorted distinct words by rank, the begin sign included."""
-    own, known = model.levels[1], model.words
+    """The stored numbers of distinct words by rank, the begin sign included."""
     out = [np.zeros(len(ranks), np.int64) for _ in FIELDS]
-    shard = np.minimum(np.searchsorted(known.base, ranks, "right") - 1, len(known.sizes) - 1)
-    for s, a, b in _runs(shard):
-        if n := int(own.sizes[s]):
-            for o, v in zip(out, mapped(known.folder, f"g1_{s}", own.kinds[s], n), strict=True):
-                o[a:b] = v[ranks[a:b] - known.base[s]]
+    shard, place = model.words.owner(ranks)
+    order = np.argsort(shard, kind="stable")
+    for s, a, b in _runs(shard[order]):
+        if model.levels[1].sizes[s]:
+            for o, v in zip(out, mapped(model.words.folder, f"g1_{s}"), strict=True):
+                o[order[a:b]] = v[place[order[a:b]]]
     return out
 
 
@@ -515,7 +574,7 @@ def _score(model: Model, batch: pa.RecordBatch) -> list[pa.Array]:
     place = ragged(np.bincount(row, minlength=n))
     spot = _windows(index, row, order, len(word))
     columns = [np.append(rank, begin)[x] for x in spot]
-    hot = np.append(count > model.share, model.texts > model.share)
+    hot = frequent(model, np.append(rank, begin))
     # what follows each token's last words; the entry behind the last is that of begin signs alone
     after = [np.append(v[index], v[-1]) for v in numbers]
     for level in range(2, order + 1):
