@@ -208,33 +208,44 @@ def _turned(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys << U(bits)) | (keys >> U(64 - bits)) if bits else keys
 
 
-def stored(keys: np.ndarray, values: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    """Arrays to save of distinct tuples: buckets' ends, 32 and 8 bits of each sorted hash, entry, and the entries."""
-    keys = _turned(keys, bits)
-    order = np.argsort(keys)
-    keys = keys[order]
+def _entries(values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(entry of each row, the entries' columns): rows of small numbers are told apart by a table, others by sorting."""
+    each = 20 // len(values)
+    small = np.logical_and.reduce([v < 1 << each for v in values])
+    key = sum((v * small) << (each * i) for i, v in enumerate(values))
+    used = np.flatnonzero(np.bincount(key[small], minlength=1))
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
+    number[used] = np.arange(len(used))
+    code = number[np.minimum(key, len(number) - 1)]
+    large = np.flatnonzero(~small)
+    _, first, back = np.unique(chained([v[large] for v in values]), return_index=True, return_inverse=True)
+    code[large] = len(used) + back
+    return code, [np.append((used >> (each * i)) & ((1 << each) - 1), v[large[first]]) for i, v in enumerate(values)]
+
+
+def stored(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays to save of tuples by their sorted turned hashes: buckets' ends, 32 and 8 bits of each hash, entry, entries."""
     m = max(1, (len(keys) // BUCKET).bit_length())
-    ends = np.searchsorted(keys >> U(64 - m), np.arange(1 << m), "right")
-    values = [v[order] for v in values]
-    _, first, code = np.unique(chained(values), return_index=True, return_inverse=True)
-    return [ends, ((keys >> U(32 - m)) & U(0xFFFFFFFF)).astype(np.uint32), ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8), code, *(v[first] for v in values)]
+    ends = np.searchsorted(keys, np.append(np.arange(1, 1 << m).astype(U) << U(64 - m), U(2**64 - 1)), "left")
+    ends[-1] = len(keys)
+    code, entries = _entries(values)
+    return [ends, ((keys >> U(32 - m)) & U(0xFFFFFFFF)).astype(np.uint32), ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8), code, *entries]
 
 
-def looked_up(arrays: list[np.ndarray], keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The numbers of each key among what `stored` made of a shard, zeros where it isn't there."""
+def looked_up(arrays: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The numbers of each turned hash among what `stored` made of a shard, zeros where it isn't there."""
     ends, high, low, code, *entries = arrays
-    keys = _turned(keys, bits)
     m = (len(ends) - 1).bit_length()
     bucket = (keys >> U(64 - m)).astype(np.int64)
     want = ((keys >> U(32 - m)) & U(0xFFFFFFFF)).astype(np.uint32)
-    to = ends[bucket].astype(np.int64)
+    end = ends[bucket].astype(np.int64)
     at = np.where(bucket > 0, ends[bucket - 1], 0).astype(np.int64)
-    for _ in range(int((to - at).max(initial=0)).bit_length()):  # binary search in all buckets at once
-        mid = np.minimum((at + to) // 2, len(high) - 1)
-        right = (high[mid] < want) & (at < to)
-        at, to = np.where(right, mid + 1, at), np.where(right | (at >= to), to, mid)
+    step = 1 << int((end - at).max(initial=0)).bit_length()
+    while step := step >> 1:  # binary search in all buckets at once
+        ahead = at + step
+        at = np.where((ahead <= end) & (high[np.minimum(ahead, len(high)) - 1] < want), ahead, at)
     spot = np.minimum(at, len(high) - 1)
-    hit = (at < ends[bucket]) & (high[spot] == want) & (low[spot] == ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8))
+    hit = (at < end) & (high[spot] == want) & (low[spot] == ((keys >> U(24 - m)) & U(0xFF)).astype(np.uint8))
     of = code[spot]
     return [np.where(hit, e[of], 0).astype(np.int64) for e in entries]
 
@@ -403,7 +414,7 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
     texts = docs.where(allowed).select("doc_id", "text")
     bits = _bits(input_bytes(docs))
     shards = 1 << bits
-    tasks = max(min(shards, 64), shards // 8)
+    tasks = max(min(shards, 128), shards // 8)
     dealt = lambda rows: rows.repartition(tasks, "shard").groupBy("shard")
 
     def to_words(batches):
@@ -468,12 +479,12 @@ def train(docs: DataFrame, allowed: Column, order: int = ORDER) -> Model:
             if not blobs:
                 return pa.Table.from_batches(out, schema=ROWS)
             parts = _pieces(blobs)
-            keys, at, values = grouped(chained(parts[:level]), parts[level:])
+            keys, at, values = grouped(_turned(chained(parts[:level]), bits), parts[level:])
             columns = [c[at] for c in parts[:level]]
             del parts, blobs
             n = len(keys)
             if level > 1:
-                save(folder, f"g{level}_{s}", stored(keys, values, bits))
+                save(folder, f"g{level}_{s}", stored(keys, values))
             else:  # a place for every word of the shard, and in the last for the begin sign
                 n = int(own.words.full[s]) + (s == shards - 1)
                 full = [np.zeros(n, np.int64) for _ in values]
@@ -531,12 +542,13 @@ def frequent(model: Model, ranks: np.ndarray) -> np.ndarray:
 def _found(model: Model, level: int, keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
     """The stored numbers of each tuple, zeros where unknown."""
     own, bits = model.levels[level], model.words.bits
-    order = np.argsort((shard.astype(U) << U(64 - bits)) | (_turned(keys, bits) >> U(bits)) if bits else keys)
+    keys = _turned(keys, bits)
+    order = np.argsort((shard.astype(U) << U(64 - bits)) | (keys >> U(bits)) if bits else keys)
     keys, shard = keys[order], shard[order]
     out = [np.zeros(len(keys), np.int64) for _ in range(1 if level == model.order else len(FIELDS))]
     for s, a, b in _runs(shard):
         if own.sizes[s]:
-            for o, v in zip(out, looked_up(mapped(model.words.folder, f"g{level}_{s}"), keys[a:b], bits), strict=True):
+            for o, v in zip(out, looked_up(mapped(model.words.folder, f"g{level}_{s}"), keys[a:b]), strict=True):
                 o[order[a:b]] = v
     return out
 
