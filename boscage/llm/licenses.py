@@ -244,7 +244,7 @@ def _quoted(s: str) -> str:
 
 
 ORACLE = f"""
-WITH known(sentence, code, same) AS (VALUES {", ".join(f"({_quoted(s)}, {_CODES[n]}, {_SAME.get(_CODES[n], _CODES[n])})" for n, s in SENTENCES.items())}),
+WITH RECURSIVE known(sentence, code, same) AS (VALUES {", ".join(f"({_quoted(s)}, {_CODES[n]}, {_SAME.get(_CODES[n], _CODES[n])})" for n, s in SENTENCES.items())}),
 sentence AS (SELECT string_split(sentence, ' ') AS ws, same AS code FROM known),
 rule(id, license, k, code, n) AS (VALUES {", ".join(f"({i}, {_quoted(lic)}, {k}, {_CODES[x]}, {len(names)})" for i, (lic, names) in enumerate(RULES) for k, x in enumerate(names))}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '{CUT}', chr(10), 'g'), '[^a-z0-9.+' || chr(10) || ']+', ' ', 'g'), chr(10), ' | ', 'g'), ' +', ' ', 'g')), ' ') AS ts
@@ -256,8 +256,9 @@ begun AS MATERIALIZED (SELECT a.r, a.i, s.id, s.code, s.n FROM word a JOIN of_se
 every AS (SELECT a.r, a.i, a.code, a.n FROM begun a JOIN of_sentence t ON t.id = a.id
           JOIN word b ON b.r = a.r AND b.i = a.i + t.j - 1 AND b.w = t.w GROUP BY a.r, a.i, a.id, a.code, a.n HAVING count(*) = a.n),
 longest AS (SELECT r, i, max(n) AS n, arg_max(code, n) AS code FROM every GROUP BY r, i),
-seen AS (SELECT x.r, x.code, x.i AS beg, x.i + x.n AS til, a.pos AS pos, b.pos AS last FROM longest x JOIN word a ON a.r = x.r AND a.i = x.i JOIN word b ON b.r = x.r AND b.i = x.i + x.n - 1
-         WHERE NOT EXISTS (SELECT 1 FROM longest y WHERE y.r = x.r AND y.i < x.i AND y.i + y.n > x.i)),
+kept(r, i, til) AS (SELECT r, min(i), arg_min(i + n, i) FROM longest GROUP BY r
+                    UNION ALL SELECT y.r, min(y.i), arg_min(y.i + y.n, y.i) FROM kept x JOIN longest y ON y.r = x.r AND y.i >= x.til GROUP BY y.r),
+seen AS (SELECT x.r, x.code, x.i AS beg, x.i + x.n AS til, a.pos AS pos, b.pos AS last FROM longest x JOIN kept USING (r, i) JOIN word a ON a.r = x.r AND a.i = x.i JOIN word b ON b.r = x.r AND b.i = x.i + x.n - 1),
 owned AS (SELECT s.*, c.id, row_number() OVER w AS i, beg - lag(til) OVER w AS gap FROM seen s JOIN (SELECT DISTINCT id, code FROM rule) c ON s.code = c.code
        WINDOW w AS (PARTITION BY s.r, c.id ORDER BY beg)),
 hits AS (SELECT f.r, rule.id, any_value(rule.license) AS license, min(f.pos) AS first_sentence, max(f.last) AS last_sentence, min(f.beg) AS beg, max(f.til) AS til

@@ -437,7 +437,7 @@ def test_each_licence_is_found_once_in_spark_and_sql(spark):
 
     import duckdb
 
-    rows, want = [(10_000, None), (10_001, ""), (10_002, "no rights, no licence"), (10_003, ("words " * 40_000) + "SPDX-License-Identifier: ISC")], [(10_003, "ISC")]
+    rows, want = [(10_000, None), (10_001, ""), (10_002, "no rights, no licence"), (10_004, "redistributions of source code must retain the above copyright notice and this permission notice shall be included in all rights reserved"), (10_003, ("words " * 40_000) + "SPDX-License-Identifier: ISC")], [(10_003, "ISC"), (10_004, "Proprietary")]
     for name, texts in STATED.items():
         for whole in texts:
             for width in (0, 40, 80):
@@ -453,17 +453,6 @@ def test_each_licence_is_found_once_in_spark_and_sql(spark):
     assert sorted(con.execute(licenses.ORACLE).fetchall()) == got
 
 
-def test_known_sentences_do_not_chain():
-    """What the SQL takes for granted: where a sentence begins within another, no third begins in what is left of it."""
-    every = [s.split() for s in licenses.SENTENCES.values()]
-    for a in every:
-        for b in every:
-            for n in range(1, min(len(a), len(b))):
-                if a is not b and a[-n:] == b[:n]:
-                    for rest in (b[p:] for p in range(n, len(b))):
-                        assert not any(c[: len(rest)] == rest[: len(c)] for c in every), (a, b)
-
-
 def test_components(spark, tmp_path):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path))
