@@ -115,17 +115,21 @@ def conic_radius(w: Column, w0: Column, r0: Column, tip: Column) -> Column:
 
 def circle_valid(r: Column, arc: Column, inlier: Column, inside: Column) -> Column:
     """Which fitted circles count as stems."""
-    rule = F.when(r < 0.05, (arc > 180) & (inlier > 30)).when(r < 0.1, (arc > 130) & (inlier > 60)).otherwise((arc > 140) & (inlier > 40))
-    return (r >= 0.02) & (r <= 2) & (inside <= 20) & rule
+    wide = F.when(r < 0.1, (arc > 130) & (inlier > 60)).otherwise((arc > 140) & (inlier > 40))
+    return (r >= 0.02) & (r <= 2) & F.when(r < 0.05, (arc > 180) & (inlier > 30)).otherwise((inside <= 20) & wide)
 
 
-#: Fixed values (P22): least radius, least arc, least share of inliers of each preset.
-PRESETS = {"low": (0.0, 120.0, 50.0), "standard": (0.03, 180.0, 30.0), "accurate": (0.0, 300.0, 70.0), "accurate_large": (0.06, 300.0, 70.0)}
+#: Fixed values (P22): least radius, least arc, least share of inliers, largest share a known radius may shrink by.
+PRESETS = {"low": (0.0, 120.0, 50.0, 1.0), "standard": (0.03, 180.0, 30.0, 1.0), "accurate": (0.0, 300.0, 70.0, 0.1), "accurate_large": (0.06, 300.0, 70.0, 1.0)}
 
 
-def fit_accepted(success: Column, r: Column, arc: Column, inlier: Column, preset: str = "standard") -> Column:
-    least_r, least_arc, least_in = PRESETS[preset]
-    return success & (r >= least_r) & (arc > least_arc) & (inlier > least_in)
+def fit_accepted(success: Column, r: Column, arc: Column, inlier: Column, preset: str = "standard", known: Column | None = None) -> Column:
+    """Whether a fit is accepted; against a known radius it may not shrink by more than the preset allows."""
+    least_r, least_arc, least_in, shrink = PRESETS[preset]
+    good = success & (r >= least_r) & (arc > least_arc) & (inlier > least_in)
+    if known is None or shrink >= 1:
+        return good
+    return good & (F.coalesce(known <= 0, F.lit(True)) | ((r - known) / known >= -shrink))
 
 
 def fit_score(arc: Column, inlier: Column) -> Column:
@@ -169,6 +173,11 @@ def height_of_dbh(d: Column, model: str = "Griese2025") -> Column:
     raise ValueError(f"unknown allometry {model}")
 
 
+def legacy_dbh_of_height(h: Column) -> Column:
+    """P20: the older model, in centimetres: the inverse curve below 25 m, a straight line above."""
+    return F.when(h < 25, -F.log(1 - F.pow(h / GRIESE_A, F.lit(1 / GRIESE_C))) / GRIESE_B).otherwise(4 * h - 75)
+
+
 def available_allometries() -> list[str]:
     return list(ALLOMETRIES)
 

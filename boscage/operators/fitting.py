@@ -126,6 +126,23 @@ def _conic(q: np.ndarray) -> np.ndarray | None:
     return np.array([m[0] + s * cx, m[1] + s * cy, s * half[0], s * half[1], np.arctan2(v[1, 0], v[0, 0])])
 
 
+def _conics(q: np.ndarray) -> np.ndarray:
+    """_conic() of many small sets of points at once; sets without an ellipse are left out."""
+    m = q.mean(1, keepdims=True)
+    s = np.maximum(q.std((1, 2)), 1e-12)[:, None, None]
+    x, y = np.moveaxis((q - m) / s, 2, 0)
+    d = np.stack([x * x, x * y, y * y, x, y, np.ones_like(x)], 2)
+    a, b, c, e, f, g = np.linalg.eigh(np.swapaxes(d, 1, 2) @ d)[1][:, :, 0].T
+    det = 4 * a * c - b * b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cx, cy = (b * f - 2 * c * e) / det, (b * e - 2 * a * f) / det
+        level = -(a * cx * cx + b * cx * cy + c * cy * cy + e * cx + f * cy + g)
+        w, v = np.linalg.eigh(np.stack([np.stack([a, b / 2], 1), np.stack([b / 2, c], 1)], 1))
+        half = np.sqrt(level[:, None] / w)
+    out = np.stack([m[:, 0, 0] + s[:, 0, 0] * cx, m[:, 0, 1] + s[:, 0, 0] * cy, s[:, 0, 0] * half[:, 0], s[:, 0, 0] * half[:, 1], np.arctan2(v[:, 1, 0], v[:, 0, 0])], 1)
+    return out[(det > 1e-12) & np.isfinite(out).all(1)]
+
+
 def _ellipse_off(p: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First-order distances to an ellipse, and whether points are inside."""
     c, s = np.cos(e[4]), np.sin(e[4])
@@ -141,13 +158,14 @@ def fit_ellipse(p: np.ndarray, tol: float, seed: int = 42) -> Fit:
         return Fit(shape_type="ellipse")
     rng = np.random.default_rng(seed)
     best, most = None, -1
-    for _ in range(DRAWS // 4):
-        e = _conic(p[rng.choice(len(p), 5, replace=False)])
-        if e is None or max(e[2:4]) >= 3 * min(e[2:4]):
-            continue
-        n = int((_ellipse_off(p, e)[0] < tol).sum())
-        if n > most:
-            best, most = e, n
+    for _ in range(0, DRAWS, 250):
+        five = p[np.argsort(rng.random((250, len(p))), 1)[:, :5]] if len(p) < 100 else p[rng.integers(0, len(p), (250, 5))]
+        e = _conics(five)
+        e = e[(e[:, 2:4].max(1) < 3 * e[:, 2:4].min(1))]
+        if len(e):
+            n = (_ellipse_off(p, e.T[:, :, None])[0] < tol).sum(1)
+            if n.max() > most:
+                best, most = e[int(n.argmax())], int(n.max())
     if best is None:
         return Fit(shape_type="ellipse")
     again = _conic(p[_ellipse_off(p, best)[0] < tol]) if most >= 6 else None
@@ -192,6 +210,22 @@ def fit_fourier(p: np.ndarray, tol: float, order: int = 5) -> Fit:
     return Fit(True, name, float(np.sqrt(area / np.pi)), (float(centre[0]), float(centre[1]), 0.0), 100 * near.mean(), 100 * (r < fit - tol).mean(), arc_degrees(d[near, 0], d[near, 1]), np.flatnonzero(near), xy)
 
 
+#: Fixed values (X5): the share of the smaller circle that two may have in common, and the inliers that all need over the first's.
+MULTI_OVERLAP, MULTI_GAIN = 0.2, 1.3
+
+
+def _overlap(a: Fit, b: Fit) -> float:
+    """Shared area of two circles by that of the smaller one."""
+    d, small = float(np.hypot(a.center[0] - b.center[0], a.center[1] - b.center[1])), min(a.radius, b.radius)
+    if d >= a.radius + b.radius or small <= 0:
+        return 0.0
+    if d <= abs(a.radius - b.radius):
+        return 1.0
+    parts = [r * r * np.arccos(np.clip((d * d + r * r - o * o) / (2 * d * r), -1, 1)) for r, o in ((a.radius, b.radius), (b.radius, a.radius))]
+    kite = 0.5 * np.sqrt(max(0.0, (-d + a.radius + b.radius) * (d + a.radius - b.radius) * (d - a.radius + b.radius) * (d + a.radius + b.radius)))
+    return float((sum(parts) - kite) / (np.pi * small**2))
+
+
 def fit_multi(p: np.ndarray, tol: float, n: int = 2) -> Fit:
     """Up to n circles one after the other on what is left; the radius is that of the circle of their summed area."""
     rest, found, used = np.arange(len(p)), [], np.zeros(len(p), bool)
@@ -199,10 +233,12 @@ def fit_multi(p: np.ndarray, tol: float, n: int = 2) -> Fit:
         one = fit_circle(p[rest], tol, 64 + i) if len(rest) >= 3 else Fit()
         if not one.success or len(one.inliers) < max(10, 0.1 * len(p)):
             break
+        if any(_overlap(one, f) > MULTI_OVERLAP for f in found):
+            break
         found.append(one)
         used[rest[one.inliers]] = True
         rest = np.flatnonzero(~used)
-    if len(found) < n:
+    if len(found) < n or used.sum() < MULTI_GAIN * len(found[0].inliers):
         return Fit(shape_type=f"multi{n}")
     r = float(np.sqrt(sum(f.radius**2 for f in found)))
     w = np.array([f.radius**2 for f in found])
@@ -226,6 +262,8 @@ def fit(xyz: np.ndarray, tol: float = 0.04, strategy: str = "standard", start=No
         f = {"circle": lambda: fit_circle(p, tol), "ellipse": lambda: fit_ellipse(p, tol), "fourier5": lambda: fit_fourier(p, tol, 5), "fourier10": lambda: fit_fourier(p, tol, 10), "multi2": lambda: fit_multi(p, tol, 2), "multi3": lambda: fit_multi(p, tol, 3)}[name]()
         if f.success and (not best.success or f.inlier_pct > 1.1 * best.inlier_pct):
             best = f
+        if best.inlier_pct * 1.1 >= 100:  # no shape can beat it by enough
+            break
     if best.success:
         best.center = tuple(np.array([*best.center[:2], q[:, 2].mean()]) @ m + at)
     return best

@@ -35,6 +35,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node) reachable from the sources along (src, dst)."""
+    edges = cut(edges.select("src", "dst"))
     seen = cut(sources.select("node").distinct())
     front = seen
     while True:
@@ -47,17 +48,52 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, dist, pred, source): frontier relaxation of (src, dst, cost) from all (node) of sources.
 
-    Only nodes that improved in the last round are joined again.  Ties go to the smaller (source, predecessor).
+    Edges are cut once.  Only nodes that improved in the last round are joined again; a round is one checkpoint, which
+    holds the frontier as a mark.  Ties go to the smaller (source, predecessor).
     """
-    best = cut(sources.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.col("node").cast("long").alias("source")).distinct())
-    front = best
+    edges = cut(edges.select("src", "dst", "cost").repartition("src"))
+    best = cut(sources.select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.col("node").cast("long").alias("source"), F.lit(True).alias("fresh")).distinct())
     while True:
+        front = best.where("fresh")
         step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("cost")).alias("dist"), "source", F.col("src").cast("long").alias("pred"))).alias("n"))
-        old = best.select("node", F.struct("dist", "source", "pred").alias("o"))
-        front = cut(step.join(old, "node", "left").where("o is null or n.dist < o.dist").select("node", "n.dist", "n.pred", "n.source"))
-        if front.isEmpty():
-            return best
-        best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist")))
+        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
+        best = cut(best.drop("fresh").join(step, "node", "full").select("node", pick("dist"), pick("pred"), pick("source"), F.coalesce(better, F.lit(False)).alias("fresh")))
+        if best.where("fresh").isEmpty():
+            return best.drop("fresh")
+
+
+def find_paths(best: DataFrame, goals: DataFrame) -> DataFrame:
+    """(goal, node, step) of the nodes from each (node) of goals back to its source, step counted from the goal.
+
+    Predecessors are followed by doubling, so a path of n nodes takes log2(n) rounds.  A goal that has no distance has no row.
+    """
+    jump = cut(best.select("node", F.col("pred").alias("to")))
+    found = cut(goals.select("node").distinct().join(best.select("node"), "node", "left_semi").select(F.col("node").alias("goal"), "node", F.lit(0).cast("long").alias("step")))
+    reach = 1
+    while not jump.where("to is not null").isEmpty():
+        more = found.join(jump.where("to is not null"), "node").select("goal", F.col("to").alias("node"), (F.col("step") + reach).alias("step"))
+        found = cut(found.unionByName(more))
+        above = jump.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = cut(jump.where("to is not null").join(above, "to").select("node", F.col("next").alias("to")))
+        reach *= 2
+    return found
+
+
+def passages(best: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(node, passage): number of targets (all nodes, if none are given) whose shortest path crosses each node.
+
+    That is the number of targets in its subtree of the predecessor forest: counts go up by doubling, as in ancestors().
+    """
+    one = F.lit(1).cast("long")
+    counted = best.select("node", "pred", one.alias("own")) if targets is None else best.join(targets.select("node", one.alias("hit")).distinct(), "node", "left").select("node", "pred", F.coalesce("hit", F.lit(0)).cast("long").alias("own"))
+    now = cut(counted.select("node", F.col("pred").alias("to"), F.col("own").alias("passage")))
+    while not now.where("to is not null").isEmpty():
+        # each node holds the count of its subtree's first 2^k levels; the next 2^k are held by the nodes 2^k below it
+        below = now.where("to is not null").groupBy("to").agg(F.sum("passage").alias("more")).withColumnRenamed("to", "node")
+        above = now.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        now = cut(now.join(below, "node", "left").join(above, "to", "left").select("node", F.col("next").alias("to"), (F.col("passage") + F.coalesce("more", F.lit(0))).alias("passage")))
+    return now.select("node", "passage")
 
 
 def ancestors(tree: DataFrame, key: list[str], value: dict[str, Column], up: bool) -> DataFrame:
@@ -65,12 +101,17 @@ def ancestors(tree: DataFrame, key: list[str], value: dict[str, Column], up: boo
 
     up=False: each value becomes its sum from the root down to the node (inclusive).
     up=True: each value becomes its maximum over the node's subtree (inclusive).
+    A cycle has no root, so pointers that outlive log2(rows) rounds are an error.
     """
     names = list(value)
     now = cut(tree.select(*key, "node", F.col("parent").alias("to"), *(v.alias(n) for n, v in value.items())))
+    rounds = now.count().bit_length() + 1
     while True:
-        if not now.where("to is not null").limit(1).count():
+        if now.where("to is not null").isEmpty():
             return now.select(*key, "node", *names)
+        if not rounds:
+            raise ValueError("the parents go round in a cycle")
+        rounds -= 1
         above = now.select(*key, F.col("node").alias("to"), F.col("to").alias("next"), *(F.col(n).alias(f"_{n}") for n in names))
         if up:
             below = now.where("to is not null").groupBy(*key, "to").agg(*(F.max(n).alias(f"_{n}") for n in names)).withColumnRenamed("to", "node")

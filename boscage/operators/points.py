@@ -33,21 +33,33 @@ def voxel_occupancy(points: DataFrame, res: float) -> DataFrame:
 
 
 def homogenise(points: DataFrame, res: float) -> DataFrame:
-    """A1: of each voxel the point nearest to the voxel's mean, ties to the smaller point_id."""
-    v = with_voxels(points, res)
-    mean = v.groupBy(*VOXEL).agg(*[F.avg(a).alias(f"m{a}") for a in "XYZ"])
+    """A1: of each voxel the point nearest to the voxel's mean, ties to the smaller point_id; one shuffle by voxel."""
+    w = Window.partitionBy(*VOXEL)
+    v = with_voxels(points, res).withColumns({f"m{a}": F.avg(a).over(w) for a in "XYZ"})
     d2 = F.round((F.col("X") - F.col("mX")) ** 2 + (F.col("Y") - F.col("mY")) ** 2 + (F.col("Z") - F.col("mZ")) ** 2, 9)
-    near = v.join(mean, VOXEL).groupBy(*VOXEL).agg(F.min(F.struct(d2.alias("d2"), "point_id")).alias("best"))
-    return points.join(near.select("best.point_id"), "point_id", "left_semi")
+    near = v.groupBy(*VOXEL).agg(F.min_by(F.struct(*points.columns), F.struct(d2.alias("d2"), "point_id")).alias("best"))
+    return near.select("best.*")
 
 
 def hybrid_homogenise(points: DataFrame, res: float, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """A2: homogenise() and again so many of the removed points as `share` of the kept ones, in the order of a digest."""
-    kept = homogenise(points, res)
+    """A2: homogenise() and again so many of the removed points as `share` of the kept ones, in the order of a digest.
+
+    The digests' first four figures are counted; groups below the one that holds the last place are taken whole, and only
+    within that one, a 65,536th of the points, digests are sorted.
+    """
+    kept = cut(homogenise(points, res))
     n = int(math.floor(share * kept.count()))
-    rest = points.join(kept.select("point_id"), "point_id", "left_anti")
-    again = rest.select("point_id").orderBy(F.md5(F.concat(F.col("point_id").cast("string"), F.lit(f"-{seed}"))), "point_id").limit(n)
-    return kept.unionByName(rest.join(again, "point_id", "left_semi"))
+    digest = F.md5(F.concat(F.col("point_id").cast("string"), F.lit(f"-{seed}")))
+    rest = points.join(kept.select("point_id"), "point_id", "left_anti").withColumns({"_digest": digest, "_group": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")})
+    before, edge = 0, -1
+    for r in sorted(rest.groupBy("_group").count().collect()):
+        edge = r["_group"]
+        if before + r["count"] >= n:
+            break
+        before += r["count"]
+    last = rest.where(F.col("_group") == edge).orderBy("_digest", "point_id").limit(max(0, n - before))
+    again = rest.where(F.col("_group") < edge).unionByName(last) if n else rest.where("false")
+    return kept.unionByName(again.select(*points.columns))
 
 
 def centre(points: DataFrame) -> DataFrame:
@@ -157,10 +169,10 @@ def smooth(points: DataFrame, r: float) -> DataFrame:
     return near.groupBy(F.col("qid").alias("point_id")).agg(*[F.avg(a).alias(a) for a in "XYZ"])
 
 
-def dilate(points: DataFrame, wood: Column, k: int, distance: float) -> DataFrame:
-    """Ids of wood and of the k nearest neighbours of wood within the distance."""
+def dilate(points: DataFrame, wood: Column, k: int, distance: float, strict: bool = False) -> DataFrame:
+    """J12 (strict: nearer than the distance), J13 (within it): ids of wood and of such k nearest neighbours of wood."""
     own = points.where(wood)
-    near = knn_join(own, points, k).where(F.col("d2") <= distance * distance)
+    near = knn_join(own, points, k).where(F.col("d2") < distance * distance if strict else F.col("d2") <= distance * distance)
     return near.select("point_id").union(own.select("point_id")).distinct()
 
 
@@ -182,16 +194,43 @@ def voxel_components(points: DataFrame, res: float, connectivity: int = 26, by:
     base = points.agg(*[(F.floor(F.min(F.col(a) * (stretch if a == "Z" else 1)) / res) * res).alias(f"least{a}") for a in "XYZ"])
     v = points.crossJoin(F.broadcast(base)).select("point_id", *by, *[voxel(F.col(a) * (stretch if a == "Z" else 1), F.col(f"least{a}"), res).alias(n) for n, a in zip(VOXEL, "XYZ", strict=True)])
     key = [*by, *VOXEL]
-    order = Window.orderBy(*key)
     cells = v.select(*key).distinct()
-    # a dense number for every voxel in key order; the number of voxels, not of points, decides its cost
-    cells = cut(cells.withColumn("node", F.row_number().over(order).cast("long")))
+    if by:
+        cells = cells.withColumn("node", F.xxhash64(*key))
+    else:  # three counts of 21 bits each: the order of numbers is that of voxels
+        most = cells.agg(F.max(F.greatest(*VOXEL))).first()[0] or 0
+        if most >= 1 << 21:
+            raise ValueError("more than two million voxels along an axis: take a larger res")
+        cells = cells.withColumn("node", F.shiftleft("vx", 42) + F.shiftleft("vy", 21) + F.col("vz"))
+    cells = cut(cells)
     moved = cells.withColumn("o", F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("abc", o, strict=True)]) for o in around])))
     moved = moved.select(F.col("node").alias("a"), *by, *[(F.col(n) + F.col("o")[x]).alias(n) for n, x in zip(VOXEL, "abc", strict=True)])
     edges = moved.join(cells, key).select("a", F.col("node").alias("b"))
-    found = components(cells, edges).join(cells, "node")
-    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("component") if by else Window.orderBy("component"))
-    return v.join(found.withColumn("cluster", rank), key).select("point_id", *by, "cluster")
+    found = cut(components(cells, edges).join(cells, "node"))
+    first = found.groupBy(*by, "component").agg(F.min(F.struct(*VOXEL)).alias("first"))
+    if by:
+        number = first.withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).drop("first")
+    else:
+        number = dense_numbers(first, "first").withColumnRenamed("number", "cluster").drop("first")
+    return v.join(found.join(number, [*by, "component"]), key).select("point_id", *by, "cluster")
+
+
+def dense_numbers(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number` from 1 in the order of columns that tell them apart: counted in ranges, no range holds all rows.
+
+    One count a range reaches the driver.
+    """
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    start, at = {}, 0
+    for p in sorted(sizes):
+        start[p], at = at, at + sizes[p]
+    if not start:
+        return ranged.withColumn("number", F.lit(0)).drop("_id")
+    base = ranged.sparkSession.createDataFrame(list(start.items()), "_part int, _base long")  # a row a range
+    counted = ranged.withColumn("_part", part.cast("int")).join(F.broadcast(base), "_part")
+    return counted.withColumn("number", (F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_id", "_part", "_base")
 
 
 def large_components(points: DataFrame, res: float, least: int, connectivity: int = 26) -> DataFrame:
@@ -213,7 +252,9 @@ def layer_clusters(points: DataFrame, layer: str, eps: float) -> DataFrame:
     flat = points.select("point_id", "X", "Y", "Z", layer)
     near = radius_join(flat, flat, eps, (layer,)).join(flat.select(F.col("point_id").alias("qid"), F.col(layer).alias("own")), "qid").where((F.col(layer) == F.col("own")) & (F.col("qid") > F.col("point_id")))
     c = components(flat.select(F.col("point_id").alias("node")), near.select(F.col("qid").alias("a"), F.col("point_id").alias("b")))
-    return flat.join(c, flat["point_id"] == c["node"]).select("point_id", layer, F.dense_rank().over(Window.orderBy(layer, "component")).alias("cluster"))
+    found = cut(flat.join(c, flat["point_id"] == c["node"]).select("point_id", layer, "component"))
+    number = dense_numbers(found.select(layer, "component").distinct(), layer, "component").withColumnRenamed("number", "cluster")
+    return found.join(number, [layer, "component"]).select("point_id", layer, "cluster")
 
 
 def flag_small_trees(points: DataFrame, max_height: float = 2) -> DataFrame:
@@ -291,9 +332,14 @@ def range_asof(points: DataFrame, trajectory: DataFrame) -> DataFrame:
     As-of by union: in one window per coarse time bucket would lose neighbours, so the last sample before and the first
     after are found by two equi-joins on buckets of the samples' own spans.
     """
-    w = Window.orderBy("gpstime")
-    spans = trajectory.withColumns({f"{c}2": F.lead(c).over(w) for c in ("gpstime", "x", "y", "z")}).where("gpstime2 is not null")
     step = trajectory.agg(((F.max("gpstime") - F.min("gpstime")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("s")).first()["s"] or 1.0
+    # the next sample: within stretches of a thousand samples' time by a window, and of the last one the next stretch's first
+    wide, four = 1000 * float(step), ("gpstime", "x", "y", "z")
+    t = trajectory.withColumn("_b", F.floor(F.col("gpstime") / wide))
+    w = Window.partitionBy("_b").orderBy("gpstime")
+    t = t.withColumns({f"{c}2": F.lead(c).over(w) for c in four})
+    heads = t.groupBy("_b").agg(F.min(F.struct(*four)).alias("h")).withColumn("next", F.lead("h").over(Window.orderBy("_b")))  # a row a stretch
+    spans = t.join(heads.select("_b", "next"), "_b").withColumns({f"{c}2": F.coalesce(f"{c}2", F.col("next")[c]) for c in four}).where("gpstime2 is not null")
     cut = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("gpstime") / step), F.floor(F.col("gpstime2") / step))))
     near = points.withColumn("b", F.floor(F.col("gpstime") / step)).withColumnRenamed("gpstime", "t").join(cut, "b").where("t >= gpstime and t < gpstime2")
     f = (F.col("t") - F.col("gpstime")) / (F.col("gpstime2") - F.col("gpstime"))
@@ -360,3 +406,39 @@ def merge_chunks(points: DataFrame) -> DataFrame:
     top = points.groupBy("chunk").agg(F.coalesce(F.max("treeID"), F.lit(0)).alias("m"))
     before = top.select("chunk", F.coalesce(F.sum("m").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     return points.join(before, "chunk").withColumn("treeID", F.when(F.col("treeID") > 0, F.col("treeID") + F.col("_o")).otherwise(F.col("treeID"))).drop("_o")
+
+
+def filter_seeds(points: DataFrame) -> DataFrame:
+    """low points that a path has passed."""
+    return points.where("hag < 1 and passage > 0")
+
+
+def first_colours(points: DataFrame) -> DataFrame:
+    """(treeID, R, G, B) of each tree's first point by point_id."""
+    return points.groupBy("treeID").agg(*[F.min_by(c, "point_id").alias(c) for c in "RGB"])
+
+
+def colour_trees(points: DataFrame, darken: bool = True) -> DataFrame:
+    """V9: R, G, B: grey, and for the TREE rows of a tree a colour that its id seeds, leaves at seven tenths of it."""
+    from boscage.functions.geometry import hcl_to_rgb
+
+    part = lambda salt, low, high: low + F.pmod(F.xxhash64("treeID", F.lit(salt)), F.lit(10_000)) / 10_000 * (high - low)
+    own = (F.col("treeID") > 0) & (F.col("UserData") == TREE)
+    shade = F.when(F.lit(darken) & (F.col("foliage") != 0), 0.7).otherwise(1.0)
+    rgb = points.withColumn("_c", hcl_to_rgb(part(1, 0, 360), part(2, 40, 80), part(3, 50, 80)))
+    return rgb.withColumns({c: F.when(own, F.floor(F.col(f"_c.{c.lower()}") * shade).cast("int")).otherwise(150) for c in "RGB"}).drop("_c")
+
+
+def fix_small_isolated_low_clusters(points: DataFrame, res: float = 0.05, height: float = 3.0) -> DataFrame:
+    """Of each tree's wood below `height`, all but the largest component (heights count a tenth) becomes foliage 1."""
+    low = points.where((F.col("foliage") == 0) & (F.col("hag") < height) & F.col("treeID").isNotNull())
+    lost = largest_component(low, res, "treeID", 0.1).where("not largest").select("point_id", F.lit(1).alias("_lost"))
+    return points.join(lost, "point_id", "left").withColumn("foliage", F.when(F.col("_lost") == 1, F.lit(1).cast(dict(points.dtypes)["foliage"])).otherwise(F.col("foliage"))).select(*points.columns)
+
+
+def clean_butt(points: DataFrame, height: float = 0.25, res: float = 0.05) -> DataFrame:
+    """Of each tree's lowest `height` metres only the largest component stays."""
+    least = points.groupBy("treeID").agg(F.min("Z").alias("_low"))
+    butt = points.join(least, "treeID").where(F.col("Z") <= F.col("_low") + height)
+    lost = largest_component(butt, res, "treeID").where("not largest").select("point_id")
+    return points.join(lost, "point_id", "left_anti")

@@ -11,14 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Shrink and inflate factors for places and for radii, rounds for radii.
 SHRINK, INFLATE_PLACES, INFLATE_RADII, RADII_STEPS = 0.5, -0.53, -0.7, 15
-#: Quality of a radius that came from allometry.
-ALLOMETRIC = 2
+#: Quality of a radius that was prolonged and of one that came from allometry.
+PROLONGED, ALLOMETRIC = 1, 2
 
 
 def taubin(v: np.ndarray, steps: int, inflate: float, floor: float = 0.0) -> np.ndarray:
@@ -46,126 +45,122 @@ def _per_tree(cylinders: DataFrame, run, schema=None) -> DataFrame:
     return cylinders.groupBy("tree_id").applyInPandas(run, schema or cylinders.schema)
 
 
+def _ends(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return t[[f"end{a}" for a in "XYZ"]].to_numpy(float).copy(), t[[f"start{a}" for a in "XYZ"]].to_numpy(float).copy()
+
+
+def places_smoothed(t: pd.DataFrame, steps: int) -> pd.DataFrame:
+    t = t.reset_index(drop=True)
+    node = {c: i for i, c in enumerate(t["cyl_ID"])}
+    end, start = _ends(t)
+    parent = np.array([node.get(p, -1) for p in t["parent_ID"]], int)
+    for at in _axes(t) if steps > 0 else ():
+        if len(at) < 3:
+            continue
+        rounds = max(2, math.floor(steps * 0.75 ** (int(t["branch_order"].iloc[at[0]]) - 1)))
+        base = parent[at[0]]
+        moved = taubin(np.vstack([start[at[0]] if base < 0 else end[base], end[at]]), rounds, INFLATE_PLACES)
+        end[at] = moved[1:]
+    start = np.where((parent >= 0)[:, None], end[parent], start)
+    t[[f"end{a}" for a in "XYZ"]], t[[f"start{a}" for a in "XYZ"]] = end, start
+    return t
+
+
 def smooth_skeleton(cylinders: DataFrame, steps: int = 15) -> DataFrame:
     """Places of axes of three cylinders or more, smoothed; rounds fall by a quarter each branch order, to two at least.
 
     A place belongs to the cylinder that ends there, so cylinders that start there move along.
     """
-    ends, starts = [f"end{a}" for a in "XYZ"], [f"start{a}" for a in "XYZ"]
+    return _per_tree(cylinders, lambda t: places_smoothed(t, steps))
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.reset_index(drop=True)
-        node = {c: i for i, c in enumerate(t["cyl_ID"])}
-        end, start = t[ends].to_numpy(float).copy(), t[starts].to_numpy(float).copy()
-        parent = np.array([node.get(p, -1) for p in t["parent_ID"]])
-        for at in _axes(t) if steps > 0 else ():
-            if len(at) < 3:
-                continue
-            rounds = max(2, math.floor(steps * 0.75 ** (int(t["branch_order"].iloc[at[0]]) - 1)))
-            base = parent[at[0]]
-            moved = taubin(np.vstack([start[at[0]] if base < 0 else end[base], end[at]]), rounds, INFLATE_PLACES)
-            end[at] = moved[1:]
-        start = np.where((parent >= 0)[:, None], end[parent], start)
-        t[ends], t[starts] = end, start
-        return t
-
-    return _per_tree(cylinders, run)
+
+def radii_smoothed(t: pd.DataFrame) -> pd.DataFrame:
+    t = t.reset_index(drop=True)
+    r = t["radius"].to_numpy(float).copy()
+    for at in _axes(t):
+        own = r[at]
+        if len(at) >= 3 and not np.isnan(own).any():
+            r[at] = taubin(own[:, None], RADII_STEPS, INFLATE_RADII, max(0.5 * own.min(), 1e-4))[:, 0]
+            r[at[-1]] = own[-1]
+    t["radius"] = r
+    return t
 
 
 def smooth_radii(cylinders: DataFrame) -> DataFrame:
     """Radii of axes of three cylinders or more whose radii are all set; never below half the least, the tip's stays."""
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.reset_index(drop=True)
-        r = t["radius"].to_numpy(float).copy()
-        for at in _axes(t):
-            own = r[at]
-            if len(at) >= 3 and not np.isnan(own).any():
-                r[at] = taubin(own[:, None], RADII_STEPS, INFLATE_RADII, max(0.5 * own.min(), 1e-4))[:, 0]
-                r[at[-1]] = own[-1]
-        t["radius"] = r
-        return t
-
-    return _per_tree(cylinders, run)
+    return _per_tree(cylinders, radii_smoothed)
+
+
+def piped(t: pd.DataFrame, tip: float) -> pd.DataFrame:
+    t = t.reset_index(drop=True)
+    ids = set(t["cyl_ID"])
+    children: dict = {}
+    for i, p in enumerate(t["parent_ID"]):
+        children.setdefault(p if p in ids else None, []).append(i)
+    r, s, ident = t["radius"].to_numpy(float).copy(), t["subtree_length"].to_numpy(float), t["cyl_ID"].tolist()
+    quality = t["quality"].to_numpy().copy()
+    todo = [(None, math.nan, 0.0)]
+    while todo:
+        node, anchor, reach = todo.pop()
+        below = children.get(node, [])
+        unset = [i for i in below if math.isnan(r[i])]
+        share = math.sqrt(sum(s[i] ** 2 for i in below))
+        for i in unset:
+            if math.isnan(anchor) or reach <= 0:
+                r[i] = tip
+            elif len(below) == 1:
+                r[i] = max(tip, tip + (anchor - tip) * s[i] / reach)
+            else:
+                r[i] = max(tip, anchor * s[i] / share if share > 0 else tip)
+            quality[i] = ALLOMETRIC
+        todo += [(ident[i], r[i], s[i]) for i in below]
+    t["radius"], t["quality"] = r, quality
+    return t
 
 
 def pipe_model(cylinders: DataFrame, tip: float = 0.0025) -> DataFrame:
     """Unset radii from the nearest set one below: a linear taper to the tip along a run, shares by squared subtree
     length at a fork, the tip where nothing below is set; such radii get the allometric quality."""
+    return _per_tree(cylinders, lambda t: piped(t, tip))
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.reset_index(drop=True)
-        ids = set(t["cyl_ID"])
-        children: dict = {}
-        for i, p in enumerate(t["parent_ID"]):
-            children.setdefault(p if p in ids else None, []).append(i)
-        r, s, ident = t["radius"].to_numpy(float).copy(), t["subtree_length"].to_numpy(float), t["cyl_ID"].tolist()
-        quality = t["quality"].to_numpy().copy()
-        todo = [(None, math.nan, 0.0)]
-        while todo:
-            node, anchor, reach = todo.pop()
-            below = children.get(node, [])
-            unset = [i for i in below if math.isnan(r[i])]
-            share = math.sqrt(sum(s[i] ** 2 for i in below))
-            for i in unset:
-                if math.isnan(anchor) or reach <= 0:
-                    r[i] = tip
-                elif len(below) == 1:
-                    r[i] = max(tip, tip + (anchor - tip) * s[i] / reach)
-                else:
-                    r[i] = max(tip, anchor * s[i] / share if share > 0 else tip)
-                quality[i] = ALLOMETRIC
-            todo += [(ident[i], r[i], s[i]) for i in below]
-        t["radius"], t["quality"] = r, quality
-        return t
-
-    return _per_tree(cylinders, run)
+
+#: How much of the trunk gives the direction (metres, share), the steepest tilt, growth of radii a segment.
+TRUNK_METRES, TRUNK_SHARE, TILT, GROWTH = 3.0, 0.25, 50.0, 1.01
 
 
 def prolongate(cylinders: DataFrame, lengths: DataFrame, step: float = 0.1) -> DataFrame:
-    """Cylinders numbered -n..-1 from the ground to the root, for the (tree_id, prolong) metres missing there.
+    """Cylinders numbered -n..-1 from the ground to the root, for the (tree_id, prolong) metres missing there.
 
     They follow the trunk's direction over its first 3 m or quarter, tilted by 50 degrees at most, and thicken by 1 % each.
-    Trees with fewer than two trunk cylinders, or nothing missing, stay as they are.
+    Trees with fewer than two trunk cylinders, or nothing missing, stay as they are.  Column expressions only: a running
+    length per trunk, one row a tree with its direction, a sequence of segments.
     """
-    joined = cylinders.join(lengths.select("tree_id", "prolong"), "tree_id", "left")
-    steep = math.radians(50)
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.reset_index(drop=True)
-        d, t = t["prolong"].iloc[0], t.drop(columns="prolong")
-        trunk = t[t["axis_ID"] == 1].sort_values(["subtree_length", "cyl_ID"], ascending=[False, True])
-        if pd.isna(d) or d <= 0 or len(trunk) < 2:
-            return t
-        a, b = trunk[["startX", "startY", "startZ"]].to_numpy(float), trunk[["endX", "endY", "endZ"]].to_numpy(float)
-        run_length = np.cumsum(np.linalg.norm(b - a, axis=1))
-        k = max(1, int(np.searchsorted(run_length, min(3.0, 0.25 * run_length[-1]), "right")))
-        way = b[k - 1] - a[0]
-        size = np.linalg.norm(way)
-        if not run_length[-1] or not size:
-            return t
-        way = way / size
-        if math.acos(max(-1.0, min(1.0, way[2]))) > steep:
-            flat = math.hypot(way[0], way[1])
-            across = way[:2] / flat if flat > 0 else np.zeros(2)
-            way = np.array([*(across * math.sin(steep)), math.cos(steep)])
-        far = d / way[2]
-        n = max(1, math.ceil(far / step))
-        i = np.arange(n, 0, -1)
-        low, high = (a[0] - way * (far * (j / n))[:, None] for j in (i, i - 1))
-        root = trunk.iloc[0]
-        new = pd.DataFrame({"tree_id": [root["tree_id"]] * n, "cyl_ID": -i})
-        new["parent_ID"] = np.where(i == n, -n - 1, -i - 1)
-        for c, v in (("axis_ID", 1), ("branch_order", 1), ("quality", 0)):
-            if c in t:
-                new[c] = v
-        new["subtree_length"], new["radius"] = root["subtree_length"] + far / n * i, root["radius"] * 1.01 ** (i - 1.0)
-        for j, x in enumerate("XYZ"):
-            new[f"start{x}"], new[f"end{x}"] = low[:, j], high[:, j]
-        t.loc[t["cyl_ID"] == root["cyl_ID"], "parent_ID"] = -1
-        return pd.concat([new, t], ignore_index=True)[t.columns]
-
-    return _per_tree(joined, run, T.StructType([T.StructField(f.name, f.dataType) for f in cylinders.schema]))  # other columns are null in new rows
+    from boscage.functions.geometry import length
+
+    down = Window.partitionBy("tree_id").orderBy(F.desc("subtree_length"), "cyl_ID")
+    every = Window.partitionBy("tree_id")
+    trunk = cylinders.where("axis_ID = 1").withColumns({"_n": F.count("*").over(every), "_i": F.row_number().over(down), "_run": F.sum(length()).over(down.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(length()).over(every)}).where("_n > 1")
+    near = F.least(F.lit(TRUNK_METRES), F.col("_all") * TRUNK_SHARE)
+    head = lambda c: F.min_by(c, "_i")
+    reach = F.max_by(F.struct(*[f"end{a}" for a in "XYZ"]), F.when((F.col("_run") <= near) | (F.col("_i") == 1), F.col("_i")))
+    one = trunk.groupBy("tree_id").agg(*[head(c).alias(f"_{c}") for c in ("cyl_ID", "startX", "startY", "startZ", "subtree_length", "radius")], reach.alias("_to"), F.max("_all").alias("_all"))
+    one = one.join(lengths.select("tree_id", "prolong"), "tree_id").where("prolong > 0 and _all > 0")
+    way = [F.col(f"_to.end{a}") - F.col(f"_start{a}") for a in "XYZ"]
+    one = one.withColumn("_size", F.sqrt(way[0] ** 2 + way[1] ** 2 + way[2] ** 2)).where("_size > 0").withColumns({f"_w{a}": w / F.col("_size") for a, w in zip("XYZ", way, strict=True)})
+    steep = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_wZ"))))) > TILT
+    flat = F.hypot("_wX", "_wY")
+    across = [F.when(flat > 0, F.col(f"_w{a}") / flat).otherwise(0.0) * math.sin(math.radians(TILT)) for a in "XY"]
+    one = one.withColumns({**{f"_v{a}": F.when(steep, x).otherwise(F.col(f"_w{a}")) for a, x in zip("XY", across, strict=True)}, "_vZ": F.when(steep, math.cos(math.radians(TILT))).otherwise(F.col("_wZ"))})
+    one = one.withColumn("_far", F.col("prolong") / F.col("_vZ")).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_far") / step)).cast("long")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    kinds = dict(cylinders.dtypes)
+    made = {"tree_id": F.col("tree_id"), "cyl_ID": -F.col("i"), "parent_ID": -F.col("i") - 1, "subtree_length": F.col("_subtree_length") + F.col("_far") / F.col("_n") * F.col("i"), "radius": F.col("_radius") * F.pow(F.lit(GROWTH), F.col("i") - 1.0)}
+    for e, back in (("start", 0), ("end", 1)):
+        made |= {f"{e}{a}": F.col(f"_start{a}") - F.col(f"_v{a}") * (F.col("_far") * (F.col("i") - back) / F.col("_n")) for a in "XYZ"}
+    made |= {c: F.lit(v) for c, v in (("axis_ID", 1), ("branch_order", 1), ("quality", PROLONGED)) if c in kinds}
+    new = one.select(*[made[c].cast(kinds[c]).alias(c) for c in cylinders.columns if c in made])
+    hung = one.where("i = 1").select("tree_id", F.col("_cyl_ID").alias("cyl_ID"), F.lit(True).alias("_hung"))
+    old = cylinders.join(hung, ["tree_id", "cyl_ID"], "left").withColumn("parent_ID", F.when(F.col("_hung"), F.lit(-1).cast(kinds["parent_ID"])).otherwise(F.col("parent_ID"))).select(*cylinders.columns)
+    return old.unionByName(new, allowMissingColumns=True)
 
 
 def layer_centres(points: DataFrame) -> DataFrame:
@@ -173,6 +168,25 @@ def layer_centres(points: DataFrame) -> DataFrame:
     return points.groupBy(F.col("treeID").alias("tree_id"), "layer", "cluster").agg(*[F.avg(a).alias(a) for a in "XYZ"])
 
 
+def chained(x: np.ndarray, layer: np.ndarray, max_d: float) -> list[tuple[int, int]]:
+    """(from, to) of the chains through centres sorted by layer, as skeleton() tells."""
+    used, links = np.zeros(len(x), bool), []
+    now = int(x[:, 2].argmin())
+    used[now] = True
+    while not used.all():
+        d2 = ((x - x[now]) ** 2).sum(1)
+        open_ = np.flatnonzero(~used & (layer > layer[now]) & (d2 < max_d * max_d))
+        if len(open_):
+            to = int(open_[d2[open_].argmin()])
+        else:
+            to = int(np.flatnonzero(~used)[0])
+            done = np.flatnonzero(used)
+            now = int(done[((x[done] - x[to]) ** 2).sum(1).argmin()])
+        links.append((now, to))
+        used[to], now = True, to
+    return links
+
+
 def skeleton(centres: DataFrame, max_d: float = 0.1) -> DataFrame:
     """(tree_id, cyl_ID, parent_ID, start, end) that chain the (tree_id, layer, cluster, X, Y, Z) of each tree.
 
@@ -184,22 +198,10 @@ def skeleton(centres: DataFrame, max_d: float = 0.1) -> DataFrame:
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["layer", "cluster"]).reset_index(drop=True)
-        x, layer = t[["X", "Y", "Z"]].to_numpy(float), t["layer"].to_numpy()
-        used, ends_at, rows = np.zeros(len(t), bool), {}, []
-        now = int(x[:, 2].argmin())
-        used[now] = True
-        while not used.all():
-            d2 = ((x - x[now]) ** 2).sum(1)
-            open_ = np.flatnonzero(~used & (layer > layer[now]) & (d2 < max_d * max_d))
-            if len(open_):
-                to = int(open_[d2[open_].argmin()])
-            else:
-                to = int(np.flatnonzero(~used)[0])
-                done = np.flatnonzero(used)
-                now = int(done[((x[done] - x[to]) ** 2).sum(1).argmin()])
-            ends_at[to] = len(rows) + 1
-            rows.append((t["tree_id"].iloc[0], len(rows) + 1, ends_at.get(now, 0), *x[now], *x[to]))
-            used[to], now = True, to
+        x = t[["X", "Y", "Z"]].to_numpy(float)
+        links = chained(x, t["layer"].to_numpy(), max_d)
+        own = {to: i + 1 for i, (_, to) in enumerate(links)}
+        rows = [(t["tree_id"].iloc[0], i + 1, own.get(a, 0), *x[a], *x[to]) for i, (a, to) in enumerate(links)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return centres.select("tree_id", "layer", "cluster", "X", "Y", "Z").groupBy("tree_id").applyInPandas(run, schema)

@@ -79,7 +79,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, columns: tuple[str,
 
 
 def nearest(queries: DataFrame, points: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, point_id, d2, *columns) of each query's nearest point."""
+    """(qid, point_id, d2, *columns) of each query's nearest point."""
     return knn_join(queries, points, 1, columns).drop("rank")
 
 
@@ -89,8 +89,39 @@ def transfer_attributes(source: DataFrame, target: DataFrame, attributes: list[s
     return target.drop(*attributes).join(found, "point_id", "left")
 
 
+def nearest_ground(queries: DataFrame, ground: DataFrame) -> DataFrame:
+    """(point_id, ground): height of the ground point nearest in x and y; 0.0 where there is no ground at all."""
+    flat = lambda df, *more: df.select("point_id", "X", "Y", F.lit(0.0).alias("Z"), *more)
+    found = nearest(flat(queries), flat(ground, F.col("Z").alias("ground")), ("ground",)).select(F.col("qid").alias("point_id"), "ground")
+    return queries.select("point_id").join(found, "point_id", "left").withColumn("ground", F.coalesce("ground", F.lit(0.0)))
+
+
+def tree_context_knn(points: DataFrame, tree: int, k: int = 20) -> DataFrame:
+    """Ids of the points of all trees that are among the k nearest neighbours of one of the tree's points."""
+    own = points.where(F.col("treeID") == tree)
+    touched = knn_join(own, points.where(F.col("treeID") > 0), k, ("treeID",)).select("treeID").distinct()
+    return points.join(touched, "treeID", "left_semi").select("point_id")
+
+
+def tiles(points: DataFrame, size: float = 50.0, halo: float = 10.0) -> DataFrame:
+    """The points once for each tile (tx, ty) whose square they lie in or within `halo` of; `core`: in the square itself."""
+    out = points
+    for t, a in (("tx", "X"), ("ty", "Y")):
+        near = F.sequence(F.floor((F.col(a) - halo) / size), F.floor((F.col(a) + halo) / size))
+        out = out.withColumn(t, F.explode(near))
+    core = (F.floor(F.col("X") / size) == F.col("tx")) & (F.floor(F.col("Y") / size) == F.col("ty"))
+    return out.withColumn("core", core)
+
+
+def trees_of_tile(points: DataFrame, seeds: DataFrame, size: float = 50.0) -> DataFrame:
+    """Of tiled points, those of trees whose seeds' mean place lies in the tile's own square."""
+    home = seeds.where("treeID > 0").groupBy("treeID", "tx", "ty").agg(F.avg("X").alias("x"), F.avg("Y").alias("y"))
+    home = home.where((F.floor(F.col("x") / size) == F.col("tx")) & (F.floor(F.col("y") / size) == F.col("ty")))
+    return points.join(home, ["treeID", "tx", "ty"], "left_semi")
+
+
 def tree_context(points: DataFrame, tree: int, r: float = 0.1) -> DataFrame:
-    """Ids of the points of all trees that have a point within r of the tree's."""
+    """Ids of the points of all trees that have a point within r of the tree's."""
     own = points.where(F.col("treeID") == tree)
     touched = radius_join(own, points.where(F.col("treeID") > 0), r, ("treeID",)).select("treeID").distinct()
     return points.join(touched, "treeID", "left_semi").select("point_id")

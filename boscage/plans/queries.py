@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscage.functions import geometry as G
-from boscage.operators import graph, points, skeleton, spatial, trees
+from boscage.operators import ground, graph, points, qsm, routes, skeleton, spatial, trees, verbs
+from boscage.params import PathFinder
 from boscage.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +80,8 @@ def chain(s: SparkSession, d: str) -> DataFrame:
 
 
 def grown(s: SparkSession, d: str) -> DataFrame:
-    """Cylinders of the heap trees with lengths, orders and axes."""
-    c = heap(s, d)
-    a = trees.architecture(c).select("tree_id", "cyl_ID", "branch_order", "axis")
-    return trees.subtree(trees.dist_to_root(c)).join(a, ["tree_id", "cyl_ID"])
+    """Cylinders of the heap trees with all folds."""
+    return trees.grown(heap(s, d))
 
 
 VOX = "least AS (SELECT min(X) AS x0, min(Y) AS y0, min(Z) AS z0 FROM evt), vox AS (SELECT evt.*, CAST(floor((X-x0)/0.5) AS BIGINT) AS vx, CAST(floor((Y-y0)/0.5) AS BIGINT) AS vy, CAST(floor((Z-z0)/0.5) AS BIGINT) AS vz FROM evt, least), mean AS (SELECT vx,vy,vz, avg(X) AS mx, avg(Y) AS my, avg(Z) AS mz FROM vox GROUP BY ALL), kept AS (SELECT arg_min(point_id, (d2, point_id)) AS point_id FROM (SELECT vox.*, round((X-mx)**2+(Y-my)**2+(Z-mz)**2,9) AS d2 FROM vox JOIN mean USING (vx,vy,vz)) GROUP BY vx,vy,vz)"
@@ -157,10 +156,10 @@ def flag_small_trees(s, d):
     return points.flag_small_trees(evt(s, d), 2).select("point_id", "UserData")
 
 
-@query("SELECT point_id FROM evt WHERE treeID IN (SELECT treeID FROM evt GROUP BY treeID HAVING max(hag) < 10)")
+@query("SELECT point_id FROM evt WHERE treeID IN (SELECT treeID FROM evt GROUP BY treeID HAVING max(hag) < 47)")
 def keep_small_trees(s, d):
     """F15."""
-    return points.keep_small_trees(evt(s, d), 10).select("point_id")
+    return points.keep_small_trees(evt(s, d), 47).select("point_id")
 
 
 @query("SELECT point_id FROM evt WHERE UserData=0 AND treeID>0 AND treeID IN (SELECT treeID FROM evt WHERE UserData=0 GROUP BY treeID HAVING max(hag) >= 10)")
@@ -318,12 +317,8 @@ def dbscan_layers(s, d):
 @query("""WITH link AS (SELECT a.id AS s, b.id AS t FROM circle a, circle b WHERE a.id=b.id OR sqrt((a.X-b.X)**2+(a.Y-b.Y)**2) < a.R+b.R), reach(s,t) AS (SELECT s,t FROM link UNION SELECT r.s, l.t FROM reach r JOIN link l ON r.t=l.s)
 SELECT s AS id, min(t) AS grp FROM reach GROUP BY s""")
 def circle_groups(s, d):
-    """The join runs on cells as wide as two largest circles."""
-    c = tables.circles_of_suppliers(s, d)
-    flat = c.select(F.col("id").alias("point_id"), "X", "Y", F.lit(0.0).alias("Z"), "R")
-    r = 2 * float(c.agg(F.max("R")).first()[0] or 0) + 1e-9
-    near = spatial.radius_join(flat, flat, r, ("R",)).join(flat.select(F.col("point_id").alias("qid"), F.col("R").alias("qr")), "qid").where((F.col("qid") > F.col("point_id")) & (F.sqrt("d2") < F.col("R") + F.col("qr")))
-    return graph.components(flat.select(F.col("point_id").alias("node")), near.select(F.col("qid").alias("a"), F.col("point_id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    """C4, J21."""
+    return verbs.circle_groups(tables.circles_of_suppliers(s, d))
 
 
 @query("SELECT id, CAST(i AS INTEGER) AS i, round(X+R*cos(i*2*pi()/ceil(2*pi()*R/0.0375)),6) AS x, round(Y+R*sin(i*2*pi()/ceil(2*pi()*R/0.0375)),6) AS y, round(Z,6) AS z FROM (SELECT *, unnest(range(CAST(ceil(2*pi()*R/0.0375) AS BIGINT))) AS i FROM circle)")
@@ -380,14 +375,7 @@ def multi_source(s, d):
 @query()
 def passages(s, d):
     """Number of shortest paths from node 0 through each node: the sizes of the subtrees of the predecessor forest."""
-    t = graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")))
-    own, up = t.select("node", "pred"), t.select("node", F.col("pred").alias("to"), F.lit(1).cast("long").alias("n"))
-    out, now = own.select("node", F.lit(0).cast("long").alias("passage")), up
-    while not now.isEmpty():
-        out = graph.cut(out.join(now.groupBy("node").agg(F.sum("n").alias("more")), "node", "left").select("node", (F.col("passage") + F.coalesce("more", F.lit(0))).alias("passage")))
-        step = now.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.sum("n").alias("n"))
-        now = graph.cut(step.join(own, "node").select("node", F.col("pred").alias("to"), "n"))
-    return out
+    return graph.passages(graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node"))))
 
 
 @query("SELECT tree_id, cyl_ID, round(len,6) AS len, round(pi()*radius*radius*len,6) AS volume, round(CASE WHEN len<1e-6 THEN 0 ELSE degrees(acos(greatest(-1,least(1,(endZ-startZ)/len)))) END,6) AS inclination FROM heap")
@@ -396,31 +384,31 @@ def cyl_geometry(s, d):
     return heap(s, d).select("tree_id", "cyl_ID", G.length().alias("len"), G.volume().alias("volume"), G.inclination().alias("inclination"))
 
 
-DIST = "pc AS (SELECT e.point_id, h.*, ((e.X-startX)*(endX-startX)+(e.Y-startY)*(endY-startY)+(e.Z-startZ)*(endZ-startZ))/(len*len) AS t, e.X, e.Y, e.Z FROM evt e JOIN heap h ON h.tree_id=e.treeID WHERE h.cyl_ID<=3 AND len>1e-9), pr AS (SELECT *, sqrt((X-startX-t*(endX-startX))**2+(Y-startY-t*(endY-startY))**2+(Z-startZ-t*(endZ-startZ))**2) AS rho, CASE WHEN t<0 THEN -t ELSE t-1 END*len AS ax FROM pc), dist AS (SELECT point_id, cyl_ID, radius, CASE WHEN t>=0 AND t<=1 THEN greatest(0,rho-radius) WHEN rho<=radius THEN ax ELSE sqrt(ax*ax+greatest(0,rho-radius)**2) END AS dist FROM pr)"
+DIST = "pc AS (SELECT e.point_id, h.*, ((e.X-startX)*(endX-startX)+(e.Y-startY)*(endY-startY)+(e.Z-startZ)*(endZ-startZ))/(len*len) AS t, e.X, e.Y, e.Z FROM evt e JOIN heap h ON h.tree_id=e.treeID WHERE len>1e-9), pr AS (SELECT *, sqrt((X-startX-t*(endX-startX))**2+(Y-startY-t*(endY-startY))**2+(Z-startZ-t*(endZ-startZ))**2) AS rho, CASE WHEN t<0 THEN -t ELSE t-1 END*len AS ax FROM pc), dist AS (SELECT point_id, cyl_ID, radius, CASE WHEN t>=0 AND t<=1 THEN greatest(0,rho-radius) WHEN rho<=radius THEN ax ELSE sqrt(ax*ax+greatest(0,rho-radius)**2) END AS dist FROM pr)"
 
 
 @query(f"WITH {DIST} SELECT point_id, cyl_ID, round(dist,6) AS dist FROM dist")
 def point_cyl_distance(s, d):
-    """An equi-join on the tree; every cylinder of it, where the SQL has the first three."""
+    """An equi-join on the tree."""
     j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
     return j.select("point_id", "cyl_ID", G.surface_distance(F.col("X"), F.col("Y"), F.col("Z")).alias("dist"))
 
 
 @query(f"WITH {DIST} SELECT point_id, CAST(CASE WHEN min(dist - 1.3*radius) < 0.02 THEN 0 ELSE 1 END AS INTEGER) AS foliage FROM dist GROUP BY point_id")
 def segment_by_model(s, d):
-    """Wood within 1.3 radii and two centimetres of any cylinder of its tree, where the SQL has the first three."""
+    """Wood within 1.3 radii and two centimetres of any cylinder of its tree."""
     j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
     off = G.surface_distance(F.col("X"), F.col("Y"), F.col("Z")) - 1.3 * F.col("radius")
     return j.groupBy("point_id").agg(F.when(F.min(off) < 0.02, 0).otherwise(1).alias("foliage"))
 
 
-@query("""WITH mid AS (SELECT cyl_ID + tree_id*1000 AS id, *, (startX/2+endX/2) AS mx, (startY/2+endY/2) AS my, (startZ/2+endZ/2) AS mz FROM heap WHERE tree_id<=20 AND len>1e-9),
+@query("""WITH mid AS (SELECT cyl_ID + tree_id*1000 AS id, *, (startX/2+endX/2) AS mx, (startY/2+endY/2) AS my, (startZ/2+endZ/2) AS mz FROM heap WHERE len>1e-9),
 near AS (SELECT e.point_id, m.*, e.X AS px, e.Y AS py, e.Z AS pz, row_number() OVER (PARTITION BY e.point_id ORDER BY (e.X-mx)**2+(e.Y-my)**2+(e.Z-mz)**2, id) AS rn FROM emb e, mid m),
 p AS (SELECT *, ((px-startX)*(endX-startX)+(py-startY)*(endY-startY)+(pz-startZ)*(endZ-startZ))/(len*len) AS t FROM near WHERE rn<=10),
 q AS (SELECT *, sqrt((px-startX-t*(endX-startX))**2+(py-startY-t*(endY-startY))**2+(pz-startZ-t*(endZ-startZ))**2) AS rho, CASE WHEN t<0 THEN -t ELSE t-1 END*len AS ax FROM p)
 SELECT point_id, round(min(CASE WHEN t>=0 AND t<=1 THEN greatest(0,rho-radius) WHEN rho<=radius THEN ax ELSE sqrt(ax*ax+greatest(0,rho-radius)**2) END),6) AS dist FROM q GROUP BY point_id""")
 def model_distances(s, d):
-    """The ten nearest midpoints of all trees, where the SQL has the first twenty; then the exact distance to the surface."""
+    """The ten nearest midpoints of all trees, then the exact distance to the surface."""
     c = heap(s, d).where(G.length() > 1e-9).withColumn("cyl_ID", F.col("cyl_ID") + F.col("tree_id") * 1000)
     return spatial.model_distances(emb(s, d), c, 10).select("point_id", "dist")
 
@@ -439,14 +427,58 @@ def subtree_folds(s, d):
 
 @query("SELECT tree_id, cyl_ID, CAST(branch_order AS BIGINT) AS branch_order, axis FROM arch")
 def branch_order(s, d):
-    """G17, W1, G12."""
+    """G17."""
     return trees.architecture(heap(s, d)).select("tree_id", "cyl_ID", F.col("branch_order").cast("long").alias("branch_order"), "axis")
 
 
-@query("SELECT tree_id, count(*) AS n, count(DISTINCT CASE WHEN parent_ID=0 THEN parent_ID END) AS roots, count(DISTINCT CASE WHEN parent_ID=0 THEN parent_ID END)=1 AS valid FROM heap GROUP BY tree_id")
+#: Every fifth tree has a cycle, the next a second root, the next an unset radius.
+UNSOUND = """sick AS (SELECT tree_id, cyl_ID, CASE WHEN tree_id%5=1 AND cyl_ID=3 THEN 6 WHEN tree_id%5=2 AND cyl_ID=5 THEN -7 ELSE parent_ID END AS parent_ID, CASE WHEN tree_id%5=3 AND cyl_ID=4 THEN NULL ELSE radius END AS radius FROM heap),
+head AS (SELECT s.* FROM sick s WHERE NOT EXISTS (SELECT 1 FROM sick p WHERE p.tree_id=s.tree_id AND p.cyl_ID=s.parent_ID)),
+seen(tree_id, cyl_ID) AS (SELECT tree_id, cyl_ID FROM head UNION SELECT s.tree_id, s.cyl_ID FROM seen x JOIN sick s ON s.tree_id=x.tree_id AND s.parent_ID=x.cyl_ID)"""
+
+
+def sick(s: SparkSession, d: str) -> DataFrame:
+    t, c = F.col("tree_id") % 5, F.col("cyl_ID")
+    return heap(s, d).withColumns({"parent_ID": F.when((t == 1) & (c == 3), 6).when((t == 2) & (c == 5), -7).otherwise(F.col("parent_ID")), "radius": F.when(~((t == 3) & (c == 4)), F.col("radius"))})
+
+
+@query(f"WITH {UNSOUND}, r AS (SELECT tree_id, count(DISTINCT parent_ID) AS roots FROM head GROUP BY 1), o AS (SELECT tree_id, count(*) AS n, count(*) FILTER (radius IS NULL) AS unset FROM sick GROUP BY 1), g AS (SELECT tree_id, count(*) AS got FROM seen GROUP BY 1) SELECT tree_id, n, coalesce(roots,0) AS roots, n-coalesce(got,0) AS unreached, unset, coalesce(roots,0)=1 AND n=coalesce(got,0) AND unset=0 AS valid FROM o LEFT JOIN r USING (tree_id) LEFT JOIN g USING (tree_id)")
 def validate_tree(s, d):
-    """G11, G18, G19."""
-    return trees.validate(heap(s, d))
+    """G11, G18."""
+    return trees.validate(sick(s, d))
+
+
+@query(f"WITH {UNSOUND}, f AS (SELECT tree_id, arg_min(parent_ID, cyl_ID) AS p FROM head GROUP BY 1), own(tree_id, cyl_ID) AS (SELECT h.tree_id, h.cyl_ID FROM head h JOIN f ON f.tree_id=h.tree_id AND f.p=h.parent_ID UNION SELECT s.tree_id, s.cyl_ID FROM own x JOIN sick s ON s.tree_id=x.tree_id AND s.parent_ID=x.cyl_ID) SELECT tree_id, cyl_ID FROM own")
+def remove_disconnected(s, d):
+    """G19."""
+    return trees.remove_disconnected(sick(s, d)).select("tree_id", "cyl_ID")
+
+
+@query("WITH t AS (SELECT tree_id, cyl_ID, CASE WHEN cyl_ID IN (2,3) THEN 0 ELSE parent_ID END AS parent_ID, startX, startY, startZ FROM heap), h AS (SELECT * FROM t WHERE parent_ID=0), n AS (SELECT tree_id, count(*) AS n, arg_min(startX, (startZ, cyl_ID)) AS x, arg_min(startY, (startZ, cyl_ID)) AS y, min(startZ) AS z FROM h GROUP BY 1 HAVING count(*)>1) SELECT tree_id, cyl_ID, CASE WHEN parent_ID=0 AND tree_id IN (SELECT tree_id FROM n) THEN -1 ELSE parent_ID END AS parent_ID, round(startZ,6) AS startZ FROM t UNION ALL SELECT tree_id, -1, -2, round(z-0.01,6) FROM n")
+def fix_multiple_root(s, d):
+    """The second and third cylinder start at the root as well."""
+    t = heap(s, d).withColumn("parent_ID", F.when(F.col("cyl_ID").isin(2, 3), 0).otherwise(F.col("parent_ID")))
+    return trees.fix_multiple_root(t).select("tree_id", "cyl_ID", "parent_ID", "startZ")
+
+
+@query("SELECT h.tree_id, h.cyl_ID, h.parent_ID AS parent, coalesce(list_aggregate(k.kids, 'string_agg', ','), '') AS children, h.parent_ID=0 AS root FROM heap h LEFT JOIN (SELECT tree_id, parent_ID, list(cyl_ID ORDER BY cyl_ID) AS kids FROM heap GROUP BY 1, 2) k ON k.tree_id=h.tree_id AND k.parent_ID=h.cyl_ID")
+def family(s, d):
+    """G12, G18."""
+    f = trees.family(heap(s, d))
+    return f.select("tree_id", "cyl_ID", F.coalesce("parent", F.lit(0)).alias("parent"), F.array_join("children", ",").alias("children"), "root")
+
+
+@query("SELECT tree_id, cyl_ID, row_number() OVER (PARTITION BY tree_id, axis ORDER BY subtree_length DESC, cyl_ID) AS place FROM arch")
+def axis_map(s, d):
+    """W1."""
+    return trees.axis_map(grown(s, d).withColumn("axis_ID", F.col("axis"))).select("tree_id", "cyl_ID", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH q AS (SELECT *, cyl_ID*7%11 AS quality, row_number() OVER (PARTITION BY tree_id, axis ORDER BY subtree_length DESC, cyl_ID) AS i FROM arch), g AS (SELECT *, i-coalesce(max(CASE WHEN quality>=4 THEN i END) OVER (PARTITION BY tree_id, axis ORDER BY i),0) AS run FROM q), e AS (SELECT *, max(CASE WHEN quality<4 THEN run ELSE 0 END) OVER (PARTITION BY tree_id, axis ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM g) SELECT tree_id, cyl_ID FROM e WHERE coalesce(most,0)<3")
+def failing_run(s, d):
+    """An axis ends with the third failure in a row."""
+    c = grown(s, d).withColumns({"axis_ID": F.col("axis"), "quality": F.col("cyl_ID") * 7 % 11})
+    return trees.failing_run(c, 3).select("tree_id", "cyl_ID")
 
 
 @query("SELECT tree_id, cyl_ID, round(radius,6) AS radius FROM arch WHERE branch_order=1")
@@ -515,13 +547,13 @@ def qsf_merchantable(s, d):
     return trees.qsf_merchantable(trees.stats_global(chain(s, d))).select("tree_id")
 
 
-@query(f"WITH {STATS} SELECT count(*) AS n, round(round((max(X_bh)-min(X_bh))*(max(Y_bh)-min(Y_bh))*1000/50)*50,6) AS area, round(sum(pi()*(dbh/2)**2),6) AS ba, round(avg(dbh),6) AS mean_dbh, round(avg(H),6) AS mean_h, round(sum(V),6) AS volume FROM (SELECT st.*, dbh, x AS X_bh, y AS Y_bh FROM st JOIN dbh USING (tree_id))")
+@query(f"WITH {STATS} SELECT count(*) AS n, round(round((max(X_bh)-min(X_bh))*(max(Y_bh)-min(Y_bh))*1000/50)*50,6) AS area, round(sum(pi()*(dbh/2)**2),6) AS ba, round(avg(dbh),6) AS mean_dbh, round(avg(H),6) AS mean_h, round(sum(V),6) AS volume, (SELECT max(n0+ceil(round((h-v0)/v,9))) FROM (SELECT v, sum(v*k) OVER ()/2 AS h, coalesce(sum(v*k) OVER o,0) AS v0, coalesce(sum(k) OVER o,0) AS n0, k FROM (SELECT round(V,3) AS v, count(*) AS k FROM st WHERE V>0 GROUP BY 1) WINDOW o AS (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE v0<h AND v0+v*k>=h)::BIGINT AS half FROM (SELECT st.*, dbh, x AS X_bh, y AS Y_bh FROM st JOIN dbh USING (tree_id))")
 def forest_report(s, d):
     """Roots are spread by their places at breast height, a thousandfold, for want of a real plot."""
     t = trees.stats_global(chain(s, d))
     spread = t.withColumns({"X_root": F.col("X_bh") * 1000, "Y_root": F.col("Y_bh")})
     r = trees.forest_report(spread)
-    return r.select("n", "area", (F.col("ba_ha") * F.col("area") / 10000).alias("ba"), "mean_dbh", "mean_h", "volume")
+    return r.select("n", "area", (F.col("ba_ha") * F.col("area") / 10000).alias("ba"), "mean_dbh", "mean_h", "volume", F.col("half").cast("long").alias("half"))
 
 
 @query("SELECT source AS type, count(*) AS n, CAST(min(doc_id) AS BIGINT) AS first FROM documents GROUP BY source", views=False)
@@ -549,10 +581,35 @@ def conic(s, d):
     return trees.conic(chain(s, d), 0.2).select("tree_id", "cyl_ID", "radius")
 
 
-@query("WITH t AS (SELECT *, max(subtree_length) OVER (PARTITION BY tree_id) AS xm FROM chain2), u AS (SELECT tree_id, count(*) AS n, max(xm) AS xm, sum((subtree_length**2-2*xm*subtree_length)**2) AS zz, sum((subtree_length**2-2*xm*subtree_length)*(radius-0.0025)) AS zy FROM t GROUP BY tree_id) SELECT tree_id, 1 AS branch_order, round(-2*zy/zz*xm,6) AS a, round(zy/zz,6) AS b, n FROM u WHERE n>6 AND zz>=1e-12")
+#: Trees of several axes whose radii are unset for every third cylinder; qualities differ.
+AXES = """ax AS (SELECT *, axis AS axis_ID, CASE WHEN cyl_ID%3=0 THEN NULL ELSE radius END AS r, CAST(cyl_ID*7%6 AS INTEGER) AS quality, dist_to_root*4 AS far FROM arch)"""
+#: Sums of the taper over what `m` measures of an axis: r(x) = tip + a x + b x^2.
+TAPER = """u AS (SELECT *, max(CASE WHEN m THEN subtree_length END) OVER w AS xm, min(CASE WHEN m THEN subtree_length END) OVER w AS last, count(*) FILTER (m) OVER w AS n FROM t WINDOW w AS (PARTITION BY tree_id, axis_ID)),
+v AS (SELECT *, sum(CASE WHEN m THEN (subtree_length**2-2*xm*subtree_length)**2 END) OVER w AS zz, sum(CASE WHEN m THEN (subtree_length**2-2*xm*subtree_length)*(r-tip) END) OVER w AS zy FROM u WINDOW w AS (PARTITION BY tree_id, axis_ID)),
+p AS (SELECT *, CASE WHEN zz>=1e-12 THEN -2*zy/zz*xm*subtree_length+zy/zz*subtree_length**2+tip END AS guess FROM v)"""
+
+
+def _axes(s: SparkSession, d: str) -> DataFrame:
+    return grown(s, d).withColumns({"axis_ID": F.col("axis"), "radius": F.when(F.col("cyl_ID") % 3 != 0, F.col("radius")), "quality": (F.col("cyl_ID") * 7 % 6).cast("int"), "dist_to_root": F.col("dist_to_root") * 4})
+
+
+@query(f"WITH {AXES}, t AS (SELECT *, 0.0025 AS tip, r IS NOT NULL AND far>1.3 AS m FROM ax), {TAPER} SELECT DISTINCT tree_id, axis_ID, round(-2*zy/zz*xm,6) AS a, round(zy/zz,6) AS b, n FROM v WHERE n>6 AND zz>=1e-12")
 def poly_taper(s, d):
-    """R6, A30; R4's filter, axes and replacement are not built."""
-    return trees.taper_sums(chain(s, d))
+    """R6, A30."""
+    return trees.taper_sums(_axes(s, d))
+
+
+@query(f"WITH {AXES}, t AS (SELECT *, 0.0025 AS tip, r IS NOT NULL AND far>1.3 AS m FROM ax), {TAPER}, o AS (SELECT *, n>6 AND subtree_length>=last AND (r IS NULL OR (abs(r-guess)>0.3*guess AND quality<5)) AS new FROM p) SELECT tree_id, cyl_ID, round(CASE WHEN n<=6 THEN NULL WHEN new THEN guess ELSE r END,6) AS radius, CAST(CASE WHEN n<=6 THEN 0 WHEN new THEN 3 ELSE quality END AS INTEGER) AS quality FROM o")
+def polynomial_fitting(s, d):
+    """R4."""
+    return trees.polynomial_fitting(_axes(s, d)).select("tree_id", "cyl_ID", "radius", "quality")
+
+
+@query(f"WITH {AXES}, one AS (SELECT tree_id, cyl_ID, 1 AS axis_ID, CASE WHEN cyl_ID%3=0 THEN NULL ELSE radius END AS r, CAST(cyl_ID*7%6 AS INTEGER) AS quality, dist_to_root AS far, subtree_length FROM chain2), t AS (SELECT *, 0.0 AS tip, r IS NOT NULL AND far<=1.3 AS m FROM one), {TAPER}, o AS (SELECT *, n>4 AND subtree_length>=last AND (r IS NULL OR (abs(r-guess)>0.3*guess AND quality<5 AND far<=1.3)) AS new FROM p) SELECT tree_id, cyl_ID, round(CASE WHEN new THEN guess ELSE r END,6) AS radius, CAST(CASE WHEN new THEN 3 ELSE quality END AS INTEGER) AS quality FROM o")
+def polynomial_fitting_root(s, d):
+    """R5."""
+    c = chain(s, d).withColumns({"axis_ID": F.lit(1), "radius": F.when(F.col("cyl_ID") % 3 != 0, F.col("radius")), "quality": (F.col("cyl_ID") * 7 % 6).cast("int")})
+    return trees.polynomial_fitting_root(c).select("tree_id", "cyl_ID", "radius", "quality")
 
 
 @query("SELECT tree_id, round(max(hag),6) AS prolong FROM evt JOIN (SELECT tree_id, min(endZ) AS low FROM heap GROUP BY tree_id) l ON l.tree_id=evt.treeID WHERE Z<=low GROUP BY tree_id")
@@ -579,12 +636,12 @@ def allometry_table(s, d):
     return tables.allometry_table(s)
 
 
-@query("SELECT tree_id, printf('%.3f',startX+0.0000137) AS startX, printf('%.3f',startY+0.0000137) AS startY, printf('%.3f',startZ+0.0000137) AS startZ, printf('%.3f',endX+0.0000137) AS endX, printf('%.3f',endY+0.0000137) AS endY, printf('%.3f',endZ+0.0000137) AS endZ, cyl_ID, parent_ID, printf('%.3f',radius+0.0000137) AS radius FROM heap")
+@query("SELECT tree_id, " + ", ".join(f"printf('%.3f',{c}+0.0000137) AS {c}" for c in ("startX", "startY", "startZ", "endX", "endY", "endZ", "dist_to_root", "subtree_length", "radius")) + ", cyl_ID, parent_ID, axis AS axis_ID, CAST(branch_order AS INTEGER) AS branch_order, 0 AS quality FROM arch")
 def csv_export_rows(s, d):
     """K2."""
-    numbers = [f"{e}{a}" for e in ("start", "end") for a in "XYZ"] + ["radius"]
-    off_ties = heap(s, d).withColumns({c: F.col(c) + 0.0000137 for c in numbers})  # the engines format ties differently
-    return sinks.csv_rows(off_ties)
+    numbers = [f"{e}{a}" for e in ("start", "end") for a in "XYZ"] + ["dist_to_root", "subtree_length", "radius"]
+    c = grown(s, d).withColumns({"axis_ID": F.col("axis"), "quality": F.lit(0)})
+    return sinks.csv_rows(c.withColumns({c: F.col(c) + 0.0000137 for c in numbers}))  # off ties, which the engines format differently
 
 
 @query("WITH r AS (SELECT DISTINCT l_suppkey AS row, l_linenumber AS col FROM lineitem WHERE l_quantity > 10) SELECT row, col FROM r WHERE EXISTS (SELECT 1 FROM r b WHERE b.row=r.row+1 AND b.col=r.col) AND EXISTS (SELECT 1 FROM r b WHERE b.row=r.row AND b.col=r.col+1) AND EXISTS (SELECT 1 FROM r b WHERE b.row=r.row+1 AND b.col=r.col+1)", views=False)
@@ -712,3 +769,212 @@ def skeleton_chains(s, d):
     return skeleton.skeleton(skeleton.layer_centres(p), 3.0)
 
 
+CENTRE = "c AS (SELECT id, X, Y, Z, R, R*400 AS arc, (id*37)%100 AS inl, (id*13)%40 AS ins FROM circle)"
+
+
+@query(f"WITH {CENTRE} SELECT id, R>=0.02 AND R<=2 AND CASE WHEN R<0.05 THEN arc>180 AND inl>30 WHEN ins>20 THEN false WHEN R<0.1 THEN arc>130 AND inl>60 ELSE arc>140 AND inl>40 END AS valid, R>=0.03 AND arc>180 AND inl>30 AS standard, arc>300 AND inl>70 AND (R-0.3)/0.3>=-0.1 AS accurate, round(arc/360*inl/100,6) AS score FROM c")
+def fit_rules(s, d):
+    """P22, P23."""
+    i = F.col("id")
+    c = tables.circles_of_suppliers(s, d).withColumns({"arc": F.col("R") * 400, "inl": i * 37 % 100, "ins": i * 13 % 40})
+    ok = F.lit(True)
+    return c.select("id", G.circle_valid(F.col("R"), F.col("arc"), F.col("inl"), F.col("ins")).alias("valid"), G.fit_accepted(ok, F.col("R"), F.col("arc"), F.col("inl")).alias("standard"), G.fit_accepted(ok, F.col("R"), F.col("arc"), F.col("inl"), "accurate", F.lit(0.3)).alias("accurate"), G.fit_score(F.col("arc"), F.col("inl")).alias("score"))
+
+
+@query("SELECT CAST(h AS BIGINT) AS h, round(CASE WHEN h<25 THEN -20*ln(1-pow(h/36.03,1/1.1)) ELSE 4*h-75 END,6) AS legacy, round(36.03*pow(1-exp(-0.05*h),1.1),6) AS griese, round(exp((ln(h)-1.029)/0.567)/100,6) AS costa, round(exp(1.029)*pow(h*100,0.567),6) AS costa_h, round(pow(h/5.135,1/0.451)/100,6) AS chenge, round(5.135*pow(h*100,0.451),6) AS chenge_h FROM (SELECT unnest(range(1,41))::DOUBLE AS h)", views=False)
+def allometries(s, d):
+    """The other models, both ways."""
+    h = F.col("id").cast("double")
+    return s.range(1, 41).select(F.col("id").alias("h"), G.legacy_dbh_of_height(h).alias("legacy"), G.height_of_dbh(h).alias("griese"), G.dbh_of_height(h, "CostaCysneiros2020").alias("costa"), G.height_of_dbh(h, "CostaCysneiros2020").alias("costa_h"), G.dbh_of_height(h, "Chenge2020").alias("chenge"), G.height_of_dbh(h, "Chenge2020").alias("chenge_h"))
+
+
+@query("WITH r AS (SELECT e.point_id, g.Z, row_number() OVER (PARTITION BY e.point_id ORDER BY (e.X-g.X)**2+(e.Y-g.Y)**2, g.point_id) AS rn FROM emb e, emb g WHERE e.point_id%3=0 AND g.point_id%3=1) SELECT point_id, round(Z,6) AS ground FROM r WHERE rn=1")
+def nearest_ground(s, d):
+    """J6."""
+    e = emb(s, d)
+    return spatial.nearest_ground(e.where("point_id % 3 = 0"), e.where("point_id % 3 = 1"))
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, point_id) AS rk FROM pair WHERE ta=3 AND tb>0) SELECT point_id FROM emb WHERE treeID IN (SELECT tb FROM n WHERE rk<=2)")
+def tree_context_knn(s, d):
+    """J14."""
+    return spatial.tree_context_knn(emb(s, d), 3, 2)
+
+
+@query("WITH t AS (SELECT point_id, treeID, X, Y, CAST(unnest(range(CAST(floor((X-1)/4) AS BIGINT), CAST(floor((X+1)/4) AS BIGINT)+1)) AS BIGINT) AS tx FROM evt), u AS (SELECT *, CAST(unnest(range(CAST(floor((Y-1)/4) AS BIGINT), CAST(floor((Y+1)/4) AS BIGINT)+1)) AS BIGINT) AS ty FROM t) SELECT point_id, tx, ty, floor(X/4)=tx AND floor(Y/4)=ty AS core FROM u")
+def tiles(s, d):
+    """S2."""
+    return spatial.tiles(evt(s, d), 4, 1).select("point_id", "tx", "ty", "core")
+
+
+@query("WITH t AS (SELECT point_id, treeID, X, Y, CAST(unnest(range(CAST(floor((X-1)/4) AS BIGINT), CAST(floor((X+1)/4) AS BIGINT)+1)) AS BIGINT) AS tx FROM evt), u AS (SELECT *, CAST(unnest(range(CAST(floor((Y-1)/4) AS BIGINT), CAST(floor((Y+1)/4) AS BIGINT)+1)) AS BIGINT) AS ty FROM t), h AS (SELECT treeID, tx, ty FROM u WHERE treeID>0 GROUP BY ALL HAVING floor(avg(X)/4)=tx AND floor(avg(Y)/4)=ty) SELECT point_id, tx, ty FROM u JOIN h USING (treeID, tx, ty)")
+def trees_of_tile(s, d):
+    """The points are their own seeds."""
+    t = spatial.tiles(evt(s, d), 4, 1)
+    return spatial.trees_of_tile(t, t, 4).select("point_id", "tx", "ty")
+
+
+@query("WITH n AS (SELECT a.point_id AS s, b.point_id AS c, (a.X-b.X)**2+(a.Y-b.Y)**2+(a.Z-b.Z)**2 AS d2 FROM emb a, emb b WHERE a.point_id%50=0), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d2, c) AS rn FROM n) SELECT s*4+2 AS src, c*4 AS dst, round(sqrt(d2)**3,6) AS cost FROM r WHERE rn<=5")
+def seed_edges(s, d):
+    """J9."""
+    return routes.seed_edges(emb(s, d).where("point_id % 50 = 0"), emb(s, d), PathFinder(k_seed_connectivity=5))
+
+
+@query("WITH n AS (SELECT t.point_id AS t, c.point_id AS c, row_number() OVER (PARTITION BY t.point_id ORDER BY (t.X-c.X)**2+(t.Y-c.Y)**2+(t.Z-c.Z)**2, c.point_id) AS rn FROM emb t, emb c WHERE t.point_id%9=0 AND c.point_id%9<>0) SELECT c*4 AS src, t*4+1 AS dst, 0.0 AS cost FROM n WHERE rn=1")
+def target_edges(s, d):
+    """J8."""
+    return routes.target_edges(emb(s, d).where("point_id % 9 <> 0"), emb(s, d).where("point_id % 9 = 0"))
+
+
+def _gapped(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, PathFinder]:
+    """Core points, seeds and parameters of a graph with clusters out of reach."""
+    p = PathFinder(k_neighborhood_connectivity=3, k_seed_connectivity=2, max_gap=0.8, penalty=(1.0,) * 181)
+    return emb(s, d), emb(s, d).where("point_id % 100 = 7"), p
+
+
+GAPPED = f"""{PAIRS}, pt AS (SELECT * FROM emb WHERE point_id%100=7),
+ce AS (SELECT qid AS a, point_id AS b, sqrt(d2)**3 AS cost FROM near WHERE rank<=4 AND qid<>point_id AND sqrt(d2)<=0.8),
+se AS (SELECT a, b, sqrt(d2)**3 AS cost FROM (SELECT t.point_id AS a, c.point_id AS b, (t.X-c.X)**2+(t.Y-c.Y)**2+(t.Z-c.Z)**2 AS d2, row_number() OVER (PARTITION BY t.point_id ORDER BY (t.X-c.X)**2+(t.Y-c.Y)**2+(t.Z-c.Z)**2, c.point_id) AS rn FROM pt t, emb c) WHERE rn<=2),
+held(n) AS (SELECT b FROM se UNION SELECT ce.b FROM held JOIN ce ON ce.a=held.n),
+lost AS (SELECT point_id FROM emb WHERE point_id NOT IN (SELECT n FROM held))"""
+
+
+@query(f"WITH {GAPPED} SELECT point_id FROM lost")
+def unreached(s, d):
+    """G2, G3, V3f."""
+    core, seeds, p = _gapped(s, d)
+    return routes.unreached(routes.layered(core, seeds, p), core).select("point_id")
+
+
+@query(f"WITH {GAPPED}, more AS (SELECT qid AS a, point_id AS b, sqrt(d2)**3 AS cost FROM near WHERE rank<=13 AND qid<>point_id AND sqrt(d2)<=0.8 AND qid IN (SELECT point_id FROM lost)), e AS (SELECT a*4 AS src, b*4 AS dst, cost FROM ce WHERE a NOT IN (SELECT point_id FROM lost) UNION ALL SELECT a*4, b*4, cost FROM more UNION ALL SELECT b*4, a*4, cost FROM more UNION ALL SELECT a*4+2, b*4, cost FROM se UNION ALL SELECT -1, point_id*4+2, 0 FROM pt) SELECT src, dst, round(min(cost),6) AS cost FROM e GROUP BY ALL")
+def repair_nodes(s, d):
+    """G4, J10."""
+    core, seeds, p = _gapped(s, d)
+    return routes.repair_nodes(routes.layered(core, seeds, p), core, p)
+
+
+@query(f"WITH {GAPPED}, lk AS (SELECT a, b FROM ce WHERE a IN (FROM lost) AND b IN (FROM lost)), bi AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk UNION SELECT point_id, point_id FROM lost), rc(s, t) AS (SELECT a, b FROM bi UNION SELECT rc.s, bi.b FROM rc JOIN bi ON bi.a=rc.t), cl AS (SELECT s AS point_id, min(t) AS cluster FROM rc GROUP BY s), nn AS (SELECT p.qid, p.point_id, p.d2, cl.cluster, row_number() OVER (PARTITION BY cl.cluster ORDER BY round(p.d2,12), p.qid, p.point_id) AS rn FROM pair p JOIN cl ON cl.point_id=p.qid WHERE p.point_id NOT IN (FROM lost)) SELECT qid AS src, point_id AS dst, round(sqrt(d2)**3,6) AS cost FROM nn WHERE rn=1 AND NOT EXISTS (SELECT 1 FROM ce WHERE ce.a=nn.qid AND ce.b=nn.point_id)")
+def cluster_bridges(s, d):
+    """Of both ways the one towards what is in reach, where there was none."""
+    core, seeds, p = _gapped(s, d)
+    before = routes.layered(core, seeds, p)
+    after = routes.repair_clusters(before, core, p)
+    lost = routes.unreached(before, core).select((F.col("point_id") * 4).alias("src"))
+    new = after.join(before.select("src", "dst"), ["src", "dst"], "left_anti").join(lost, "src", "left_semi")
+    return new.select(F.expr("src div 4").alias("src"), F.expr("dst div 4").alias("dst"), "cost")
+
+
+@query()
+def find_paths(s, d):
+    """Nodes of the ways from every fiftieth node back to node 0."""
+    best = graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")))
+    return graph.find_paths(best, emb(s, d).where("point_id % 50 = 3").select(F.col("point_id").alias("node")))
+
+
+@query("SELECT point_id FROM evt WHERE hag<1 AND passage>0")
+def filter_seeds(s, d):
+    """F14."""
+    return points.filter_seeds(evt(s, d)).select("point_id")
+
+
+@query("SELECT treeID, arg_min(CAST(point_id%256 AS INTEGER), point_id) AS R, arg_min(CAST(point_id%255 AS INTEGER), point_id) AS G, arg_min(CAST(point_id%254 AS INTEGER), point_id) AS B FROM evt GROUP BY 1")
+def first_colours(s, d):
+    """A27."""
+    p = evt(s, d)
+    return points.first_colours(p.withColumns({c: (F.col("point_id") % m).cast("int") for c, m in (("R", 256), ("G", 255), ("B", 254))}))
+
+
+@query(f"WITH {PAIRS} SELECT DISTINCT point_id FROM near WHERE qid%20>3 AND rank<=10 AND d2 < 0.09 UNION SELECT point_id FROM emb WHERE point_id%20>3")
+def wood_from_passage(s, d):
+    """V3a, J12."""
+    from boscage.params import Semantic
+
+    p = emb(s, d).withColumn("passage", (F.col("point_id") % 20).cast("int"))
+    return verbs.assign_wood_from_passage(p, Semantic(wood_assignation_k=10, wood_assignation_dist=0.3))
+
+
+@query(f"""WITH cand AS (SELECT * FROM emb WHERE foliage=0 OR (point_id%100)/100.0>0.9), base AS (SELECT floor(min(X)/0.3)*0.3 AS x0, floor(min(Y)/0.3)*0.3 AS y0, floor(min(Z)/0.3)*0.3 AS z0 FROM cand),
+v AS (SELECT point_id, CAST(floor((X-x0)/0.3) AS BIGINT) AS a, CAST(floor((Y-y0)/0.3) AS BIGINT) AS b, CAST(floor((Z-z0)/0.3) AS BIGINT) AS c FROM cand, base), cell AS (SELECT a,b,c,row_number() OVER (ORDER BY a,b,c) AS node FROM (SELECT DISTINCT a,b,c FROM v)),
+link AS (SELECT p.node AS s, q.node AS t FROM cell p JOIN cell q ON abs(p.a-q.a)<=1 AND abs(p.b-q.b)<=1 AND abs(p.c-q.c)<=1), reach(s,t) AS (SELECT s,t FROM link UNION SELECT r.s, l.t FROM reach r JOIN link l ON r.t=l.s), comp AS (SELECT s AS node, min(t) AS m FROM reach GROUP BY s)
+SELECT point_id FROM (SELECT point_id, count(*) OVER (PARTITION BY m) AS n FROM v JOIN cell USING (a,b,c) JOIN comp USING (node)) WHERE n>=5""")
+def wood_from_likelihood(s, d):
+    """V3b."""
+    from boscage.params import Semantic
+
+    p = emb(s, d).withColumn("pwood", F.col("point_id") % 100 / 100)
+    return verbs.assign_wood_from_high_likelihood(p, F.col("foliage") == 0, Semantic(cc_res=0.3, cc_min=5))
+
+
+@query("WITH c AS (SELECT id, id%7 AS grp, X, Y, CAST(id AS DOUBLE)/10 AS Z, R/10 AS R FROM circle), u AS (SELECT *, lead(X) OVER w AS x2, lead(Y) OVER w AS y2, lead(Z) OVER w AS z2, lead(R) OVER w AS r2 FROM c WINDOW w AS (PARTITION BY grp ORDER BY Z, id)), k AS (SELECT grp, X, Y, Z, R, x2, y2, z2, r2, unnest(range(8))*2*pi()/8 AS a FROM u WHERE z2 IS NOT NULL), e AS (SELECT grp, X+R*cos(a) AS ax, Y+R*sin(a) AS ay, Z AS az, x2+r2*cos(a) AS bx, y2+r2*sin(a) AS by_, z2 AS bz FROM k), m AS (SELECT *, CAST(floor(sqrt((bx-ax)**2+(by_-ay)**2+(bz-az)**2)/0.375) AS INTEGER) AS m FROM e), l AS (SELECT *, unnest(range(1, m)) AS t FROM m WHERE m>1), al AS (SELECT grp, az+t/m*(bz-az) AS z FROM l UNION ALL SELECT grp, Z FROM (SELECT grp, Z, unnest(range(CAST(ceil(2*pi()*R/0.375) AS BIGINT))) FROM c)) SELECT grp, count(*) AS n, round(sum(z),6) AS z FROM al GROUP BY 1")
+def cage_spokes(s, d):
+    """Points of circles and spokes by group."""
+    c = tables.circles_of_suppliers(s, d).withColumns({"grp": F.col("id") % 7, "Z": F.col("id") / 10, "R": F.col("R") / 10})
+    return verbs.cage(c, 0.5).groupBy("grp").agg(F.count("*").alias("n"), F.sum("Z").alias("z"))
+
+
+@query("SELECT tree_id, cyl_ID, round(startX+1,6) AS startX, round(endY-2,6) AS endY, round(startZ+0.5,6) AS startZ FROM heap")
+def shift(s, d):
+    """P3."""
+    return trees.shift(heap(s, d), 1, -2, 0.5).select("tree_id", "cyl_ID", "startX", "endY", "startZ")
+
+
+@query("SELECT point_id, cyl_ID, round(greatest(0, sqrt((X-startX-u*(endX-startX))**2+(Y-startY-u*(endY-startY))**2+(Z-startZ-u*(endZ-startZ))**2)-radius),6) AS dist FROM (SELECT e.point_id, e.X, e.Y, e.Z, h.*, greatest(0,least(1,((e.X-startX)*(endX-startX)+(e.Y-startY)*(endY-startY)+(e.Z-startZ)*(endZ-startZ))/(len*len))) AS u FROM evt e JOIN heap h ON h.tree_id=e.treeID WHERE len>1e-9)")
+def segment_distance(s, d):
+    """P8."""
+    j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
+    return j.select("point_id", "cyl_ID", G.segment_distance(F.col("X"), F.col("Y"), F.col("Z")).alias("dist"))
+
+
+@query("SELECT i.o_custkey AS k, count(*) AS n, round(sum(e.X),6) AS x FROM orders i JOIN evt e ON e.point_id=i.o_custkey AND e.treeID=7 GROUP BY 1")
+def gather_points(s, d):
+    """the rows of one tree, repeated as often as they are asked for."""
+    ids = tables.read(s, d, "orders").select(F.col("o_custkey").alias("point_id"))
+    return points.gather(points.of_tree(evt(s, d), 7), ids).groupBy(F.col("point_id").alias("k")).agg(F.count("*").alias("n"), F.sum("X").alias("x"))
+
+
+@query("SELECT point_id FROM evt WHERE CAST(point_id%5 AS INTEGER)-1 >= 0")
+def connected_points(s, d):
+    """F20."""
+    return points.connected(evt(s, d).withColumn("dist2root", F.col("point_id") % 5 - 1)).select("point_id")
+
+
+@query()
+def clean_butt(s, d):
+    """C7."""
+    return points.clean_butt(emb(s, d), 1.0, 0.8).select("point_id")
+
+
+@query()
+def small_isolated_clusters(s, d):
+    """C6."""
+    return points.fix_small_isolated_low_clusters(emb(s, d).withColumn("hag", F.col("Z")), 0.8).select("point_id", "foliage")
+
+
+@query()
+def tree_colours(s, d):
+    """V9, P14."""
+    return points.colour_trees(evt(s, d)).select("point_id", "R", "G", "B")
+
+
+@query()
+def segment_ground(s, d):
+    """V1."""
+    return ground.segment_ground(evt(s, d).drop("hag")).select("point_id", "Classification", "hag")
+
+
+@query()
+def terrain(s, d):
+    """V2."""
+    return ground.dtm(evt(s, d).withColumn("Classification", F.when(F.col("hag") < 1, 2).otherwise(1)), 0.5)
+
+
+@query()
+def dist2root(s, d):
+    """G10."""
+    return routes.dist2root(emb(s, d), emb(s, d).where("point_id % 100 = 7"), 8, 1.5, 2.0).select("point_id", "dist2root")
+
+
+@query()
+def models(s, d):
+    """A model of each tree of the events' points; most have too few points for more than allometry."""
+    return qsm.qsf(evt(s, d), 10)

@@ -9,14 +9,14 @@ from boscage.operators.trees import ring_faces, ring_points
 from boscage.schema import check_cylinders
 
 #: The CSV's columns in order.
-CSV_COLUMNS = ("startX", "startY", "startZ", "endX", "endY", "endZ", "cyl_ID", "parent_ID", "axis_ID", "branch_order", "radius", "dist_to_root", "subtree_length", "quality")
+CSV_COLUMNS = ("startX", "startY", "startZ", "endX", "endY", "endZ", "cyl_ID", "parent_ID", "axis_ID", "branch_order", "dist_to_root", "subtree_length", "radius", "quality")
 
 
 def csv_rows(cylinders: DataFrame) -> DataFrame:
-    """K2: the present CSV columns, numbers with three decimals."""
-    have = [c for c in CSV_COLUMNS if c in cylinders.columns]
+    """K2: the CSV columns in order, numbers with three decimals, behind the tree_id that names the file; absent ones are null."""
     kinds = dict(cylinders.dtypes)
-    return cylinders.select("tree_id", *[F.format_string("%.3f", F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in have])
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    return cylinders.select("tree_id", *[none(c) if c not in kinds else F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))).alias(c) if kinds[c] == "double" else F.col(c) for c in CSV_COLUMNS])
 
 
 def obj_lines(cylinders: DataFrame, sides: int = 12) -> DataFrame:
