@@ -1,7 +1,8 @@
 """MinHash near-duplicates (operator 3): DartMinHash signatures, banded joining, exact Jaccard check.
 
 A document's elements are its distinct shingles of five words (white-space separated, A-Z lowered; fewer words make one
-shingle).  Documents with the same set of shingles form one class at once, and one representative goes on.
+shingle), each of weight one, or of the number of times it stands there if `weighted`; similarity is that of the sets, or of
+the weighted sets.  Documents with equal elements and weights form one class at once, and one representative goes on.
 
 Darts: every element owns a region of weight (0, w] by rank; hashed unit-rate Poisson darts fall on it in order of rank.
 Weight beyond 1 falls in columns [2^(j-1), 2^j) with darts at that rate, kept where their weight is below the element's.
@@ -13,7 +14,8 @@ Joining: bands of coordinates are hashed to buckets.  For a few rounds every buc
 its members of other components are checked against it exactly, on the shingle sets; so a large group of copies costs
 pairs in proportion to its size.  At last whatever stands outside the largest component of a bucket is checked against
 everything of other components in the bucket, so no link between components is lost to the choice of leaders; for wide
-buckets that is done in blocks, as _families() tells.
+buckets that is done in blocks, as _crowds() tells.  Buckets of more than SPLIT members are dealt in parts wherever rows
+meet by bucket, so no task grows with one.  Two documents at a similarity of 0.8 share no bucket once in 20,000 times.
 
 Edge cases: texts without words (null, empty, white space) are like nothing, each on its own; repeated rows are copies of
 each other, and exactly one row of a group is kept, the smallest by (doc_id, row); null ids count as largest; texts of
@@ -36,6 +38,8 @@ BANDS, ROWS = 25, 5
 TURNS = 3
 #: Members of a bucket beyond which the last comparison is made in blocks, and members of a block.
 WIDE, BLOCK = 64, 256
+#: Members of a bucket that one part of it holds, and parts in which buckets are dealt while it isn't known which are large.
+SPLIT, SPREAD = 500, 64
 SIMILARITY = 0.8
 ROW = "boscage_row"
 #: Row numbers that may be broadcast, 16 MB of them, and pairs of them; more are joined by a shuffle.
@@ -112,35 +116,55 @@ def dart_minhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n: in
     return dart.reshape(n, k)
 
 
-def _sketch(batches):
+def copies(h: np.ndarray, row: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) with an element for each time a shingle stands in its row: sets of these are as alike as the weighted sets."""
+    n = ragged(count)
+    h = np.repeat(h, count)
+    return np.where(n > 0, mix(h + n.astype(U) * U(0x9E3779B97F4A7C15)), h), np.repeat(row, count)
+
+
+def _sketch(weighted: bool):
     """Rows of (doc_id, row id parts, set hash, bands) of texts with words; bands are null for those without."""
-    for batch in text_slices(batches):
-        h, row, _ = shingles(*utf8(batch.column(2)))
-        n = batch.num_rows
-        sig = dart_minhash(h, row, np.ones(len(h)), n, BANDS * ROWS)
-        bands = np.zeros((n, BANDS), U)
-        for b in range(BANDS):
-            x = np.full(n, b + 1, U)
-            for r in range(ROWS):
-                x = mix(x * U(0x100000001B3) + sig[:, b * ROWS + r])
-            bands[:, b] = x
-        size = np.bincount(row, minlength=n)
-        one, two = (np.zeros(n, U) for _ in range(2))
-        np.add.at(one, row, mix(h + U(17)))
-        np.add.at(two, row, mix(h ^ U(0xABCDEF0123456789)))
-        none = size == 0
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands[~none].ravel().view(np.int64)))],
-            ["rid", "doc_id", "h1", "h2", "size", "bands"],
-        )
-
-
-def _sets(batches):
-    for batch in text_slices(batches):
-        h, row, _ = shingles(*utf8(batch.column(1)))
-        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["node", "shingles"])
+
+    def run(batches):
+        for batch in text_slices(batches):
+            h, row, count = shingles(*utf8(batch.column(2)))
+            n = batch.num_rows
+            sig = dart_minhash(h, row, count.astype(np.float64) if weighted else np.ones(len(h)), n, BANDS * ROWS)
+            bands = np.zeros((n, BANDS), U)
+            for b in range(BANDS):
+                x = np.full(n, b + 1, U)
+                for r in range(ROWS):
+                    x = mix(x * U(0x100000001B3) + sig[:, b * ROWS + r])
+                bands[:, b] = x
+            if weighted:
+                h, row = copies(h, row, count)
+            size = np.bincount(row, minlength=n)
+            one, two = (np.zeros(n, U) for _ in range(2))
+            np.add.at(one, row, mix(h + U(17)))
+            np.add.at(two, row, mix(h ^ U(0xABCDEF0123456789)))
+            none = size == 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(bands[~none].ravel().view(np.int64)))],
+                ["rid", "doc_id", "h1", "h2", "size", "bands"],
+            )
+
+    return run
+
+
+def _sets(weighted: bool):
+    def run(batches):
+        for batch in text_slices(batches):
+            h, row, count = shingles(*utf8(batch.column(1)))
+            if weighted:
+                h, row = copies(h, row, count)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["node", "shingles"])
+
+    return run
 
 
 def _jaccard(batches):
@@ -172,21 +196,19 @@ def _checked(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     return checked
 
 
-def _families(wide: DataFrame, sets: DataFrame, similarity: float, work: str) -> DataFrame:
+def _crowds(wide: DataFrame, sets: DataFrame, similarity: float, work: str) -> DataFrame:
     """Links (a, b) of members of wide buckets, compared in blocks: tasks tell components, never pairs.
 
-    A family is what wide buckets hold together.  Its members outside its largest component meet all of its members,
-    BLOCK by BLOCK, so that no row is made for a pair and sets travel once a block.
+    What stands outside a bucket's largest component meets all of the bucket, BLOCK by BLOCK, so that no row is made for a
+    pair and sets travel once a block.
     """
-    leaders = wide.groupBy("bucket").agg(F.min("node").alias("b"))
-    families = components(wide.join(leaders, "bucket").select(F.col("node").alias("a"), "b"), f"{work}/families").withColumnRenamed("component", "family")
-    nodes = written(wide.select("node", "component").distinct().join(families, "node"), f"{work}/wide")
-    most = nodes.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k")).select("family", F.col("most.component").alias("most"), F.ceil(F.col("k") / BLOCK).alias("nb"), F.ceil((F.col("k") - F.col("most.k")) / BLOCK).alias("ob")).where("ob > 0")
-    full = nodes.join(most, "family").join(sets, "node")
+    most = wide.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.max("parts").alias("parts")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k"), F.max("parts").alias("parts"))
+    most = most.select("bucket", F.col("most.component").alias("most"), F.ceil(F.col("k") / BLOCK).alias("nb"), F.ceil((F.col("k") - F.col("most.k")) / BLOCK).alias("ob"), "parts").where("ob > 0")
+    full = wide.drop("parts").join(_in_parts(most), ["bucket", "part"]).join(sets, "node")
     salt = F.xxhash64("node", F.lit(2))
     every = full.withColumn("j", F.pmod(salt, F.col("nb"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1))).withColumn("asks", F.lit(False))
     asked = full.where("component <> most").withColumn("i", F.pmod(salt, F.col("ob"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("asks", F.lit(True))
-    columns = ["family", "i", "j", "asks", "node", "shingles"]
+    columns = ["bucket", "i", "j", "asks", "node", "shingles"]
 
     def compare(key, table):
         asks = np.asarray(table["asks"])
@@ -215,16 +237,34 @@ def _families(wide: DataFrame, sets: DataFrame, similarity: float, work: str) ->
         al, bl = local_components(links, an, bn)
         return pa.table({"a": pa.array(np.concatenate([an, bn])), "b": pa.array(np.concatenate([al, bl]))})
 
-    return written(every.select(*columns).unionByName(asked.select(*columns)).groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b"), f"{work}/families_linked")
+    return written(every.select(*columns).unionByName(asked.select(*columns)).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b").distinct(), f"{work}/crowds_linked")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Rows of buckets, of `parts` parts each, once for each part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _dealt(bucket: DataFrame, work: str) -> DataFrame:
+    """(node, size, bucket, part, parts) of members of buckets that hold several; large buckets are dealt in parts."""
+    counts = written(bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), f"{work}/counts")
+    large = counts.where("parts > 1")
+    if large.count() <= BROADCAST:
+        known = bucket.join(F.broadcast(large), "bucket", "left")
+    else:  # too many large buckets to tell every task: they meet their members in SPREAD parts
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        known = bucket.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SPREAD)).cast("int")).join(spread, ["bucket", "salt"], "left").drop("salt")
+    known = known.withColumn("part", F.pmod(F.xxhash64("node", F.lit(4)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return known.join(_in_parts(counts.withColumn("all", F.col("parts"))), ["bucket", "part"]).withColumnRenamed("all", "parts").select("node", "size", "bucket", "part", "parts")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """rid, doc_id, class_id, component_id, kept for every row of (doc_id, text).
 
-    class_id: the smallest doc_id with the same shingles; component_id: the smallest doc_id reachable by links of
+    class_id: the smallest doc_id with the same shingles (and weights, if they count); component_id: the smallest doc_id reachable by links of
     `similarity` or more; kept: exactly one row of each component.  rid numbers the rows of the pass over docs.
     """
-    return _found(*_numbered(docs.select("doc_id", "text")), similarity)
+    return _found(*_numbered(docs.select("doc_id", "text")), similarity, weighted)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -242,34 +282,33 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{work}/numbered"), work
 
 
-def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
+def _found(numbered: DataFrame, work: str, similarity: float, weighted: bool = False) -> DataFrame:
     spark = numbered.sparkSession
     rows = numbered.select(F.col(ROW).alias("rid"), "doc_id", "text")
-    sketch = written(rows.mapInArrow(_sketch, "rid long, doc_id long, h1 long, h2 long, size long, bands array<long>"), f"{work}/sketch")
+    sketch = written(rows.mapInArrow(_sketch(weighted), "rid long, doc_id long, h1 long, h2 long, size long, bands array<long>"), f"{work}/sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("m")
     # classes of equal sets: one row each, numbered by its first row's rid
     classes = written(sketch.where("size > 0").groupBy("h1", "h2").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands")).select("h1", "h2", F.col("m.rid").alias("node"), "m", "size", "bands"), f"{work}/classes")
     bucket = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    many = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(bucket.join(many, "bucket"), f"{work}/members")
+    members = written(_dealt(bucket, work), f"{work}/members")
     forget_shuffles(spark)
     needed = written(members.select("node").distinct(), f"{work}/needed")
     if needed.count() <= BROADCAST:  # then the texts stay where they are
         needed = F.broadcast(needed)
-    sets = written(rows.select(F.col("rid").alias("node"), "text").join(needed, "node").mapInArrow(_sets, "node long, shingles binary"), f"{work}/sets")
+    sets = written(rows.select(F.col("rid").alias("node"), "text").join(needed, "node").mapInArrow(_sets(weighted), "node long, shingles binary"), f"{work}/sets")
     linked = seen = None
     for turn in range(TURNS + 1):
         now = members.withColumn("component", F.col("node")) if linked is None else members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < TURNS:  # another leader for each bucket that still holds several components
             lead = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)), F.col("node").alias("leader"), F.col("component").alias("of"), F.col("size").alias("n"))).alias("lead")
-            heads = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead).where("low <> high").select("bucket", "lead.leader", "lead.of", "lead.n")
-            near = now.join(heads, "bucket").where("component <> of")
+            heads = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), lead, F.max("parts").alias("parts")).where("low <> high").select("bucket", "lead.leader", "lead.of", "lead.n", "parts")
+            near = now.drop("parts").join(_in_parts(heads), ["bucket", "part"]).where("component <> of")
         else:  # what is left outside a bucket's largest component meets everything of other components in the bucket
             now = written(now, f"{work}/parted")
-            most = now.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k")).where("parts > 1").select("bucket", F.col("most.component").alias("most"), "k")
-            rest = now.join(most.where(F.col("k") <= WIDE), "bucket").where("component <> most").select("bucket", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("size").alias("n"))
+            most = now.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.max("parts").alias("parts")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("of"), F.sum("k").alias("k"), F.max("parts").alias("parts")).where("of > 1").select("bucket", F.col("most.component").alias("most"), "k", "parts")
+            rest = now.drop("parts").join(_in_parts(most.where(F.col("k") <= WIDE)), ["bucket", "part"]).where("component <> most").select("bucket", F.col("node").alias("leader"), F.col("component").alias("of"), F.col("size").alias("n"))
             near = now.join(rest, "bucket").where("component <> of")
-            wide = now.join(most.where(F.col("k") > WIDE).select("bucket"), "bucket").select("bucket", "node", "component")
+            wide = now.join(_in_parts(most.where(F.col("k") > WIDE).select("bucket", "parts")), ["bucket", "part"]).select("bucket", "node", "component", "part", "parts")
         near = near.where(F.least("size", "n") >= similarity * F.greatest("size", "n")).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
         if seen is not None:
             near = near.join(seen, ["a", "b"], "left_anti")
@@ -279,10 +318,10 @@ def _found(numbered: DataFrame, work: str, similarity: float) -> DataFrame:
         seen = checked.select("a", "b", "j") if seen is None else seen.unionByName(checked)
         links = seen.where(F.col("j") >= similarity).select("a", "b")
         if turn == TURNS:
-            links = links.unionByName(_families(wide, sets, similarity, work))
+            links = links.unionByName(_crowds(wide, sets, similarity, work))
         if fresh or linked is None or turn == TURNS:
             linked = components(links, f"{work}/linked{turn}")
-    for name in ("members", "needed", "sets", "parted", "wide", "families_linked", *(f"checked{turn}" for turn in range(TURNS + 1))):
+    for name in ("members", "counts", "needed", "sets", "parted", "crowds_linked", *(f"checked{turn}" for turn in range(TURNS + 1))):
         drop(spark, f"{work}/{name}")
     forget_shuffles(spark)
     nodes = classes.select("h1", "h2", "m", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -169,7 +169,12 @@ def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
     assert twice.count() == 14 and twice.columns == read.columns
 
 
-def test_wide_buckets_are_compared_whole(spark, monkeypatch):
+@pytest.mark.parametrize("far", [False, True])
+def test_wide_buckets_are_compared_whole(spark, monkeypatch, far):
+    """Wide buckets in blocks and large ones in parts; `far`: everything that is broadcast while it is small is shuffled."""
+    for name in ("BROADCAST", "BROADCAST_PAIRS", "FILES") if far else ():
+        monkeypatch.setattr(minhash, name, 1)
+    monkeypatch.setattr(minhash, "SPLIT", 7)
     monkeypatch.setattr(minhash, "WIDE", 2)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "TURNS", 1)
@@ -185,6 +190,26 @@ def test_wide_buckets_are_compared_whole(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(_groups([t for _, t in rows])))
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_weights_are_counts(spark, weighted):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(0, base), (1, f"{base} {base} {base} {base}"), (2, f"{base} {base} {base} {base} {base}"), (3, base + " x")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighted=weighted).collect()}
+
+    def alike(a, b):
+        x, y = (Counter(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in (a, b))
+        if not weighted:
+            x, y = Counter(set(x)), Counter(set(y))
+        return sum((x & y).values()) / sum((x | y).values())
+
+    link = [[alike(a, b) >= 0.8 for _, b in rows] for _, a in rows]
+    want = list(range(4))
+    for _ in range(4):
+        want = [min(want[j] for j in range(4) if link[i][j]) for i in range(4)]
+    assert got == dict(enumerate(want))
+    assert weighted == (want[1] != 0)
+
+
 def test_darts_estimate_weighted_similarity():
     w, v = np.array([3.5, 1.0, 0.25, 2.0]), np.array([1.5, 2.0, 0.5, 2.0])
     e = np.array([5, 6, 7, 8], "u8")
