@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -17,17 +18,22 @@ SLICE_BYTES = 500_000
 BATCH_ROWS = 2_000
 
 
+_writing, _writers, _before = threading.Lock(), [], []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the input folder, pruned to the columns in use (extra columns never reach an operator)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """A fresh folder below spark.checkpoint.dir; only where that is unset, and in local mode (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boscage-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get()
@@ -35,14 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in files that outlive executors."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends in files that outlive executors.
+
+    Rows are handed to Python workers BATCH_ROWS at a time, which bounds the memory of both sides.  That is a setting of the
+    session, so it is set while any such write goes on and put back after the last one: queries of one session at the same
+    time share it, and it changes no result.
+    """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))  # bounds the memory of both sides
+    with _writing:
+        if not _writers:
+            _before[:] = [spark.conf.get(name)]
+            spark.conf.set(name, str(min(BATCH_ROWS, int(_before[0])) if int(_before[0]) > 0 else BATCH_ROWS))
+        _writers.append(path)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(name, before)
+        with _writing:
+            _writers.remove(path)
+            if not _writers:
+                spark.conf.set(name, _before[0])
     return spark.read.schema(df.schema).parquet(path)
 
 

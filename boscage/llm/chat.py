@@ -30,7 +30,11 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """conv_id, formatted, segments: formatted is the segments' texts end to end; the loss mask holds where loss is true."""
+    """conv_id, formatted, segments, mask: formatted is the segments' texts end to end; the loss mask holds where loss is true.
+
+    mask says the same of what the control strings part formatted into: of each such piece, whether it is learnt, and how
+    many of its characters come before (the role of a turn's first text).
+    """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     turn = F.sort_array(F.collect_list("t"))
     grouped = rows.groupBy("conv_id").agg(turn.alias("t"))
@@ -51,8 +55,15 @@ def format_chats(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
         return F.concat(F.array(segment(head, off)), texts, F.array(segment(F.lit(END), off)))
 
     runs = grouped.select("conv_id", F.transform("first", run).alias("runs"))
-    cut = runs.select("conv_id", F.flatten(F.transform("runs", marked)).alias("segments"))
-    return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    piece = lambda loss, skip: F.struct(loss.alias("loss"), skip.cast("int").alias("skip"))
+    none = F.array(piece(F.lit(False), F.lit(0)))
+
+    def masked(r: Column) -> Column:
+        role = F.char_length(F.replace(escape(r["role"]), F.lit("\n"), F.lit(BREAK))) + 1
+        return F.concat(F.transform(r["parts"], lambda _, i: piece(r["role"] == learn_from, F.when(i == 0, role).otherwise(0))), none)
+
+    cut = runs.select("conv_id", F.flatten(F.transform("runs", marked)).alias("segments"), F.concat(none, F.flatten(F.transform("runs", masked))).alias("mask"))
+    return cut.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "mask")
 
 
 def read_back(formatted: Column) -> Column:
@@ -68,9 +79,16 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def learnt(formatted: Column, mask: Column) -> Column:
+    """The text under the loss mask, read from the formatted string; a mask that doesn't fit its pieces gives null."""
+    pieces = F.split(formatted, r"<\|im_(?:start|next|end)\|>")
+    own = F.zip_with(pieces, mask, lambda p, m: F.when(m["loss"], unescape(F.substring(p, m["skip"] + 1, F.char_length(p)))).otherwise(""))
+    return F.when(F.size(pieces) == F.size(mask), F.array_join(own, ""))
+
+
 def digest(chats: DataFrame) -> DataFrame:
     """Counts and digests of the turns and of the text under the loss mask, read back from format_chats()'s output."""
-    back = chats.select("conv_id", read_back(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("learnt"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    back = chats.select("conv_id", read_back(F.col("formatted")).alias("turns"), learnt(F.col("formatted"), F.col("mask")).alias("learnt"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

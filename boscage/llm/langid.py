@@ -2,8 +2,8 @@
 
 A text's words (runs of letters, lowered, with a boundary on each side) give all their 2-, 3- and 4-letter subwords;
 each has a hashed embedding, a text is their mean, and a linear softmax reads it.  Embeddings and softmax are trained
-together by stochastic gradient descent in numpy on a bounded sample (SAMPLE rows a language at most, chosen by a hash
-of the id); a fifth of the sample is kept apart to fit the softmax's temperature and the confidence below which a text
+together by stochastic gradient descent in numpy on a bounded sample (SAMPLE rows a language at most, of texts of LONGEST
+bytes at most, chosen by a hash of the id and the text); a fifth of the sample is kept apart to fit the softmax's temperature and the confidence below which a text
 is rejected.  As the model is linear, scoring adds up one small row of logits a subword over the whole text.
 
 Edge cases: null, empty and letterless texts are `und` with score 0 and rejected; texts of any length are read whole;
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from boscage.llm._bytes import U, mix
 from boscage.llm._common import release, text_slices
 
-#: Rows of a language to learn from, at most (documented bound).
-SAMPLE = 600
+#: Rows of a language to learn from, at most, and bytes of a text that is learnt from, at most (documented bounds).
+SAMPLE, LONGEST = 600, 1 << 17
 BITS = 16
 DIMENSIONS = 16
 _letter = np.full(0x110000, 2, np.uint8)
@@ -160,12 +160,12 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 4.0,
 
 def train(docs: DataFrame, allowed: Column, bound: int = SAMPLE) -> Model:
     """Learn from at most `bound` rows a language among those with text and lang that fulfil `allowed`."""
-    own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(allowed)
+    own = docs.select("doc_id", "text", "lang").where("lang is not null").where(F.octet_length("text") <= LONGEST).where(allowed)
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (bound - 4 * bound**0.5) / n))])
-    rows = own.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).limit(bound * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = own.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).limit(bound * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
     del rows
     release()

@@ -4,7 +4,8 @@ Features are hashed n-grams of a text's tokens (runs of letters, of digits, of o
 triples of the tokens' normal forms (case form, sign run, or "same word again").  A feature weighs its share of the
 text's tokens, so a score is one sparse dot product over the whole text whatever its length.
 
-Training reads at most `bound` labelled rows (SAMPLE), chosen by a hash of the id; scoring reads every text.
+Training reads at most `bound` labelled rows (SAMPLE) of texts of LONGEST bytes at most, chosen by a hash of the id; the
+bounds hold before anything reaches the driver.  Scoring reads every text whole.
 Edge cases: null and empty texts have no features and get the score of the intercept; null or other labels are not
 learnt from; rows with a null id count as remainder 0; with labels of one class or none the score is that share (0.5
 without labels); repeated rows score alike; empty tables give empty results; extra columns are not read.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from boscage.llm._bytes import BYTE, LOWER, U, mix, span_hash
 from boscage.llm._common import release, text_slices, utf8
 
-#: Labelled rows to learn from, at most (documented bound).
-SAMPLE = 8_000
+#: Labelled rows to learn from, at most, and bytes of a text that is learnt from, at most (documented bounds).
+SAMPLE, LONGEST = 8_000, 1 << 17
 BITS = 18
 SCALE = 32.0
 _KIND = np.full(256, 3, np.uint8)
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = SAMP
     # Bernoulli by id: in expectation under the bound by four standard deviations, and the limit makes it hold
     share = {y: min(1.0, (bound / 2 - 4 * (bound / 2) ** 0.5) / n) for y, n in counts.items()}
     picked = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * 1_000_000).limit(bound)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, bound)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").limit(bound).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = fit(rows["text"].combine_chunks(), np.asarray(rows["y"], np.float64))
     y = np.array(rows["y"])
     del rows

@@ -478,6 +478,101 @@ def test_each_licence_is_found_once_in_spark_and_sql(spark):
     assert sorted(con.execute(licenses.ORACLE).fetchall()) == got
 
 
+def test_scores_against_plain_sums(spark, docs, empty):
+    """Operators 6 and 7 word by word: the mean of subwords' logits under a softmax, the sum of n-grams' weights under a sigmoid."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 = 0")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [*AWKWARD, *((r["doc_id"], r["text"]) for r in d.limit(20).collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    q = quality.train(d, labels, F.lit(True))
+    want = Counter()
+    for i, text in rows:
+        raw = (text or "").encode()
+        bucket, _, tokens = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        z = q.bias
+        for b in bucket.tolist():
+            z += float(q.weights[b]) * quality.SCALE / max(1, int(tokens[0]))
+        want[(i, round(1 / (1 + np.exp(-z)), 5))] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in quality.scores(df, q).collect()) == want
+    m = langid.train(d, F.lit(True))
+    want = Counter()
+    for i, text in rows:
+        bucket, _ = langid.subwords([text])
+        if not len(bucket):
+            want[(i, "und", 0.0)] += 1
+            continue
+        z = sum(m.logits[b].astype(float) for b in bucket.tolist()) / len(bucket)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want[(i, m.langs[int(p.argmax())], round(float(p.max()), 4))] += 1
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in langid.predictions(df, m).collect()) == want
+    assert quality.scores(empty, q).count() == 0 and langid.predictions(empty, m).count() == 0
+    twice = df.union(df)
+    assert len({r["score"] for r in quality.scores(twice.where("doc_id = 7"), q).collect()}) == 1
+
+
+COLUMNS = {
+    "op1_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op2_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op3_minhash_dedup": ["doc_id", "class_id", "component_id", "kept"],
+    "op4_bpe_round_trip": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op5_embedding_dedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op6_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op7_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op8_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op9_license_scan": ["doc_id", "license", "first_sentence", "last_sentence"],
+    "op10_nearest": ["query_id", "rank", "vec_id", "score"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_registered_queries(spark, name):
+    """Every query over its whole table: columns in order, one row a document or vector, folds by the remainder."""
+    got = QUERIES[name](spark, SF)
+    assert got.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    rows = got.collect()
+    whole = {"op5_embedding_dedup": "embeddings", "op10_nearest": "embeddings", "op1_chat_formatting": "conversations"}.get(name, "documents")
+    key = {"embeddings": "vec_id", "conversations": "conv_id"}.get(whole, "doc_id")
+    ids = Counter(r[key] for r in spark.read.parquet(f"{SF}/{whole}.parquet").select(key).collect())
+    if name in ("op3_minhash_dedup", "op4_bpe_round_trip", "op5_embedding_dedup", "op6_language_id", "op7_quality", "op8_lm_scoring"):
+        assert Counter(r[key] for r in rows) == ids
+    elif name == "op2_best_fit_packing":
+        assert {r["doc_id"] for r in rows} == set(ids)
+    elif name == "op10_nearest":
+        assert Counter(r["query_id"] for r in rows) == {i: 10 for i in ids if i % 100 == 0}
+        assert all(r["vec_id"] != r["query_id"] for r in rows)
+    elif name == "op1_chat_formatting":
+        assert {r["conv_id"] for r in rows} == {*ids, -1}
+    folds = {"op6_language_id": (4, 2), "op7_quality": (3, 1), "op8_lm_scoring": (5, 1)}
+    if name in folds:
+        mod, held = folds[name]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == held) for r in rows)
+    if name == "op7_quality":
+        assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_awkward_tables_of_every_kind(spark, docs, empty):
+    """Long chats, clashing columns, empty tables, ties and repeats where other tests don't have them."""
+    long = spark.createDataFrame([(1, k, "assistant" if k % 3 else "user", f"say {k} " * 200, "clash") for k in range(400)], "conv_id long, turn long, role string, text string, formatted string")
+    r = chat.digest(chat.format_chats(long)).first()
+    assert r["n_turns"] == 400 and r["loss_chars"] == sum(len(f"say {k} " * 200) for k in range(400) if k % 3)
+    assert licenses.scan(empty).count() == 0
+    same_size = spark.createDataFrame([(i // 2, "one two three") for i in range(50)], "doc_id long, text string")
+    _check_packed(packing.pack(same_size, tokenizer_path(), 16).collect(), [(i // 2, "one two three") for i in range(50)], 16)
+    df = spark.createDataFrame([(i, [float(i % 5 == j) for j in range(5)], i, i, "x") for i in range(25)], "vec_id long, embedding array<double>, list int, rid long, node string")
+    ties = embdedup.link_groups(df).collect()
+    assert all(r["n_links"] == 4 and r["component_id"] == r["vec_id"] % 5 for r in ties)
+    near = [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 0, 6).orderBy("rank").collect()]
+    assert near == [5, 10, 15, 20, 1, 2]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as c
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
 def test_components(spark, tmp_path):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 5)]
     got = components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path))
