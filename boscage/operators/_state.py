@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder of spark.checkpoint.dir; where none is set (tests), to a folder of our own."""
+    """checkpoint() to the shared folder of spark.checkpoint.dir; where none is set, in local mode only (tests), to one of our own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="boscage-"))
     return df.checkpoint()
