@@ -1 +1 @@
-"""Structured Streaming variants."""
+"""Scans that arrive as streams."""
