@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boscage.functions import geometry as G
-from boscage.operators import ground, graph, points, qsm, routes, skeleton, spatial, trees, verbs
+from boscage.operators import ground, graph, mesh, points, qsm, routes, skeleton, spatial, trees, verbs
 from boscage.params import PathFinder
 from boscage.sources import sinks, tables
 
@@ -702,6 +702,21 @@ def mesh_rings(s, d):
     return sinks.obj_lines(heap(s, d))
 
 
+@query("""WITH run AS (SELECT tree_id, axis, count(*) AS n, sum(endX) AS x, sum(endY) AS y, sum(endZ) AS z, sum(radius) AS r, sum(CASE WHEN cyl_ID=axis THEN startX END) AS x0, sum(CASE WHEN cyl_ID=axis THEN startY END) AS y0,
+  sum(CASE WHEN cyl_ID=axis THEN startZ END) AS z0, sum(CASE WHEN cyl_ID=axis THEN radius END) AS first, arg_max(radius, cyl_ID) AS last FROM arch GROUP BY ALL),
+nodes AS (SELECT tree_id, sum(n+1) AS k, sum(n) AS n, sum(x+x0) AS x, sum(y+y0) AS y, sum(z+z0) AS z, sum(r+(first+last)/2) AS r FROM run GROUP BY 1)
+SELECT tree_id, CAST(12*k AS BIGINT) AS vertices, CAST(24*n AS BIGINT) AS triangles, x/k AS x, y/k AS y, z/k AS z, r/k AS r FROM nodes""")
+def mesh_tubes(s, d):
+    """M1, M2, M3: size, centre and mean radius of the tubes' vertices of each tree."""
+    own = trees.architecture(heap(s, d)).withColumnRenamed("axis", "axis_ID")
+    ring = mesh.rings(own)
+    centre = ring.select("tree_id", "ring", *[F.col(a).alias(f"c{a}") for a in "xyz"])
+    v = mesh.vertices(ring).withColumn("ring", F.expr("n div 12")).join(centre, ["tree_id", "ring"])
+    away = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
+    size = v.groupBy("tree_id").agg(F.count("*").alias("vertices"), *[F.avg(a).alias(a) for a in "xyz"], F.avg(away).alias("r"))
+    return size.join(mesh.faces(ring).groupBy("tree_id").agg(F.count("*").alias("triangles")), "tree_id").select("tree_id", "vertices", "triangles", "x", "y", "z", "r")
+
+
 @query("WITH b AS (SELECT treeID, min(Z) AS lo, max(Z) AS hi, arg_max(point_id, {'z': Z, 'm': -point_id}) AS top FROM evt GROUP BY 1) SELECT e.treeID, count(*) AS n, CAST(sum(e.point_id) AS BIGINT) AS ids FROM evt e JOIN b USING (treeID) WHERE (foliage=0 AND Z>=lo+(hi-lo)*0.01) OR point_id=top GROUP BY 1")
 def wood_subset(s, d):
     """F8."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +76,65 @@ def read_cylinders_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True).withColumnsRenamed({"branchOrder": "branch_order", "parent_segment_ID": "parent_ID", "segment_ID": "cyl_ID"})
 
 
+def skeleton_edges(content: bytes) -> pd.DataFrame:
+    """The edges of a binary little-endian PLY of vertices (x, y, z, radius, single precision) and of lines of vertices.
+
+    A line is cut into its pairs; pairs with a vertex that isn't there, and lines of fewer than two, are left out.
+    """
+    end = content.index(b"end_header")
+    at = content.index(b"\n", end) + 1
+    count = {w[1]: int(w[2]) for w in (x.split() for x in content[:end].decode("ascii", "replace").splitlines()) if len(w) == 3 and w[0] == "element"}
+    n = count.get("vertex", 0)
+    v = np.frombuffer(content, "<f4", 4 * n, at).reshape(n, 4).astype(float)
+    ints = np.frombuffer(content, "<i4", (len(content) - at) // 4 - 4 * n, at + 16 * n)
+    pairs, i = [np.zeros((0, 2), int)], 0
+    for _ in range(count.get("edge", 0)):
+        size = int(ints[i]) if i < len(ints) else -1
+        line = ints[i + 1 : i + 1 + size]
+        if size < 0 or len(line) < size:
+            raise ValueError("the file ends within its edges")
+        pairs.append(np.column_stack([line[:-1], line[1:]]).astype(int))
+        i += 1 + size
+    e = np.concatenate(pairs)
+    a, b = e[((e >= 0) & (e < n)).all(1)].T
+    out = {f"{k}{c}": v[x, j] for k, x in (("start", a), ("end", b)) for j, c in enumerate("XYZ")}
+    return pd.DataFrame({**out, "radius1": v[a, 3], "radius2": v[b, 3], "cyl_ID": b, "parent_ID": a})
+
+
+def read_skeleton_ply(spark: SparkSession, path: str) -> DataFrame:
+    """(file, startX..endZ, radius1, radius2, cyl_ID, parent_ID) of skeleton files; a task reads a file whole."""
+    schema = "file string, " + ", ".join(f"{e}{a} double" for e in ("start", "end") for a in "XYZ") + ", radius1 double, radius2 double, cyl_ID long, parent_ID long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                t = skeleton_edges(content)
+                t.insert(0, "file", file)
+                yield t
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cylinders, trees) as sinks.write(kind="qsm") left them."""
+    return spark.read.parquet(f"{path}/cylinders"), spark.read.parquet(f"{path}/trees")
+
+
+def read_points(spark: SparkSession, path: str, select: str | None = None, fraction: float = 1.0, seed: int = 0) -> DataFrame:
+    """Points of LAS files or of Parquet; columns and the random share are left to the scan.  Both get a point_id."""
+    if path.lower().endswith((".las", ".laz")):
+        from boscage.sources.las import register
+
+        register(spark)
+        r = spark.read.format("las").option("fraction", fraction).option("seed", seed)
+        t = (r.option("select", select) if select else r).load(path)
+    else:
+        t = spark.read.parquet(path)
+        t = t.select(*select.split(",")) if select else t
+        t = t.sample(fraction, seed) if fraction < 1 else t
+    return t if "point_id" in t.columns else t.withColumn("point_id", F.monotonically_increasing_id())
+
+
 def allometry_table(spark: SparkSession, model: str = "Griese2025") -> DataFrame:
     """(H, DBH) for heights 0 to 40 by half metres."""
     return spark.range(81).select((F.col("id") * 0.5).alias("H")).withColumn("DBH", dbh_of_height(F.col("H"), model))
