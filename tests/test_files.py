@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boscage import __main__ as command
 from boscage.operators import mesh
+from boscage.operators._state import cut
 from boscage.sources import las, sinks, tables
 from tests.scene import forest
 
@@ -150,23 +151,35 @@ def test_las_round_trip(spark, tmp_path):
     assert not list((tmp_path / "none.las").glob("part-*"))
 
 
-def test_command_line(spark, tmp_path):
-    f = forest(((2.0, 2.0, 5.0, 0.15), (5.0, 4.0, 4.5, 0.12)), side=7.0, dense=0.6)
-    spark.createDataFrame(f[["point_id", "X", "Y", "Z"]]).write.parquet(str(tmp_path / "plot.parquet"))
-    out = command.main(["segment", str(tmp_path / "plot.parquet"), "-fraction", "1", "-buffer", "0.5", "-mesh"], spark)
-    found = spark.read.parquet(f"{out}/segmented").toPandas()
-    assert {"treeID", "UserData", "foliage", "hag", "R"} <= set(found.columns) and found.point_id.is_unique
-    tree = spark.read.parquet(f"{out}/trees")
-    assert 1 <= tree.select("treeID").distinct().count() <= 4 and spark.read.parquet(f"{out}/dtm").count() > 1000 and spark.read.parquet(f"{out}/dtm_quads").count() > 1000
-    where = command.main(["qsf", f"{out}/trees", "-o", str(tmp_path / "qsm"), "-qsm", "-ply", "-csv"], spark)
+def test_models_and_report_by_command(spark, tmp_path):
+    f = forest(((2.0, 2.0, 5.0, 0.15), (5.0, 4.0, 4.5, 0.12)), side=0.2, dense=0.6)
+    f = f[f.truth > 0].assign(hag=f.hag_true, foliage=(f.part != "wood").astype(int), treeID=f.truth, UserData=0)
+    spark.createDataFrame(f[["point_id", "X", "Y", "Z", "hag", "foliage", "treeID", "UserData"]]).write.parquet(str(tmp_path / "trees.parquet"))
+    where = command.main(["qsf", str(tmp_path / "trees.parquet"), "-o", str(tmp_path / "qsm"), "-qsm", "-ply", "-csv"], spark)
     cylinders, trees = tables.read_models(spark, f"{where}/qsm")
-    assert cylinders.where("radius is not null").count() > 20 and trees.count() >= 1 and len(list((tmp_path / "qsm/ply").glob("tree_id=*/model.ply"))) == trees.count()
+    assert cylinders.where("radius is not null").count() > 20 and trees.count() == 2
+    assert len(list((tmp_path / "qsm/ply").glob("tree_id=*/model.ply"))) == 2 and spark.read.option("header", True).csv(f"{where}/csv").count() == cylinders.count()
     made = command.main(["report", f"{where}/qsm"], spark)
-    assert spark.read.parquet(f"{made}/forest").first()["n"] == trees.count() and spark.read.parquet(f"{made}/trees").where("H > 2").count() >= 1
+    assert spark.read.parquet(f"{made}/forest").first()["n"] == 2 and spark.read.parquet(f"{made}/trees").where("H > 4").count() == 2
     with pytest.raises(SystemExit):
         command.main(["segment"], spark)
 
 
+def test_prepared(spark):
+    t = spark.range(2000).select(F.col("id").alias("point_id"), (F.col("id") * 0.01 + 500).alias("X"), (F.col("id") % 10 * 0.3).alias("Y"), F.lit(7.0).alias("Z"))
+    got = command.prepared(t, True).agg(F.count("*").alias("n"), F.avg("X").alias("x"), F.min("Z").alias("z")).first()
+    assert 0 < got["n"] <= 2000 and abs(got["x"]) < 1 and got["z"] == 0
+
+
+def test_loops_keep_their_plans_small(spark):
+    t = spark.range(100).withColumn("v", F.col("id") % 7)
+    for _ in range(12):
+        t = cut(t.join(t.groupBy("id").agg(F.max("v").alias("w")), "id").select("id", F.greatest("v", "w").alias("v")))
+    assert int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 70 and t.count() == 100
+    assert t.agg(F.sum("v")).first()[0] == sum(i % 7 for i in range(100))
+    assert t.groupBy("id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+
+
 def test_hull(spark):
     p = pd.DataFrame(np.random.default_rng(2).normal(size=(3000, 2)), columns=["X", "Y"])
     got = command.hull_of(spark.createDataFrame(p).repartition(5))
