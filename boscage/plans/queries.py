@@ -709,12 +709,10 @@ SELECT tree_id, CAST(12*k AS BIGINT) AS vertices, CAST(24*n AS BIGINT) AS triang
 def mesh_tubes(s, d):
     """M1, M2, M3: size, centre and mean radius of the tubes' vertices of each tree."""
     own = trees.architecture(heap(s, d)).withColumnRenamed("axis", "axis_ID")
-    ring = mesh.rings(own)
-    centre = ring.select("tree_id", "ring", *[F.col(a).alias(f"c{a}") for a in "xyz"])
-    v = mesh.vertices(ring).withColumn("ring", F.expr("n div 12")).join(centre, ["tree_id", "ring"])
-    away = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
-    size = v.groupBy("tree_id").agg(F.count("*").alias("vertices"), *[F.avg(a).alias(a) for a in "xyz"], F.avg(away).alias("r"))
-    return size.join(mesh.faces(ring).groupBy("tree_id").agg(F.count("*").alias("triangles")), "tree_id").select("tree_id", "vertices", "triangles", "x", "y", "z", "r")
+    e = mesh.elements(mesh.rings(own))
+    away = F.sqrt(sum(((F.col(a) - F.col(f"centre.{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
+    size = e.groupBy("tree_id").agg(F.count("*").alias("vertices"), F.sum(F.when(F.col("faces").isNotNull(), F.size("faces")).otherwise(0)).alias("triangles"), *[F.avg(a).alias(a) for a in "xyz"], F.avg(away).alias("r"))
+    return size.select("tree_id", "vertices", "triangles", "x", "y", "z", "r")
 
 
 @query("WITH b AS (SELECT treeID, min(Z) AS lo, max(Z) AS hi, arg_max(point_id, {'z': Z, 'm': -point_id}) AS top FROM evt GROUP BY 1) SELECT e.treeID, count(*) AS n, CAST(sum(e.point_id) AS BIGINT) AS ids FROM evt e JOIN b USING (treeID) WHERE (foliage=0 AND Z>=lo+(hi-lo)*0.01) OR point_id=top GROUP BY 1")
