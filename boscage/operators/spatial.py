@@ -114,8 +114,14 @@ def tiles(points: DataFrame, size: float = 50.0, halo: float = 10.0) -> DataFram
 
 
 def trees_of_tile(points: DataFrame, seeds: DataFrame, size: float = 50.0) -> DataFrame:
-    """Of tiled points, those of trees whose seeds' mean place lies in the tile's own square."""
-    home = seeds.where("treeID > 0").groupBy("treeID", "tx", "ty").agg(F.avg("X").alias("x"), F.avg("Y").alias("y"))
+    """Of tiled points, those of trees whose seeds' mean place lies in the tile's own square.
+
+    Means may lie on a square's edge, where the last digit of a sum decides: seeds are added up in the order of their
+    point_id, one by one, so that the result depends neither on partitions nor on the order they are read in.
+    """
+    w = Window.partitionBy("treeID", "tx", "ty").orderBy("point_id")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    home = seeds.where("treeID > 0").select("treeID", "tx", "ty", *[F.avg(a).over(run).alias(a.lower()) for a in "XY"], F.lead(F.lit(1)).over(w).isNull().alias("last")).where("last")
     home = home.where((F.floor(F.col("x") / size) == F.col("tx")) & (F.floor(F.col("y") / size) == F.col("ty")))
     return points.join(home, ["treeID", "tx", "ty"], "left_semi")
 
