@@ -60,14 +60,16 @@ def by_tree(trees: DataFrame, run: Callable[[pa.Table, np.ndarray], pa.Table], s
     return trees.repartition(key).sortWithinPartitions(key).mapInArrow(tables, schema)
 
 
-def parents(ident: np.ndarray, parent: np.ndarray, tree: np.ndarray | None = None) -> np.ndarray:
-    """Row of each cylinder's parent in its tree (all are of one tree, if none are told), -1 where no cylinder has that id."""
+def parents(ident: np.ndarray, parent: np.ndarray, tree: np.ndarray | None = None, last: bool = False) -> np.ndarray:
+    """Row of each cylinder's parent in its tree (all are of one tree, if none are told), -1 where no cylinder has that id.
+
+    Of several with that id it is the first one, or the last."""
     known, own = np.unique(ident, return_inverse=True)
     at = np.minimum(np.searchsorted(known, parent), len(known) - 1)
     there, tree = known[at] == parent, 0 if tree is None else tree * len(known)
     own, at = own + tree, at + tree
     order = np.argsort(own, kind="stable")
-    row = np.minimum(np.searchsorted(own[order], at), len(own) - 1)
+    row = np.searchsorted(own[order], at, side="right") - 1 if last else np.minimum(np.searchsorted(own[order], at), len(own) - 1)
     return np.where(there & (own[order][row] == at), order[row], -1)
 
 

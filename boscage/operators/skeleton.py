@@ -1,7 +1,7 @@
 """Tree models: skeleton, smoothing, pipe model and prolongation.
 
-Each step is sequential within a tree and independent between trees, so it is numpy in one task a tree; a tree is bounded by
-nature (thousands of cylinders), the forest is not.  Cylinder tables are keyed by (tree_id, cyl_ID); a cylinder whose
+Each step is sequential within a tree and independent between trees, so it is numpy in one task a tree, smoothing over batches of
+whole trees at once; a tree is bounded by nature (thousands of cylinders), the forest is not.  Cylinder tables are keyed by (tree_id, cyl_ID); a cylinder whose
 parent_ID is no cylinder of its tree starts at the root.  Null radii are unset.
 """
 
@@ -11,13 +11,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boscage.operators.folds import by_tree, parents
+
 #: Shrink and inflate factors for places and for radii, rounds for radii.
 SHRINK, INFLATE_PLACES, INFLATE_RADII, RADII_STEPS = 0.5, -0.53, -0.7, 15
 #: Quality of a radius that was prolonged and of one that came from allometry.
 PROLONGED, ALLOMETRIC = 1, 2
+#: Runs from which on they are swept together rather than one by one.
+FEW = 16
 
 
 def taubin(v: np.ndarray, steps: int, inflate: float, floor: float = 0.0) -> np.ndarray:
@@ -25,42 +30,85 @@ def taubin(v: np.ndarray, steps: int, inflate: float, floor: float = 0.0) -> np.
 
     The ends stay.  Rows are swept in order because a row depends on the changed row before it.
     """
-    v = np.array(v, float)
-    for factor in (SHRINK, inflate) * (steps if len(v) > 2 else 0):
-        for i in range(1, len(v) - 1):
-            v[i] += factor * (0.5 * (v[i - 1] + v[i + 1]) - v[i])
-            if floor > 0:
-                v[i] = np.maximum(v[i], floor)
+    columns = np.asarray(v, float).T.tolist()
+    for x in columns:
+        for factor in (SHRINK, inflate) * (steps if len(x) > 2 else 0):
+            for i in range(1, len(x) - 1):
+                x[i] += factor * (0.5 * (x[i - 1] + x[i + 1]) - x[i])
+                if floor > 0:
+                    x[i] = max(x[i], floor)
+    return np.array(columns).reshape(np.shape(v)[::-1]).T
+
+
+def taubins(v: np.ndarray, first: np.ndarray, size: np.ndarray, steps: np.ndarray, inflate: float, floor: np.ndarray) -> np.ndarray:
+    """taubin() of many runs of rows at once, each from `first` on, `size` long, with its own rounds and floor."""
+    v, order = np.array(v, float), np.argsort(-size, kind="stable")
+    if len(size) < FEW:
+        for at, n, rounds, low in zip(first.tolist(), size.tolist(), steps.tolist(), floor.tolist(), strict=True):
+            v[at : at + n] = taubin(v[at : at + n], rounds, inflate, low)
+        return v
+    first, size, steps, floor = (x[order] for x in (first, size, steps, floor))
+    todo = (size > 2) & (steps > 0)
+    for n in range(int(steps[todo].max(initial=0))):
+        live = todo & (steps > n)
+        at, low = first[live], floor[live]
+        # runs by falling size: those with a row left at a place are the first of them
+        inner = np.searchsorted(-size[live], -np.arange(2, size[live].max()), side="left")
+        for factor in (SHRINK, inflate):
+            for i, many in enumerate(inner.tolist(), 1):
+                row = at[:many] + i
+                new = v[row] + factor * (0.5 * (v[row - 1] + v[row + 1]) - v[row])
+                v[row] = np.where(low[:many, None] > 0, np.maximum(new, low[:many, None]), new)
     return v
 
 
-def _axes(t: pd.DataFrame):
-    """Row positions of each axis from base to tip, axes by number."""
-    order = t.assign(_at=np.arange(len(t))).sort_values(["axis_ID", "subtree_length", "cyl_ID"], ascending=[True, False, True])
-    for _, g in order.groupby("axis_ID", sort=True):
-        yield g["_at"].to_numpy()
+def _axes(t: pd.DataFrame, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, size): the rows of each axis from base to tip, axes by tree and number; rows without an axis are in none."""
+    axis, ident = t["axis_ID"].to_numpy(), t["cyl_ID"].to_numpy()
+    rows = np.flatnonzero(t["axis_ID"].notna().to_numpy())
+    rows = rows[np.lexsort((ident[rows], -t["subtree_length"].to_numpy(float)[rows], axis[rows], tree[rows]))]
+    first = np.flatnonzero(np.append(True, (np.diff(tree[rows]) != 0) | (np.diff(axis[rows]) != 0))[: len(rows)])
+    return rows, first, np.diff(np.append(first, len(rows)))
 
 
-def _per_tree(cylinders: DataFrame, run, schema=None) -> DataFrame:
-    return cylinders.groupBy("tree_id").applyInPandas(run, schema or cylinders.schema)
+def _by_batch(cylinders: DataFrame, need: list[str], change: list[str], run) -> DataFrame:
+    """cylinders with columns replaced by those of run(needed columns, number of each row's tree); not-a-number becomes null."""
 
+    def replaced(table: pa.Table, tree: np.ndarray) -> pa.Table:
+        new = run(table.select(need).to_pandas(), tree)
+        for c in change:
+            i = table.schema.get_field_index(c)
+            table = table.set_column(i, table.schema.field(i), pa.array(new[c].to_numpy(float), from_pandas=True).cast(table.schema.field(i).type))
+        return table
+
+    return by_tree(cylinders, replaced, cylinders.schema)
 
-def _ends(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return t[[f"end{a}" for a in "XYZ"]].to_numpy(float).copy(), t[[f"start{a}" for a in "XYZ"]].to_numpy(float).copy()
 
+def places_smoothed(t: pd.DataFrame, steps: int, tree: np.ndarray | None = None) -> pd.DataFrame:
+    """smooth_skeleton() of one tree, or of whole trees whose numbers are told.
 
-def places_smoothed(t: pd.DataFrame, steps: int) -> pd.DataFrame:
+    An axis's base may be a place of an axis before it, so trees go together axis by axis.
+    """
     t = t.reset_index(drop=True)
-    node = {c: i for i, c in enumerate(t["cyl_ID"])}
+    tree = np.zeros(len(t), int) if tree is None else tree
     end, start = _ends(t)
-    parent = np.array([node.get(p, -1) for p in t["parent_ID"]], int)
-    for at in _axes(t) if steps > 0 else ():
-        if len(at) < 3:
-            continue
-        rounds = max(2, math.floor(steps * 0.75 ** (int(t["branch_order"].iloc[at[0]]) - 1)))
-        base = parent[at[0]]
-        moved = taubin(np.vstack([start[at[0]] if base < 0 else end[base], end[at]]), rounds, INFLATE_PLACES)
-        end[at] = moved[1:]
+    ident, above = t["cyl_ID"].to_numpy(np.int64), t["parent_ID"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
+    parent = parents(ident, above, tree, last=True) if len(t) else above
+    rows, first, size = _axes(t, tree)
+    if steps > 0 and len(first):
+        rank = np.arange(len(first)) - np.searchsorted(tree[rows[first]], tree[rows[first]])  # an axis's place in its tree
+        rounds = np.maximum(2, np.floor(steps * 0.75 ** (t["branch_order"].to_numpy(float)[rows[first]] - 1)))
+        by_rank = np.argsort(rank, kind="stable")
+        by_rank = by_rank[size[by_rank] >= 3]
+        for own in np.split(by_rank, np.flatnonzero(np.diff(rank[by_rank])) + 1) if len(by_rank) else ():
+            head = rows[first[own]]
+            at = np.cumsum(size[own] + 1) - size[own] - 1
+            inner = np.ones(int((size[own] + 1).sum()), bool)
+            inner[at] = False
+            row = rows[np.repeat(first[own] - (at - np.arange(len(own))), size[own]) + np.arange(int(size[own].sum()))]
+            v = np.empty((len(inner), 3))
+            v[at], v[inner] = np.where((parent[head] < 0)[:, None], start[head], end[parent[head]]), end[row]
+            end[row] = taubins(v, at, size[own] + 1, rounds[own].astype(int), INFLATE_PLACES, np.zeros(len(own)))[inner]
     start = np.where((parent >= 0)[:, None], end[parent], start)
     t[[f"end{a}" for a in "XYZ"]], t[[f"start{a}" for a in "XYZ"]] = end, start
     return t
@@ -71,24 +119,34 @@ def smooth_skeleton(cylinders: DataFrame, steps: int = 15) -> DataFrame:
 
     A place belongs to the cylinder that ends there, so cylinders that start there move along.
     """
-    return _per_tree(cylinders, lambda t: places_smoothed(t, steps))
+    places = [f"{e}{a}" for e in ("start", "end") for a in "XYZ"]
+    return _by_batch(cylinders, ["cyl_ID", "parent_ID", "axis_ID", "branch_order", "subtree_length", *places], places, lambda t, tree: places_smoothed(t, steps, tree))
 
 
-def radii_smoothed(t: pd.DataFrame) -> pd.DataFrame:
+def radii_smoothed(t: pd.DataFrame, tree: np.ndarray | None = None) -> pd.DataFrame:
+    """smooth_radii() of one tree, or of whole trees whose numbers are told."""
     t = t.reset_index(drop=True)
     r = t["radius"].to_numpy(float).copy()
-    for at in _axes(t):
-        own = r[at]
-        if len(at) >= 3 and not np.isnan(own).any():
-            r[at] = taubin(own[:, None], RADII_STEPS, INFLATE_RADII, max(0.5 * own.min(), 1e-4))[:, 0]
-            r[at[-1]] = own[-1]
+    rows, first, size = _axes(t, np.zeros(len(t), int) if tree is None else tree)
+    if len(first):
+        least = np.minimum.reduceat(r[rows], first)  # not a number, if one is unset
+        steps = np.where(np.isnan(least), 0, RADII_STEPS)
+        r[rows] = taubins(r[rows][:, None], first, size, steps, INFLATE_RADII, np.maximum(0.5 * least, 1e-4))[:, 0]
     t["radius"] = r
     return t
 
 
 def smooth_radii(cylinders: DataFrame) -> DataFrame:
     """Radii of axes of three cylinders or more whose radii are all set; never below half the least, the tip's stays."""
-    return _per_tree(cylinders, radii_smoothed)
+    return _by_batch(cylinders, ["cyl_ID", "axis_ID", "subtree_length", "radius"], ["radius"], radii_smoothed)
+
+
+def _ends(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return t[[f"end{a}" for a in "XYZ"]].to_numpy(float).copy(), t[[f"start{a}" for a in "XYZ"]].to_numpy(float).copy()
+
+
+def _per_tree(cylinders: DataFrame, run, schema=None) -> DataFrame:
+    return cylinders.groupBy("tree_id").applyInPandas(run, schema or cylinders.schema)
 
 
 def piped(t: pd.DataFrame, tip: float) -> pd.DataFrame:

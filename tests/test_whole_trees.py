@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from boscage.operators import mesh
+from boscage.operators import mesh, skeleton
 from boscage.operators.folds import fold, whole_trees
 
 
@@ -94,3 +94,24 @@ def test_rings_of_thousands_of_trees_take_seconds():
     t = time.process_time()
     mesh._rings_of_table(pa.Table.from_pandas(one, preserve_index=False), one["tree_id"].to_numpy())
     assert time.process_time() - t < 10  # one tree at a time took some 50 ms each
+
+
+def test_smoothing_of_many_trees_is_that_of_each():
+    rng = np.random.default_rng(5)
+    t = forest(rng, 50).assign(branch_order=lambda x: x["axis_ID"])
+    t["subtree_length"] = np.round(rng.random(len(t)), 1)  # with ties
+    tree = t["tree_id"].to_numpy()
+    for run in (lambda x, *tree: skeleton.places_smoothed(x, 15, *tree), lambda x, *tree: skeleton.radii_smoothed(x, *tree)):
+        whole = run(t, tree)
+        pd.testing.assert_frame_equal(whole, pd.concat([run(own) for _, own in t.groupby("tree_id")], ignore_index=True))
+    # against sweeps row by row, on axes whose radii are all set
+    r = t["radius"].to_numpy().copy()
+    for _, own in t.sort_values(["subtree_length", "cyl_ID"], ascending=[False, True]).groupby(["tree_id", "axis_ID"]):
+        v, at = own["radius"].to_numpy().copy(), own.index
+        if len(v) > 2 and not np.isnan(v).any():
+            low = max(0.5 * v.min(), 1e-4)
+            for factor in (skeleton.SHRINK, skeleton.INFLATE_RADII) * skeleton.RADII_STEPS:
+                for i in range(1, len(v) - 1):
+                    v[i] = max(v[i] + factor * (0.5 * (v[i - 1] + v[i + 1]) - v[i]), low)
+            r[at] = v
+    assert np.array_equal(skeleton.radii_smoothed(t, tree)["radius"].to_numpy(), r, equal_nan=True)
