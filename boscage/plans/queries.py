@@ -398,8 +398,8 @@ def point_cyl_distance(s, d):
 def segment_by_model(s, d):
     """Wood within 1.3 radii and two centimetres of any cylinder of its tree."""
     j = evt(s, d).join(heap(s, d).where(G.length() > 1e-9), F.col("treeID") == F.col("tree_id"))
-    off = G.surface_distance(F.col("X"), F.col("Y"), F.col("Z")) - 1.3 * F.col("radius")
-    return j.groupBy("point_id").agg(F.when(F.min(off) < 0.02, 0).otherwise(1).alias("foliage"))
+    off = F.col("dist") - 1.3 * F.col("radius")
+    return G.with_surface_distance(j, *"XYZ").groupBy("point_id").agg(F.when(F.min(off) < 0.02, 0).otherwise(1).alias("foliage"))
 
 
 @query("""WITH mid AS (SELECT cyl_ID + tree_id*1000 AS id, *, (startX/2+endX/2) AS mx, (startY/2+endY/2) AS my, (startZ/2+endZ/2) AS mz FROM heap WHERE len>1e-9),

@@ -20,7 +20,7 @@ def test_compiled(spark):
     was = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("point_cyl_distance", "segment_distance"):
+        for name in ("point_cyl_distance", "segment_by_model", "segment_distance"):
             assert 0 < largest_method(spark, entry.queries()[name](spark, "/root/testdata/sf0.001")) < LARGEST, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", was)
