@@ -315,21 +315,29 @@ def shift(cylinders: DataFrame, tx: float, ty: float, tz: float) -> DataFrame:
     return cylinders.withColumns({f"{e}{a}": F.col(f"{e}{a}") + by[a] for e in ("start", "end") for a in "XYZ"})
 
 
+def ring_frames(cylinders: DataFrame) -> DataFrame:
+    """The cylinders that have length and radius, with two unit vectors (_u0, _u1, 0), (_v0, _v1, _v2) across their axes."""
+    t = cylinders.where((length() > 1e-9) & (F.col("radius") > 1e-9))
+    t = t.withColumns({f"_d{a}": F.col(f"end{a}") - F.col(f"start{a}") for a in "XYZ"})
+    t = t.withColumns({"_flat": F.sqrt(F.col("_dX") * F.col("_dX") + F.col("_dY") * F.col("_dY")), "_n": length()})
+    level = F.col("_flat") < 1e-9
+    t = t.withColumns({"_u0": F.when(level, 1.0).otherwise(-F.col("_dY") / F.col("_flat")), "_u1": F.when(level, 0.0).otherwise(F.col("_dX") / F.col("_flat")), **{f"_w{i}": F.col(f"_d{a}") / F.col("_n") for i, a in enumerate("XYZ")}})
+    u, w = [F.col("_u0"), F.col("_u1"), F.lit(0.0)], [F.col(f"_w{i}") for i in range(3)]
+    v = [w[1] * u[2] - w[2] * u[1], w[2] * u[0] - w[0] * u[2], w[0] * u[1] - w[1] * u[0]]
+    return t.select(*cylinders.columns, "_u0", "_u1", *[x.alias(f"_v{i}") for i, x in enumerate(v)])
+
+
+def ring_place(end: Column, side: Column, sides: int) -> list[Column]:
+    """(x, y, z) of a point of a ring of ring_frames()."""
+    angle, u = side * (2 * F.pi() / sides), [F.col("_u0"), F.col("_u1"), F.lit(0.0)]
+    return [F.when(end == 0, F.col(f"start{a}")).otherwise(F.col(f"end{a}")) + F.col("radius") * (F.cos(angle) * u[i] + F.sin(angle) * F.col(f"_v{i}")) for i, a in enumerate("XYZ")]
+
+
 def ring_points(cylinders: DataFrame, sides: int = 12) -> DataFrame:
     """Rings of points around both ends of each cylinder that has length and radius."""
-    dx, dy, dz = (F.col(f"end{a}") - F.col(f"start{a}") for a in "XYZ")
-    n = length()
-    flat = F.sqrt(dx * dx + dy * dy)
-    level = flat < 1e-9
-    u = [F.when(level, 1.0).otherwise(-dy / flat), F.when(level, 0.0).otherwise(dx / flat), F.lit(0.0)]
-    w = [dx / n, dy / n, dz / n]
-    v = [w[1] * u[2] - w[2] * u[1], w[2] * u[0] - w[0] * u[2], w[0] * u[1] - w[1] * u[0]]
-    t = cylinders.where((length() > 1e-9) & (F.col("radius") > 1e-9)).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
-    angle = F.col("side") * (2 * F.pi() / sides)
-    at: list[Column] = []
-    for i, a in enumerate("XYZ"):
-        at.append((F.when(F.col("end") == 0, F.col(f"start{a}")).otherwise(F.col(f"end{a}")) + F.col("radius") * (F.cos(angle) * u[i] + F.sin(angle) * v[i])).alias(a.lower()))
-    return t.select("tree_id", "cyl_ID", "end", "side", *at)
+    t = ring_frames(cylinders).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
+    at = ring_place(F.col("end"), F.col("side"), sides)
+    return t.select("tree_id", "cyl_ID", "end", "side", *[x.alias(a) for a, x in zip("xyz", at, strict=True)])
 
 
 def ring_faces(sides: int = 12, split: bool = True) -> list[tuple[int, ...]]:

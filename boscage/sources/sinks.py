@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boscage.operators.mesh import tree_mesh
-from boscage.operators.trees import ring_faces, ring_points
+from boscage.operators.trees import ring_faces, ring_frames, ring_place
 from boscage.schema import check_cylinders
 from boscage.sources.files import prepare, save
 
@@ -26,12 +26,17 @@ def csv_rows(cylinders: DataFrame) -> DataFrame:
 def obj_lines(cylinders: DataFrame, sides: int = 12) -> DataFrame:
     """(tree_id, cyl_ID, kind, n, line): vertex and 1-based face lines, numbered within the tree."""
     rank = F.expr("dense_rank() over (partition by tree_id order by cyl_ID)") - 1
-    v = ring_points(cylinders, sides).withColumn("base", rank * (2 * sides))
-    vertices = v.select("tree_id", "cyl_ID", F.lit("v").alias("kind"), (F.col("base") + F.col("end") * sides + F.col("side") + 1).cast("long").alias("n"), F.format_string("v %.3f %.3f %.3f", "x", "y", "z").alias("line"))
-    faces = F.array(*[F.struct(*[F.lit(i).alias(n) for i, n in zip(f, "abc", strict=True)]) for f in ring_faces(sides)])
-    f = v.where("end = 0 and side = 0").select("tree_id", "cyl_ID", "base", F.posexplode(faces).alias("p", "f"))
-    at = [(F.col("base") + F.col("f")[n] + 1).cast("long") for n in "abc"]
-    return vertices.unionByName(f.select("tree_id", "cyl_ID", F.lit("f").alias("kind"), (F.col("base") + F.col("p")).cast("long").alias("n"), F.format_string("f %d %d %d", *at).alias("line")))
+    # numbers go to cylinders before they become lines, so that lines are never sorted or shuffled
+    c = ring_frames(cylinders).withColumn("base", rank * (2 * sides))
+    corners = ring_faces(sides)
+    c = c.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2 * sides + len(corners) - 1))))
+    i, vertex = F.col("i"), F.col("i") < 2 * sides
+    faces = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(f, "abc", strict=True)]) for f in corners])
+    f = F.get(faces, i - 2 * sides)
+    at = [(F.col("base") + f[n] + 1).cast("long") for n in "abc"]
+    line = F.when(vertex, F.format_string("v %.3f %.3f %.3f", *ring_place((i / sides).cast("int"), i % sides, sides))).otherwise(F.format_string("f %d %d %d", *at))
+    n = F.when(vertex, F.col("base") + i + 1).otherwise(F.col("base") + i - 2 * sides).cast("long")
+    return c.select("tree_id", "cyl_ID", F.when(vertex, "v").otherwise("f").alias("kind"), n.alias("n"), line.alias("line"))
 
 
 def face_normals(faces: DataFrame) -> DataFrame:
