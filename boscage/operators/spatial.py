@@ -84,12 +84,12 @@ def _xyz(batch: pa.RecordBatch, names: str = "XYZ") -> np.ndarray:
     return np.stack([np.asarray(batch[c].cast(pa.float64()).fill_null(np.nan)) for c in names], 1)
 
 
-def blocks(points: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(points: DataFrame, n: int, size: int = BLOCK) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(points with `block`, (low, high, number of points) of each block): blocks of about as many of the n points each.
 
     A bounded sample places the planes between blocks, every point is in one.  Points without a place are left out.
     """
-    depth = max(min(n // BLOCK, MOST_BLOCKS), 1).bit_length() - 1
+    depth = max(min(n // size, MOST_BLOCKS), 1).bit_length() - 1
     points = points.where(" and ".join(f"{a} is not null and not isnan({a})" for a in "XYZ"))
     some = points.select(*"XYZ") if n <= SAMPLE else points.select(*"XYZ").sample(SAMPLE / n, 1)
     axis, value = _planes(_xyz(some.limit(2 * SAMPLE).toArrow()), depth)
@@ -109,6 +109,15 @@ def blocks(points: DataFrame, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.n
     return dealt, (low, high, count)
 
 
+#: Nodes that a block of a graph is meant to hold; it rules the work, not the result.
+NODES = 16_384
+
+
+def places(points: DataFrame) -> DataFrame:
+    """(node, block) of points, for graph.shortest_paths(): blocks of points that lie together."""
+    return blocks(points.select("point_id", *"XYZ"), points.count(), NODES)[0].select(F.col("point_id").alias("node"), "block")
+
+
 def _first_blocks(gap: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, block) of each query's nearest blocks, as many as hold k points together."""
     near = min(16, len(count))

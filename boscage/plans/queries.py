@@ -353,7 +353,7 @@ def graph_edges(s, d):
 @query(f"WITH {EDGES}, seen(node) AS (SELECT 0::BIGINT UNION SELECT dst FROM seen JOIN edge ON src=node) SELECT node FROM seen")
 def reachable(s, d):
     """G3."""
-    return graph.reachable(edges(s, d), s.range(1).select(F.col("id").alias("node")))
+    return graph.reachable(edges(s, d), s.range(1).select(F.col("id").alias("node")), spatial.places(emb(s, d)))
 
 
 #: Bellman-Ford over paths with a bound on steps: the best costs so far travel with the recursion.
@@ -363,13 +363,13 @@ PATHS = "walk(node, dist, source, step) AS (SELECT s, 0.0::DOUBLE, s, 0 FROM sta
 @query(f"WITH {EDGES}, starts(s) AS (SELECT 0::BIGINT), {PATHS} SELECT node, round(dist,6) AS dist FROM best")
 def sssp(s, d):
     """G6."""
-    return graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node"))).select("node", "dist")
+    return graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")), spatial.places(emb(s, d))).select("node", "dist")
 
 
 @query(f"WITH {EDGES}, starts(s) AS (SELECT point_id FROM emb WHERE point_id%100=7), {PATHS} SELECT node, round(dist,6) AS dist, source FROM best")
 def multi_source(s, d):
     """G7, V5's core: distance and label of the nearest source."""
-    return graph.shortest_paths(edges(s, d), emb(s, d).where("point_id % 100 = 7").select(F.col("point_id").alias("node"))).select("node", "dist", "source")
+    return graph.shortest_paths(edges(s, d), emb(s, d).where("point_id % 100 = 7").select(F.col("point_id").alias("node")), spatial.places(emb(s, d))).select("node", "dist", "source")
 
 
 @query()
