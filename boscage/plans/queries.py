@@ -880,7 +880,7 @@ def cluster_bridges(s, d):
 @query()
 def find_paths(s, d):
     """Nodes of the ways from every fiftieth node back to node 0."""
-    best = graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")))
+    best = graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")), spatial.places(emb(s, d)))
     return graph.find_paths(best, emb(s, d).where("point_id % 50 = 3").select(F.col("point_id").alias("node")))
 
 
