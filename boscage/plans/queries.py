@@ -375,7 +375,7 @@ def multi_source(s, d):
 @query()
 def passages(s, d):
     """Number of shortest paths from node 0 through each node: the sizes of the subtrees of the predecessor forest."""
-    return graph.passages(graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node"))))
+    return graph.passages(graph.shortest_paths(edges(s, d), s.range(1).select(F.col("id").alias("node")), spatial.places(emb(s, d))))
 
 
 @query("SELECT tree_id, cyl_ID, round(len,6) AS len, round(pi()*radius*radius*len,6) AS volume, round(CASE WHEN len<1e-6 THEN 0 ELSE degrees(acos(greatest(-1,least(1,(endZ-startZ)/len)))) END,6) AS inclination FROM heap")
