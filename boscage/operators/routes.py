@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boscage.operators import spatial
 from boscage.operators._state import cut
 from boscage.operators.graph import ancestors, components, passages, reachable, shortest_paths
 from boscage.operators.points import homogenise, hybrid_homogenise
@@ -70,6 +71,12 @@ def master_edges(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.lit(MASTER).cast("long").alias("src"), seed(F.col("point_id")).alias("dst"), F.lit(0.0).alias("cost"))
 
 
+def places(points: DataFrame) -> DataFrame:
+    """(node, block) of the points' nodes of every layer, for graph.shortest_paths()."""
+    at = cut(spatial.places(points))
+    return at.select(F.explode(F.array(*[f(F.col("node")) for f in (core, target, seed)])).alias("node"), "block")
+
+
 def from_master(spark) -> DataFrame:
     return spark.range(1).select(F.lit(MASTER).cast("long").alias("node"))
 
@@ -88,7 +95,7 @@ def layered(points: DataFrame, seeds: DataFrame, p: PathFinder, targets: DataFra
 
 def unreached(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Core points that the master doesn't reach."""
-    seen = reachable(edges, from_master(points.sparkSession))
+    seen = reachable(edges, from_master(points.sparkSession), places(points))
     return points.join(seen.select(F.expr("node div 4").alias("point_id"), (F.col("node") % 4).alias("kind")).where("kind = 0 and point_id >= 0").select("point_id"), "point_id", "left_anti")
 
 
@@ -132,7 +139,7 @@ def accumulate_passages(points: DataFrame, ground: DataFrame, p: PathFinder) ->
     thin = cut(hybrid_homogenise(points, p.decimation))
     targets = homogenise(thin, p.space_res)
     edges = repair_nodes(layered(thin, ground, p, targets), thin, p)
-    best = shortest_paths(edges, from_master(points.sparkSession))
+    best = shortest_paths(edges, from_master(points.sparkSession), places(thin))
     through = passages(best, targets.select(target(F.col("point_id")).alias("node"))).where("node >= 0 and node % 4 = 0")
     count = through.select(F.expr("node div 4").alias("point_id"), F.col("passage").cast("int").alias("passage"))
     return points.drop("passage").join(count, "point_id", "left").withColumn("passage", F.coalesce("passage", F.lit(0)))
@@ -145,7 +152,7 @@ def dist2root(points: DataFrame, ground: DataFrame, k: int = 80, max_gap: float
     """
     p = PathFinder(k_neighborhood_connectivity=k, k_seed_connectivity=k, max_gap=max_gap, distance_power=power, penalty=(1.0,) * 181)
     edges = repair_clusters(layered(points, ground, p), points, p)
-    best = shortest_paths(edges, from_master(points.sparkSession)).where("node >= 0 and node % 4 = 0")
+    best = shortest_paths(edges, from_master(points.sparkSession), places(points)).where("node >= 0 and node % 4 = 0")
     at = points.select("point_id", *[F.col(a).alias(f"_{a}") for a in "XYZ"])
     own = best.select(F.expr("node div 4").alias("node"), F.when(F.col("pred") % 4 == 0, F.expr("pred div 4")).alias("parent"))
     own = own.join(at.withColumnRenamed("point_id", "node"), "node").join(at.select(F.col("point_id").alias("parent"), *[F.col(f"_{a}").alias(f"p{a}") for a in "XYZ"]), "parent", "left")
