@@ -49,15 +49,18 @@ def whole_trees(batches: Iterator[pa.RecordBatch], key: str = "tree_id", rows: i
         yield pa.Table.from_batches(held)
 
 
-def by_tree(trees: DataFrame, run: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType | str, key: str = "tree_id") -> DataFrame:
-    """run(table, number of each row's tree) over batches of whole trees: one shuffle by tree, few calls of Python."""
+def by_tree(trees: DataFrame, run: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType | str, key: str = "tree_id", tasks: int = 0) -> DataFrame:
+    """run(table, number of each row's tree) over batches of whole trees: one shuffle by tree, few calls of Python.
+
+    `tasks` is for work that bytes don't tell: so many tasks, which are not joined for being small."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_trees(batches, key):
             table = table.combine_chunks()
             yield from run(table, np.cumsum(starts(table[key].combine_chunks())) - 1).to_batches()
 
-    return trees.repartition(key).sortWithinPartitions(key).mapInArrow(tables, schema)
+    dealt = trees.repartition(tasks, key) if tasks else trees.repartition(key)
+    return dealt.sortWithinPartitions(key).mapInArrow(tables, schema)
 
 
 def parents(ident: np.ndarray, parent: np.ndarray, tree: np.ndarray | None = None, last: bool = False) -> np.ndarray:

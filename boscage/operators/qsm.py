@@ -1,4 +1,4 @@
-"""Models of trees from their points: one Arrow task a tree.
+"""Models of trees from their points, whole trees in a task.
 
 A tree's points are bounded by nature; the forest is one shuffle by treeID.  Within a task everything is numpy: neighbours
 block by block, paths by relaxing whole frontiers, clusters by voxels, fits by the vectorised cross-sections of
@@ -11,12 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boscage.functions.geometry import GRIESE_A, GRIESE_B, GRIESE_C, GRIESE_LINEAR, PRESETS
 from boscage.operators.fitting import Fit, fit
-from boscage.operators.folds import fold
+from boscage.operators.folds import by_tree, fold
 from boscage.operators.points import eligible_trees
 from boscage.operators.skeleton import chained, piped, places_smoothed, radii_smoothed
 from boscage.operators.trees import CONIC, MEASURED, POLYNOMIAL, REFINED, UNKNOWN
@@ -55,6 +56,8 @@ def neighbours(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def voxel_labels(x: np.ndarray, size: float) -> np.ndarray:
     """Components of touching voxels (26 neighbours), numbered from 0."""
+    if len(x) == 1:
+        return np.zeros(1, np.int64)
     cell = np.floor((x - x.min(0)) / size).astype(np.int64) + 1
     wide = cell.max(0) + 2
     key = (cell[:, 0] * wide[1] + cell[:, 1]) * wide[2] + cell[:, 2]
@@ -135,12 +138,25 @@ def accepted(f: Fit, preset: str, known: float = math.nan, least: float | None =
 
 def architecture(t: pd.DataFrame, by_volume: bool = False) -> pd.DataFrame:
     """G13 to G17 of one tree: folds, axes numbered from 1 with the trunk first."""
-    length = np.linalg.norm(t[["endX", "endY", "endZ"]].to_numpy() - t[["startX", "startY", "startZ"]].to_numpy(), axis=1)
-    f = fold(t["cyl_ID"].to_numpy(), t["parent_ID"].to_numpy(), length, t["endZ"].to_numpy(), t["radius"].to_numpy(), by_volume)
-    heads = np.unique(f["axis"])
-    top = {h: (o, -s, h) for h, o, s in zip(t["cyl_ID"], f["branch_order"], f["subtree_length"], strict=True) if h in set(heads.tolist())}
-    number = {h: i + 1 for i, h in enumerate(sorted(top, key=top.get))}
-    return t.assign(axis_ID=[number[h] for h in f["axis"]], branch_order=f["branch_order"], dist_to_root=f["dist_to_root"], subtree_length=f["subtree_length"], length=length)
+    column = {c: t[c].to_numpy() for c in ("cyl_ID", "parent_ID", "endZ", "radius")}
+    length = np.linalg.norm(_places(t, "end") - _places(t, "start"), axis=1)
+    f = fold(column["cyl_ID"], column["parent_ID"], length, column["endZ"], column["radius"], by_volume)
+    heads, number = np.unique(f["axis"], return_inverse=True)
+    own = np.flatnonzero(np.isin(column["cyl_ID"], heads))
+    own = own[np.lexsort((column["cyl_ID"][own], -f["subtree_length"][own], f["branch_order"][own]))]
+    place = np.empty(len(heads), np.int64)
+    place[np.searchsorted(heads, column["cyl_ID"][own])] = np.arange(1, len(own) + 1)
+    new = {"axis_ID": place[number], "branch_order": f["branch_order"], "dist_to_root": f["dist_to_root"], "subtree_length": f["subtree_length"], "length": length}
+    return _with(t, **new)
+
+
+def _places(t: pd.DataFrame, end: str) -> np.ndarray:
+    return np.stack([t[f"{end}{a}"].to_numpy() for a in "XYZ"], 1)
+
+
+def _with(t: pd.DataFrame, **columns: np.ndarray) -> pd.DataFrame:
+    """t.assign(), which for a tree's few rows takes longer than what it holds."""
+    return pd.DataFrame({**{c: t[c].to_numpy() for c in t.columns}, **columns}, t.index, copy=False)
 
 
 def conic(t: pd.DataFrame, r0: float, tip: float) -> np.ndarray:
@@ -162,20 +178,20 @@ def _sections(t: pd.DataFrame, x: np.ndarray, edge: np.ndarray):
 def measured(t: pd.DataFrame, x: np.ndarray, edge: np.ndarray, guess: np.ndarray, q: Qsm) -> pd.DataFrame:
     """R2: radii of cylinders with enough points whose expected radius can be measured; others are unset."""
     radius, quality = np.full(len(t), np.nan), np.full(len(t), UNKNOWN)
-    start, end = t[["startX", "startY", "startZ"]].to_numpy(), t[["endX", "endY", "endZ"]].to_numpy()
+    start, end = _places(t, "start"), _places(t, "end")
     for i, own in _sections(t, x, edge):
         if len(own) >= LEAST_POINTS and guess[i] >= q.min_measurable_radius and (start[i] != end[i]).any():
             f = fit(own, 0.04, "buttress" if guess[i] > BUTTRESS else "standard", start[i], end[i])
             if accepted(f, "standard", least=q.min_measurable_radius):
                 radius[i], quality[i] = f.radius, REFINED if accepted(f, "accurate") else MEASURED
-    return t.assign(radius=radius, quality=quality)
+    return _with(t, radius=radius, quality=quality)
 
 
 def refined(t: pd.DataFrame, x: np.ndarray, edge: np.ndarray) -> pd.DataFrame:
     """R3 for broken trees, W11: axes are measured again from base to tip until five cylinders in a row fail."""
     t = t.reset_index(drop=True)
     radius, quality = t["radius"].to_numpy(float).copy(), t["quality"].to_numpy().copy()
-    start, end = t[["startX", "startY", "startZ"]].to_numpy(), t[["endX", "endY", "endZ"]].to_numpy()
+    start, end = _places(t, "start"), _places(t, "end")
     own = dict(_sections(t, x, edge))
     for _, g in t.sort_values(["axis_ID", "subtree_length", "cyl_ID"], ascending=[True, False, True]).groupby("axis_ID"):
         failed = 0
@@ -186,7 +202,7 @@ def refined(t: pd.DataFrame, x: np.ndarray, edge: np.ndarray) -> pd.DataFrame:
             if accepted(f, "accurate_large", radius[i]):
                 radius[i], quality[i] = f.radius, REFINED
             failed = failed + 1 if quality[i] < MEASURED else 0
-    return t.assign(radius=radius, quality=quality)
+    return _with(t, radius=radius, quality=quality)
 
 
 def _taper(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -218,7 +234,7 @@ def tapered(t: pd.DataFrame, tip: float) -> pd.DataFrame:
             off = (np.abs(r[g] - guess) > 0.3 * guess) & (quality[g] < REFINED) & ((d[g] <= 1.3) if low else True)
             new = g[(s[g] >= s[m].min()) & (np.isnan(r[g]) | off)]
             r[new], quality[new] = a * s[new] + b * s[new] ** 2 + (0 if low else tip), POLYNOMIAL
-    return t.assign(radius=r, quality=quality)
+    return _with(t, radius=r, quality=quality)
 
 
 def without_weird_butt(t: pd.DataFrame) -> pd.DataFrame:
@@ -226,14 +242,16 @@ def without_weird_butt(t: pd.DataFrame) -> pd.DataFrame:
     trunk = t[t["axis_ID"] == 1].sort_values(["dist_to_root", "cyl_ID"])
     if len(trunk) < 5:
         return t
-    v = trunk[["endX", "endY", "endZ"]].to_numpy() - trunk[["startX", "startY", "startZ"]].to_numpy()
+    v = _places(trunk, "end") - _places(trunk, "start")
     n = np.linalg.norm(v, axis=1)
     fine = np.degrees(np.arccos(np.clip(v[:, 2] / np.maximum(n, 1e-12), -1, 1))) < 50
     run = [i for i in range(len(fine) - 3) if fine[i : i + 4].all()]
     if not run or run[0] == 0:
         return t
     head = int(trunk["cyl_ID"].iloc[run[0]])
-    children = t.groupby("parent_ID")["cyl_ID"].apply(list).to_dict()
+    children: dict[int, list[int]] = {}
+    for child, parent in zip(t["cyl_ID"].tolist(), t["parent_ID"].tolist(), strict=True):
+        children.setdefault(parent, []).append(child)
     kept, todo = set(), [head]
     while todo:
         now = todo.pop()
@@ -310,7 +328,7 @@ def _prolonged(t: pd.DataFrame, missing: float, step: float = 0.1) -> pd.DataFra
     trunk = t[t["axis_ID"] == 1].sort_values(["subtree_length", "cyl_ID"], ascending=[False, True])
     if not missing > 0 or len(trunk) < 2:
         return t
-    a, b = trunk[["startX", "startY", "startZ"]].to_numpy(), trunk[["endX", "endY", "endZ"]].to_numpy()
+    a, b = _places(trunk, "start"), _places(trunk, "end")
     run = np.cumsum(np.linalg.norm(b - a, axis=1))
     way = b[max(0, int((run <= min(TRUNK_METRES, TRUNK_SHARE * run[-1])).sum()) - 1)] - a[0]
     if not np.linalg.norm(way):
@@ -364,8 +382,7 @@ def build(x: np.ndarray, hag: np.ndarray, foliage: np.ndarray, q: Qsm = Qsm()) -
     below = hag[x[:, 2] <= t["startZ"].min()]  # R10
     t = _prolonged(t, float(below.max()) if len(below) else 0.0)
     t = architecture(radii_smoothed(architecture(t, True)), True)
-    for e in ("start", "end"):
-        t[[f"{e}{a}" for a in "XYZ"]] += away
+    t = _with(t, **{f"{e}{a}": t[f"{e}{a}"].to_numpy() + away[i] for e in ("start", "end") for i, a in enumerate("XYZ")})
     if t["radius"].isna().any() or (t["parent_ID"] == 0).sum() != 1:
         raise ValueError("the model is no single tree with all radii set")
     return t, notes
@@ -379,19 +396,29 @@ def qsm_of(points: DataFrame, q: Qsm = Qsm()) -> DataFrame:
     """
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["Z", "X", "Y"])
+    def of_tree(tree: int | None, t: np.ndarray, hag: np.ndarray, foliage: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((t[:, 1], t[:, 0], t[:, 2]))
         try:
-            t, notes = build(pdf[["X", "Y", "Z"]].to_numpy(float), pdf["hag"].to_numpy(float), pdf["foliage"].to_numpy(), q)
+            t, notes = build(t[order], hag[order], foliage[order], q)
         except Exception as e:  # noqa: BLE001  a tree that fails is reported as a row
             t, notes = pd.DataFrame(columns=["cyl_ID"]), [f"[Failed] {type(e).__name__}: {e}"]
         if not len(t):
             t = pd.DataFrame([{"cyl_ID": None}])
-        t = t.sort_values("cyl_ID").assign(tree_id=key[0], message=None)
-        t["message"] = ["; ".join(notes) or None] + [None] * (len(t) - 1)
-        return t.reindex(columns=columns).astype({c: "Int64" for c in ("tree_id", "cyl_ID", "parent_ID", "axis_ID", "branch_order", "quality")})
-
-    return points.select(F.col("treeID").cast("long").alias("treeID"), "X", "Y", "Z", "hag", "foliage").groupBy("treeID").applyInPandas(run, SCHEMA)
+        t = t.sort_values("cyl_ID")
+        return _with(t, tree_id=np.full(len(t), tree, object), message=np.array(["; ".join(notes) or None] + [None] * (len(t) - 1), object))
+
+    def run(table: pa.Table, tree: np.ndarray) -> pa.Table:
+        x = np.stack([np.asarray(table[a].cast(pa.float64()).fill_null(np.nan)) for a in "XYZ"], 1)
+        hag, foliage = np.asarray(table["hag"].cast(pa.float64()).fill_null(np.nan)), np.asarray(table["foliage"].cast(pa.float64()).fill_null(np.nan))
+        first = np.flatnonzero(np.append(True, np.diff(tree) != 0))
+        ids = table["treeID"].take(pa.array(first)).to_pylist()
+        made = [of_tree(k, x[a:b], hag[a:b], foliage[a:b]) for k, a, b in zip(ids, first, np.append(first[1:], len(tree)), strict=True)]
+        held = {c: np.concatenate([m[c].to_numpy(object) if c in m else np.full(len(m), None) for m in made]) for c in columns}
+        kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}
+        return pa.table({c: pa.array([int(v) if v is not None and v == v else None for v in held[c]] if k in ("long", "int") else held[c], kinds[k], from_pandas=True) for c, k in (f.split() for f in SCHEMA.split(", "))})
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return by_tree(points.select(F.col("treeID").cast("long").alias("treeID"), "X", "Y", "Z", "hag", "foliage"), run, SCHEMA, "treeID", tasks)
 
 
 def qsf(points: DataFrame, min_height: float = 2, q: Qsm = Qsm()) -> DataFrame:

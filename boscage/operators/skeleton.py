@@ -89,7 +89,6 @@ def places_smoothed(t: pd.DataFrame, steps: int, tree: np.ndarray | None = None)
 
     An axis's base may be a place of an axis before it, so trees go together axis by axis.
     """
-    t = t.reset_index(drop=True)
     tree = np.zeros(len(t), int) if tree is None else tree
     end, start = _ends(t)
     ident, above = t["cyl_ID"].to_numpy(np.int64), t["parent_ID"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
@@ -110,8 +109,8 @@ def places_smoothed(t: pd.DataFrame, steps: int, tree: np.ndarray | None = None)
             v[at], v[inner] = np.where((parent[head] < 0)[:, None], start[head], end[parent[head]]), end[row]
             end[row] = taubins(v, at, size[own] + 1, rounds[own].astype(int), INFLATE_PLACES, np.zeros(len(own)))[inner]
     start = np.where((parent >= 0)[:, None], end[parent], start)
-    t[[f"end{a}" for a in "XYZ"]], t[[f"start{a}" for a in "XYZ"]] = end, start
-    return t
+    places = {f"{e}{a}": x[:, i] for e, x in (("end", end), ("start", start)) for i, a in enumerate("XYZ")}
+    return pd.DataFrame({c: places[c] if c in places else t[c].to_numpy() for c in t.columns}, copy=False)
 
 
 def smooth_skeleton(cylinders: DataFrame, steps: int = 15) -> DataFrame:
@@ -142,7 +141,8 @@ def smooth_radii(cylinders: DataFrame) -> DataFrame:
 
 
 def _ends(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return t[[f"end{a}" for a in "XYZ"]].to_numpy(float).copy(), t[[f"start{a}" for a in "XYZ"]].to_numpy(float).copy()
+    end, start = (np.stack([t[f"{e}{a}"].to_numpy(float) for a in "XYZ"], 1) for e in ("end", "start"))
+    return end, start
 
 
 def _per_tree(cylinders: DataFrame, run, schema=None) -> DataFrame:
